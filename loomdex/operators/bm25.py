@@ -44,6 +44,10 @@ def term_weight(tf: Column, dl: Column, avg_dl: Column, idf_value: Column) -> Co
     return idf_value * (tf * F.lit(K1 + 1.0)) / (tf + F.lit(K1) * length)
 
 
+def _occurrences(tokens: str, term: str) -> Column:
+    return F.size(F.filter(tokens, lambda t: t == F.lit(term)))
+
+
 def _empty(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*columns, F.lit(None).cast("double").alias("bm25")).where(F.lit(False))
 
@@ -79,7 +83,7 @@ def rank_texts(
         return hits.select(
             *out,
             "__dl",
-            *[F.size(F.filter("__hits", lambda t, term=term: t == F.lit(term))).alias(f"__tf{i}") for i, term in enumerate(terms)],
+            *[_occurrences("__hits", term).alias(f"__tf{i}") for i, term in enumerate(terms)],
         )
 
     counted = with_counts(df)

@@ -39,5 +39,6 @@ def rank_allowed(
     ids = allowed.select(id_col)
     if bounded:
         ids = F.broadcast(ids)
-    kept = vectors.select(id_col, vector_col).join(ids, id_col, "left_semi")
-    return top_k(kept.select(id_col, F.round(cosine(F.col(vector_col), query), SCORE_DIGITS).alias("score")), k, id_col)
+    kept = vectors.select(id_col, vector_col).join(ids, id_col, "left_semi").withColumn("__query", query)
+    score = F.round(cosine(F.col(vector_col), F.col("__query")), SCORE_DIGITS)
+    return top_k(kept.select(id_col, score.alias("score")), k, id_col)
