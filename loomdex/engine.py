@@ -204,6 +204,10 @@ class SearchIndex:
     def errors(self) -> DataFrame:
         return reg.errors(self.registry())
 
+    def removed_count(self) -> int:
+        """Hidden chunks that :meth:`compact` would drop."""
+        return self.store.removed().count()
+
     def compact(self) -> int:
         return self.store.compact()
 

@@ -19,7 +19,8 @@ WS_CLASS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029
 
 MIN_PARAGRAPH = 10
 WORD = r"[\p{L}\p{M}\p{N}]+"
-WORD_OR_HAN_RUN = r"\p{IsHan}+|[\p{L}\p{M}\p{N}&&[^\p{IsHan}]]+"
+WORD_OR_HAN = r"\p{IsHan}|[\p{L}\p{M}\p{N}&&[^\p{IsHan}]]+"
+HAN_PAIR = r"(?=(\p{IsHan}{2}))."
 _PY_WORD_OR_HAN_RUN = regex.compile(r"(?V1)\p{Han}+|[\p{L}\p{M}\p{N}--\p{Han}]+")
 _PY_HAN = regex.compile(r"\p{Han}")
 
@@ -74,30 +75,18 @@ def extension(path: Column) -> Column:
 
 
 def tokenize(text: Column) -> Column:
-    """Search terms of a text, in order, case kept, no stop words, no stemming.
+    """Search terms of a text: case kept, no stop words, no stemming.
 
-    Runs of letters, marks and digits are words. A run of Han characters gives
-    its characters and its bigrams, so that both one- and many-character
-    queries find it without a dictionary.
+    Runs of letters, marks and digits are words. Han characters are terms of
+    their own, and every pair of neighbours is one more term (listed last), so
+    that one- and many-character queries find them without a dictionary. Only
+    regular expressions are used, which keeps scans inside generated code.
     """
-
-    def han_grams(run: Column) -> Column:
-        n = F.length(run)
-        chars = F.regexp_extract_all(run, F.lit(r"(?s)."), F.lit(0))
-        pairs = F.when(
-            n > 1,
-            let(chars, lambda c: F.zip_with(F.slice(c, 1, n - 1), F.slice(c, 2, n - 1), lambda a, b: F.concat(a, b))),
-        ).otherwise(F.array().cast("array<string>"))
-        return F.concat(chars, pairs)
-
-    mixed = F.flatten(
-        F.transform(
-            F.regexp_extract_all(text, F.lit(WORD_OR_HAN_RUN), F.lit(0)),
-            lambda w: F.when(F.rlike(w, F.lit(r"^\p{IsHan}")), han_grams(w)).otherwise(F.array(w)),
-        )
-    )
+    words = F.regexp_extract_all(text, F.lit(WORD_OR_HAN), F.lit(0))
+    pairs = F.regexp_extract_all(text, F.lit(HAN_PAIR), F.lit(1))
+    # texts without Han characters take the cheaper pattern
     plain = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    return F.when(F.rlike(text, F.lit(r"\p{IsHan}")), mixed).otherwise(plain)
+    return F.when(F.rlike(text, F.lit(r"\p{IsHan}")), F.concat(words, pairs)).otherwise(plain)
 
 
 def query_terms(query: str) -> list[str]:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,10 +27,17 @@ def doc_lengths(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def postings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``term, doc_id, tf``. The terms of one text are combined before the shuffle,
-    and the shuffle key holds the id, so a frequent term spreads over all tasks."""
-    terms = df.select(F.col(id_col), F.explode(tokenize(F.col(text_col))).alias("term"))
-    return terms.groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    """``doc_id, dl, term, tf``; ``dl`` is the length of the whole text.
+
+    The terms of one text are combined before the shuffle, and the shuffle key
+    holds the id, so a frequent term spreads over all tasks.
+    """
+    tokens = df.select(F.col(id_col), tokenize(F.col(text_col)).alias("__t"))
+    # the length is taken before the explode: next to it, every row would drag the array along
+    sized = tokens.select(id_col, F.size("__t").cast("bigint").alias("dl"), "__t")
+    # the outer form keeps Spark from adding a filter that tokenises each text once more
+    terms = sized.select(id_col, "dl", F.explode_outer("__t").alias("term")).where("term IS NOT NULL")
+    return terms.groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def term_stats(post: DataFrame) -> DataFrame:
@@ -44,10 +53,6 @@ def term_weight(tf: Column, dl: Column, avg_dl: Column, idf_value: Column) -> Co
     return idf_value * (tf * F.lit(K1 + 1.0)) / (tf + F.lit(K1) * length)
 
 
-def _occurrences(tokens: str, term: str) -> Column:
-    return F.size(F.filter(tokens, lambda t: t == F.lit(term)))
-
-
 def _empty(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*columns, F.lit(None).cast("double").alias("bm25")).where(F.lit(False))
 
@@ -64,29 +69,19 @@ def rank_texts(
 ) -> DataFrame:
     """Top ``limit`` rows of ``df`` for ``query`` (all matches without a limit), straight from the text column.
 
-    Per row it needs one token array; nothing but the one-row corpus statistics
-    and the final top-n is exchanged. ``mode='and'`` asks for every query term.
-    Result: ``id_col, keep..., bm25`` (score rounded, ties broken by id).
+    Every text shrinks to one row of counts before the only exchange, and the
+    corpus statistics read that same exchange, so the texts are scanned once.
+    ``mode='and'`` asks for every query term. Result: ``id_col, keep..., bm25``
+    (score rounded, ties broken by id).
     """
     terms = query_terms(query)
     out = [id_col, *keep]
     if not terms:
         return _empty(df, out)
 
-    def with_counts(rows: DataFrame) -> DataFrame:
-        tokens = rows.select(*out, tokenize(F.col(text_col)).alias("__tokens"))
-        hits = tokens.select(
-            *out,
-            F.size("__tokens").alias("__dl"),
-            F.filter("__tokens", lambda t: t.isin(terms)).alias("__hits"),
-        )
-        return hits.select(
-            *out,
-            "__dl",
-            *[_occurrences("__hits", term).alias(f"__tf{i}") for i, term in enumerate(terms)],
-        )
-
-    counted = with_counts(df)
+    tokens = df.select(*out, F.explode_outer(tokenize(F.col(text_col))).alias("__term"))
+    hits = [F.count_if(F.col("__term") == F.lit(t)).alias(f"__tf{i}") for i, t in enumerate(terms)]
+    counted = tokens.groupBy(*out).agg(F.count("__term").alias("__dl"), *hits)
     stats = counted.agg(
         F.struct(
             F.count("*").cast("double").alias("n"),
@@ -95,20 +90,11 @@ def rank_texts(
         ).alias("s")
     ).scalar()
 
-    # a text without the term as a substring cannot hold it as a token: skip its tokenisation
-    present = [F.contains(F.col(text_col), F.lit(t)) for t in terms]
-    needed, matched = present[0], F.col("__tf0") > 0
-    for i in range(1, len(terms)):
-        if mode == "and":
-            needed, matched = needed & present[i], matched & (F.col(f"__tf{i}") > 0)
-        else:
-            needed, matched = needed | present[i], matched | (F.col(f"__tf{i}") > 0)
-
+    found = [F.col(f"__tf{i}") > 0 for i in range(len(terms))]
     score = F.lit(0.0)
     for i in range(len(terms)):
-        weight = term_weight(F.col(f"__tf{i}"), F.col("__dl"), stats["avg_dl"], idf(stats["n"], stats[f"df{i}"]))
-        score = score + weight
-    matches = with_counts(df.where(needed)).where(matched)
+        score = score + term_weight(F.col(f"__tf{i}"), F.col("__dl"), stats["avg_dl"], idf(stats["n"], stats[f"df{i}"]))
+    matches = counted.where(reduce(and_ if mode == "and" else or_, found))
     ranked = matches.select(*out, F.round(score, SCORE_DIGITS).alias("bm25"))
     return ranked if limit is None else ranked.orderBy(F.desc("bm25"), F.asc(id_col)).limit(limit)
 
@@ -132,15 +118,14 @@ def rank_postings(
     wanted = post.where(F.col("term").isin(list(terms)))
     n = F.lit(n_docs).cast("double") if not isinstance(n_docs, Column) else n_docs
     avg = F.lit(float(avg_dl)) if not isinstance(avg_dl, Column) else avg_dl
-    # one row holding one frequency per query term
-    freq = wanted.agg(
-        F.struct(*[F.count_if(F.col("term") == F.lit(t)).cast("double").alias(f"df{i}") for i, t in enumerate(terms)]).alias("s")
-    ).scalar()
     # one column per term, so that the sum runs in query order and is reproducible
     tf = [F.coalesce(F.max(F.when(F.col("term") == F.lit(t), F.col("tf"))), F.lit(0)).alias(f"__tf{i}") for i, t in enumerate(terms)]
-    if allowed is not None:
-        wanted = wanted.join(allowed.select("doc_id"), "doc_id", "left_semi")
-    rows = wanted.groupBy("doc_id").agg(F.max("dl").alias("__dl"), *tf)
+    every = wanted.groupBy("doc_id").agg(F.max("dl").alias("__dl"), *tf)
+    # document frequencies come from the same grouped rows: the exchange is computed once for both
+    freq = every.agg(
+        F.struct(*[F.count_if(F.col(f"__tf{i}") > 0).cast("double").alias(f"df{i}") for i in range(len(terms))], F.max("__dl")).alias("s")
+    ).scalar()
+    rows = every if allowed is None else every.join(allowed.select("doc_id"), "doc_id", "left_semi")
     if mode == "and":
         for i in range(len(terms)):
             rows = rows.where(F.col(f"__tf{i}") > 0)

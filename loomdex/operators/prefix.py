@@ -9,7 +9,6 @@ the summaries (one row per block) is joined back as the carry-in.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,7 +49,8 @@ def running(
 
     ``pos`` is an integer position, unique per key; ``reverse`` looks at the
     rows after this one instead. Positions should be roughly dense, so that a
-    block of ``block_rows`` positions holds at most that many rows.
+    block of ``block_rows`` positions holds at most that many rows. Keys are
+    ids and must not be NULL.
     """
     blk = "__block"
     blocked = df.withColumn(blk, F.floor(F.col(pos) / F.lit(block_rows)))
@@ -67,17 +67,8 @@ def running(
     local = Window.partitionBy(*keys, blk).orderBy(local_order).rowsBetween(Window.unboundedPreceding, -1)
     inside = blocked.select("*", *[_AGG[v.how](v.value).over(local).alias(f"__local_{n}") for n, v in values.items()])
 
-    # the key columns of a block summary are never NULL on one side only, so <=> keeps NULL keys together
-    right = carries.select(
-        *[F.col(k).alias(f"__key_{k}") for k in keys],
-        F.col(blk).alias("__key_block"),
-        *[f"__carry_{n}" for n in names],
-    )
-    on = reduce(
-        lambda a, b: a & b,
-        [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys] + [F.col(blk) == F.col("__key_block")],
-    )
-    return inside.join(right, on, "left").select(
+    # same keys as the local window, so the rows are not shuffled again
+    return inside.join(carries, [*keys, blk], "left").select(
         *df.columns,
         *[
             _merge(values[n].how, F.col(f"__local_{n}"), F.col(f"__carry_{n}")).alias(n)

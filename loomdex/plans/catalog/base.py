@@ -39,7 +39,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     """Documents table, one partition per task slot when the file has too few splits."""
     df = read_table(spark, sf, "documents")
-    return spread(df.select(*columns) if columns else df, "doc_id")
+    return spread(df.select(*columns) if columns else df)
 
 
 def doc_path(root: str = "/docs/") -> Column:

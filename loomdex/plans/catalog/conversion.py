@@ -62,7 +62,7 @@ def word_sections(spark, sf):
 
 
 def _section_rows(df, column, *keep):
-    return df.select(*keep, F.posexplode(column).alias("i", "s")).select(
+    return df.select(*keep, F.posexplode_outer(column).alias("i", "s")).where("i IS NOT NULL").select(
         *keep,
         (F.col("i") + 1).cast("bigint").alias("sec_no"),
         "s.title",
@@ -88,7 +88,8 @@ def convert_docx(spark, sf):
     """Real Word files built from the texts, read back and sectioned."""
     files = as_docx(word_documents(spark, sf))
     converted = convert.convert_docx(files)
-    return converted.select("file_path", "total_pages", F.posexplode("sections").alias("i", "s")).select(
+    rows = converted.select("file_path", "total_pages", F.posexplode_outer("sections").alias("i", "s")).where("i IS NOT NULL")
+    return rows.select(
         "file_path",
         (F.col("i") + 1).cast("bigint").alias("sec_no"),
         "s.title",
@@ -340,7 +341,7 @@ def sanitize_sql(expr: str) -> str:
 
 @query(f"SELECT page_id, {sanitize_sql('url')} AS name, {sanitize_sql('html')} AS long_name FROM pages")
 def sanitize_filename(spark, sf):
-    pages = spread(read_table(spark, sf, "pages"), "page_id")
+    pages = spread(read_table(spark, sf, "pages"))
     return pages.select(
         "page_id", md.sanitize_filename(F.col("url")).alias("name"), md.sanitize_filename(F.col("html")).alias("long_name")
     )

@@ -99,6 +99,7 @@ def hybrid_search_filtered_pre(spark, sf):
 
 
 def _chunks(spark, sf):
+    """Chunk table, stored once; ranking and lookups re-read the columns they need."""
     return materialize(chunk_table(md_docs(spark, sf)), "chunks")
 
 
@@ -186,16 +187,12 @@ def bm25_topk_postings(spark, sf):
     docs = documents(spark, sf, "doc_id", "text")
     lengths = bm25.doc_lengths(docs)
     stats = lengths.agg(F.struct(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avg_dl")).alias("s")).scalar()
-    tokens = docs.select("doc_id", tokenize(F.col("text")).alias("t")).select(
-        "doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")
-    )
-    post = tokens.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
-    return bm25.rank_postings(post, stats["n"], stats["avg_dl"], QUERY_TERMS, 100)
+    return bm25.rank_postings(bm25.postings(docs), stats["n"], stats["avg_dl"], QUERY_TERMS, 100)
 
 
 @query(f"SELECT doc_id, term, count(*) AS tf FROM ({_TOKENS}) GROUP BY ALL")
 def bm25_postings(spark, sf):
-    return _postings(spark, sf)
+    return _postings(spark, sf).select("doc_id", "term", "tf")
 
 
 @query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM ({_TOKENS}) GROUP BY ALL")

@@ -12,18 +12,17 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Give a scan with fewer splits than task slots one partition per slot.
 
     Small single-file inputs would otherwise run their text work in one task.
     Large inputs already have more splits than slots and pass unchanged, so no
-    shuffle is added at scale. ``keys`` should be unique ids: the hash then
-    spreads evenly, and later aggregations on them need no second exchange.
+    shuffle is added at scale.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= 2 * slots:
         return df
-    return df.repartition(slots, *keys)
+    return df.repartition(slots)
 
 
 def shared_folder(spark: SparkSession) -> str:

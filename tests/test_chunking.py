@@ -123,7 +123,7 @@ def test_unicode_whitespace(spark):
 
 def test_tokens(spark):
     df = spark.createDataFrame([("Hello, wörld 2.67亿元 hello",)], "t string")
-    assert df.select(tokenize(F.col("t"))).first()[0] == ["Hello", "wörld", "2", "67", "亿", "元", "亿元", "hello"]
+    assert df.select(tokenize(F.col("t"))).first()[0] == ["Hello", "wörld", "2", "67", "亿", "元", "hello", "亿元"]
     assert query_terms("石油营收 and 油 and") == ["石油", "油营", "营收", "and", "油"]
     assert query_terms("?!") == []
 
