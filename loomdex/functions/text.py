@@ -89,6 +89,32 @@ def tokenize(text: Column) -> Column:
     return F.when(F.rlike(text, F.lit(r"\p{IsHan}")), F.concat(words, pairs)).otherwise(plain)
 
 
+def term_counts(tokens: Column) -> Column:
+    """``array<struct<term,tf>>`` of a token array: sort, then measure the runs of equal terms.
+
+    Counting inside the row replaces an aggregation over exploded tokens, so
+    building postings needs no shuffle.
+    """
+
+    def runs(s: Column) -> Column:
+        n = F.size(s)
+        starts = F.filter(
+            F.sequence(F.lit(0), n - F.lit(1)), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - F.lit(1)))
+        )
+
+        def count(starts: Column) -> Column:
+            return F.transform(
+                starts,
+                lambda at, k: F.struct(
+                    F.get(s, at).alias("term"), (F.coalesce(F.get(starts, k + F.lit(1)), n) - at).cast("bigint").alias("tf")
+                ),
+            )
+
+        return F.when(n > 0, let(starts, count)).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+
+    return let(F.sort_array(tokens), runs)
+
+
 def query_terms(query: str) -> list[str]:
     """Distinct terms of one query, on the driver.
 

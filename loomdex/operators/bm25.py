@@ -9,7 +9,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.functions.text import query_terms, tokenize
+from loomdex.functions.text import query_terms, term_counts, tokenize
 
 # BM25 parameters.
 K1 = 1.2
@@ -27,17 +27,12 @@ def doc_lengths(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def postings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, dl, term, tf``; ``dl`` is the length of the whole text.
-
-    The terms of one text are combined before the shuffle, and the shuffle key
-    holds the id, so a frequent term spreads over all tasks.
-    """
+    """``doc_id, dl, term, tf``; ``dl`` is the length of the whole text. Needs no shuffle."""
     tokens = df.select(F.col(id_col), tokenize(F.col(text_col)).alias("__t"))
     # the length is taken before the explode: next to it, every row would drag the array along
-    sized = tokens.select(id_col, F.size("__t").cast("bigint").alias("dl"), "__t")
+    sized = tokens.select(id_col, F.size("__t").cast("bigint").alias("dl"), term_counts(F.col("__t")).alias("__c"))
     # the outer form keeps Spark from adding a filter that tokenises each text once more
-    terms = sized.select(id_col, "dl", F.explode_outer("__t").alias("term")).where("term IS NOT NULL")
-    return terms.groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf"))
+    return sized.select(id_col, "dl", F.inline_outer("__c")).where("term IS NOT NULL")
 
 
 def term_stats(post: DataFrame) -> DataFrame:
