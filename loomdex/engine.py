@@ -17,9 +17,11 @@ from loomdex.operators.bm25 import candidate_budget, rank_postings
 from loomdex.operators.filters import metadata_filter
 from loomdex.operators.vector import rank_all, rank_allowed
 from loomdex.plans import sync as syncing
-from loomdex.plans.convert import convert, tree, with_quality, write_tree
+from loomdex.plans.convert import convert, tree, with_quality, write_images, write_tree
 from loomdex.plans.hybrid import parent_chunks, with_context
+from loomdex.plans.repair import Rewriter, repair
 from loomdex.schemas import REMOVED
+from loomdex.sources.docx import read_docx
 from loomdex.sources.files import plain_path, read_files
 from loomdex.sources.pdf import PdfReader, pymupdf_reader
 from loomdex.store import Store, term_bucket
@@ -48,6 +50,7 @@ class SearchIndex:
         self.embedder = embedder or HashEmbedder()
         self.bit_width = bit_width
         self.pdf_reader = pdf_reader
+        self._stats: dict = {}
 
     # ingest
 
@@ -92,8 +95,7 @@ class SearchIndex:
     ) -> DataFrame:
         """``doc_id, bm25`` of the top ``limit`` chunks; ``post`` filters drop rows of that top."""
         terms = query_terms(query)
-        lengths = self.store.layer("lengths").where(F.col("field") == field)
-        row = lengths.agg(F.count("*"), F.avg("dl")).first()
+        row = self._corpus_stats(field)
         buckets = [term_bucket(F.lit(t)) for t in terms]
         post = self.store.layer("postings").where(F.col("field") == field)
         if buckets:
@@ -110,6 +112,14 @@ class SearchIndex:
         scores = self.spark.createDataFrame(list(found.items()), "doc_id long, bm25 double")
         return F.broadcast(scores).join(kept, "doc_id").orderBy(F.desc("bm25"), "doc_id")
 
+    def _corpus_stats(self, field: str) -> tuple[int, float]:
+        """Chunk count and mean length of a field, computed once per committed version."""
+        key = (self.store.head.version, field)
+        if self._stats.get("key") != key:
+            lengths = self.store.layer("lengths").where(F.col("field") == field)
+            self._stats = {"key": key, "row": tuple(lengths.agg(F.count("*"), F.avg("dl")).first())}
+        return self._stats["row"]
+
     def search(
         self, query: str, filters: Mapping | None = None, k: int = 10, *, mode: str = "and", filter_mode: str = "post"
     ) -> DataFrame:
@@ -213,9 +223,18 @@ class SearchIndex:
 
     # conversion
 
-    def convert(self, paths: Sequence[str], out_dir: str | None = None) -> DataFrame:
-        """Convert office files; with ``out_dir`` also write the Markdown tree there."""
+    def convert(
+        self, paths: Sequence[str], out_dir: str | None = None, *, rewriter: Rewriter | None = None
+    ) -> DataFrame:
+        """Convert office files; with ``out_dir`` also write the Markdown tree there.
+
+        A ``rewriter`` turns on the model repair of low-quality conversions.
+        """
         converted = with_quality(convert(read_files(self.spark, paths), pdf_reader=self.pdf_reader))
         if out_dir:
             write_tree(tree(converted), out_dir)
-        return converted
+        return repair(converted, rewriter) if rewriter else converted
+
+    def extract_images(self, paths: Sequence[str], out_dir: str) -> None:
+        """Write the images of Word files to ``out_dir/<document>/img_<n>.<ext>``."""
+        write_images(read_docx(read_files(self.spark, paths, [".docx"]), "file_path"), out_dir)
