@@ -252,7 +252,7 @@ def vector_missing(spark, sf):
 @query(
     """WITH scaled AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (1 + vec_id)) AS v FROM embeddings)
 SELECT vec_id, round(sqrt(list_dot_product(v, v)), 3) AS raw_norm, CAST(1.0 AS DOUBLE) AS unit_norm,
-round(v[1] / sqrt(list_dot_product(v, v)), 5) AS first FROM scaled"""
+round(CAST(CAST(v[1] / sqrt(list_dot_product(v, v)) AS FLOAT) AS DOUBLE), 5) AS first FROM scaled"""
 )
 def vector_l2_normalize(spark, sf):
     scaled = read_table(spark, sf, "embeddings").select(
