@@ -1,4 +1,4 @@
-"""The index object: one Spark session, one base folder, the reference operations on top."""
+"""The index object: one Spark session, one base folder, ingest, search and administration on top."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from loomdex.functions.text import query_terms
 from loomdex.functions.vectors import compression_ratio
 from loomdex.operators import docstore
 from loomdex.operators import registry as reg
-from loomdex.operators.bm25 import candidate_budget, rank_postings
+from loomdex.operators.bm25 import MAX_CANDIDATES, candidate_budget, rank_postings
 from loomdex.operators.filters import metadata_filter
 from loomdex.operators.vector import rank_all, rank_allowed
 from loomdex.plans import sync as syncing
@@ -107,6 +107,10 @@ class SearchIndex:
             ranked = rank_postings(post, row[0], row[1] or 1.0, terms, limit, mode=mode)
         if not filters or filter_mode == "pre":
             return ranked
+        if limit > MAX_CANDIDATES:
+            meta = self.chunks().select("doc_id", "department", "date")
+            kept = ranked.join(meta, "doc_id").where(metadata_filter(filters)).select("doc_id", "bm25")
+            return kept.orderBy(F.desc("bm25"), "doc_id")
         found = {r["doc_id"]: r["bm25"] for r in ranked.collect()}
         kept = self.chunks().where(F.col("doc_id").isin(list(found))).where(metadata_filter(filters)).select("doc_id")
         scores = self.spark.createDataFrame(list(found.items()), "doc_id long, bm25 double")

@@ -83,6 +83,7 @@ def test_metadata_filters(corpus):
     dept = set(ids(index.search("石油", {"department": "油服"})))
     assert dept and {by_name[i] for i in dept} == {"油服_20240131_周报.md"}
     assert set(ids(index.search("石油", {"department": "油服"}, filter_mode="pre"))) == dept
+    assert set(ids(index.bm25_candidates("石油", {"department": "油服"}, 5000))) == dept
     assert set(ids(index.search("石油", {"date_gte": "2024-01-01"}))) == dept
     assert set(ids(index.search("石油", {"date_lte": "2024-01-01"}))) == every - dept  # no date passes
     assert set(ids(index.search("石油", {"unknown": 1}))) == every
@@ -181,7 +182,9 @@ def test_lifecycle(spark, tmp_path):
 
     doc = write(docs, "new.docx", docx_bytes([("Heading 1", [("标题", False, False)]), ("", [("正文段落，足够长的一段文字内容。", False, False)])]))
     new_id = index.add_document(doc)
-    assert index.get_content(new_id)["title"] == "# 标题"
+    assert index.get_content(new_id)["title"] == "## 📑 章节导航"  # the navigation page comes first
+    titles = [r.title for r in index.get_by_filepath(doc).collect()]
+    assert titles[4:] == ["# 标题", "# 标题 [段落1]"]
     with pytest.raises(FileNotFoundError):
         index.add_document(str(tmp_path / "nothing.md"))
     with pytest.raises(ValueError):
@@ -189,7 +192,7 @@ def test_lifecycle(spark, tmp_path):
 
     reopened = SearchIndex(spark, str(tmp_path / "i"), HashEmbedder(16))
     assert reopened.get_content(new_id)["filepath"] == doc
-    assert reopened.get_by_filepath(doc).count() == 2
+    assert reopened.get_by_filepath(doc).count() == 6
 
 
 def test_uncommitted_version_is_invisible(spark, tmp_path):
