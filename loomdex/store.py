@@ -11,6 +11,7 @@ share, until :meth:`Store.compact` rewrites the live rows as a new floor version
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -46,6 +47,8 @@ class Store:
     def __init__(self, spark: SparkSession, base: str):
         self.spark = spark
         self.base = base.rstrip("/")
+        self._opened: dict[str, DataFrame] = {}
+        self._opened_at: Head | None = None
         try:
             self.head = self._read_head()
         except AnalysisException:
@@ -83,19 +86,30 @@ class Store:
     def commits(self) -> DataFrame:
         return self.spark.read.schema(schemas.COMMITS).parquet(self.path("commits"))
 
+    def _open(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """Keep the opened tables of the current version, so that their files are listed once, not per query."""
+        if self._opened_at != self.head:
+            self._opened, self._opened_at = {}, self.head
+        if name not in self._opened:
+            self._opened[name] = make()
+        return self._opened[name]
+
     def _versions(self, table: str, schema: T.StructType) -> DataFrame:
         with_version = T.StructType([*schema.fields, T.StructField("v", T.LongType())])
         rows = self.spark.read.schema(with_version).parquet(self.path(table))
         return rows.where(F.col("v").between(self.head.floor, self.head.version)).select(*schema.fieldNames())
 
     def removed(self) -> DataFrame:
-        return self._versions("removed", schemas.REMOVED)
+        return self._open("removed", lambda: self._versions("removed", schemas.REMOVED))
 
     def layer(self, name: str) -> DataFrame:
         """Live rows of one layer; filters on ids, terms and buckets reach the Parquet scan."""
-        return self._versions(name, LAYERS[name]).join(self.removed(), "doc_id", "left_anti").select(
-            *LAYERS[name].fieldNames()
-        )
+
+        def live() -> DataFrame:
+            rows = self._versions(name, LAYERS[name]).join(self.removed(), "doc_id", "left_anti")
+            return rows.select(*LAYERS[name].fieldNames())
+
+        return self._open(name, live)
 
     def registry(self) -> DataFrame:
         return self.spark.read.schema(schemas.REGISTRY).parquet(self.path("registry", self.head.version))
