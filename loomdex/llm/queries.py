@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm import bpe, packing, warc
+from loomdex.llm import bpe, chat, html, packing, warc
 from loomdex.llm.common import read_table
 from loomdex.plans.catalog.base import Entry
 
@@ -23,6 +23,12 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
+@query()
+def op1_html_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    pages = html.extract(read_table(spark, sf, "pages"), "html", into="text")
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query()
 def op2_warc(spark: SparkSession, sf: str) -> DataFrame:
     archives = warc.write_archives(read_table(spark, sf, "pages"), "page_id", "url", "html", min_bytes=0)
@@ -31,6 +37,25 @@ def op2_warc(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query()
+def op3_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    rows = read_table(spark, sf, "conversations").select(*extra.columns).union(extra)
+    template = chat.TurnTemplate()
+    done = chat.read_back(chat.format_conversations(rows, template), template)
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return done.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(turns, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        "rewritten_at",
+    )
+
+
 @query()
 def op9_hierarchical_packing(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
