@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -86,7 +87,10 @@ def encode(docs: DataFrame, text: str, rank_path: str, pattern: str, into: str =
     def token_ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoding = load_encoding(rank_path, pattern)
         for batch in batches:
-            yield pa.array([encode_text(encoding, t.as_py() or "") for t in batch], pa.list_(pa.int32()))
+            # compact numbers at once: lists of Python integers would take ten times the memory
+            ids = [np.array(encode_text(encoding, t.as_py() or ""), np.int32) for t in batch]
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
 
     return docs.withColumn(into, token_ids(F.col(text)))
 
@@ -98,6 +102,6 @@ def decode(docs: DataFrame, ids: str, rank_path: str, pattern: str, into: str =
     def raw_bytes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoding = load_encoding(rank_path, pattern)
         for batch in batches:
-            yield pa.array([encoding.decode_bytes(i.as_py() or []) for i in batch], pa.binary())
+            yield pa.array([encoding.decode_bytes(i.values.to_pylist() if i.is_valid else []) for i in batch], pa.binary())
 
     return docs.withColumn(into, raw_bytes(F.col(ids)))
