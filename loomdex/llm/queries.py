@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm import bpe, chat, html, packing, warc
+from loomdex.llm import bpe, chat, html, packing, quality, sharding, warc
 from loomdex.llm.common import read_table
 from loomdex.plans.catalog.base import Entry
 
@@ -56,6 +56,29 @@ def op3_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query()
+def op5_robust_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents")
+    return quality.judge(docs, "text", "lang", "source", keep=["doc_id"]).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
+    )
+
+
+@query()
+def op8_label_propagation(spark: SparkSession, sf: str) -> DataFrame:
+    placed = sharding.shard_documents(read_table(spark, sf, "documents"), "doc_id", "text", shards=24)
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "linked",
+    )
+
+
 @query()
 def op9_hierarchical_packing(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
