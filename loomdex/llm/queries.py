@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm import bpe, chat, html, packing, quality, sharding, warc
+from loomdex.llm import bpe, chat, html, mtree, packing, quality, sharding, warc
 from loomdex.llm.common import read_table
 from loomdex.plans.catalog.base import Entry
 
@@ -64,6 +64,23 @@ def op5_robust_quality(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_SCALED = """scaled AS (
+  SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+
+@query(
+    f"""WITH {_SCALED}, scored AS (
+  SELECT q.vec_id AS query_id, r.vec_id, CAST(list_dot_product(q.v, r.v) AS BIGINT) AS score
+  FROM scaled q JOIN scaled r ON q.vec_id % 50 = 0 AND r.vec_id <> q.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5"""
+)
+def op6_mtree_topk(spark: SparkSession, sf: str) -> DataFrame:
+    rows = mtree.usable(read_table(spark, sf, "embeddings"), "vec_id", "embedding", scale=256)
+    return mtree.top_k(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
 @query()
 def op8_label_propagation(spark: SparkSession, sf: str) -> DataFrame:
     placed = sharding.shard_documents(read_table(spark, sf, "documents"), "doc_id", "text", shards=24)
