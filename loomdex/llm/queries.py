@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm import bpe, chat, html, mtree, packing, quality, sharding, warc
+from loomdex.llm import bpe, chat, html, mtree, packing, quality, sharding, surrogates, warc
 from loomdex.llm.common import read_table
 from loomdex.plans.catalog.base import Entry
 
@@ -64,6 +64,16 @@ def op5_robust_quality(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: The key of the registered query; a deployment passes its own secret.
+SURROGATE_KEY = "query-key"
+
+
+@query()
+def op7_surrogates(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents")
+    return surrogates.replace(docs, "text", SURROGATE_KEY, count="n_replaced").withColumn("n_chars", F.length("text").cast("long"))
+
+
 _SCALED = """scaled AS (
   SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
