@@ -12,8 +12,8 @@ Values are rounded to multiples of 1/256; their sums are exact, so results do no
 
 Cases: a null text has no words and fails the base rules; null languages and sources are strata of their own; strata
 under ``SMALL`` rows are judged with the other small strata of their language, or all together; below ``FEWEST`` rows
-nothing is rejected; repeated rows are judged alike; an empty table gives no rows. Columns of the input that clash
-with those added are an error named by Spark, not a silent overwrite.
+nothing is rejected; repeated rows are judged alike; an empty table gives no rows. The input's columns come back in a
+struct of their own, so their names clash with nothing.
 """
 
 from __future__ import annotations
@@ -286,10 +286,11 @@ def fit(vectors: DataFrame) -> DataFrame:
     return estimate
 
 
-def judge(docs: DataFrame, text: str, lang: str, source: str, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of every document with its statistics, ``base_failed``, ``distance`` and ``kept``."""
-    found = docs.select(*keep, F.col(lang).alias("_lang"), F.col(source).alias("_source"), statistics(text).alias("_s"))
-    found = found.select(*keep, "_lang", "_source", "_s.*")
+def judge(docs: DataFrame, text: str, lang: str, source: str, keep: list[str] | None = None) -> DataFrame:
+    """``row`` (a struct of the columns ``keep``, all by default), the statistics, ``base_failed``, ``distance``, ``kept``."""
+    row = F.struct(*(F.col(f"`{c}`") for c in (keep or docs.columns)))
+    found = docs.select(row.alias("row"), F.col(lang).alias("_lang"), F.col(source).alias("_source"), statistics(text).alias("_s"))
+    found = found.select("row", "_lang", "_source", "_s.*")
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     # written once: the steps read the few columns they need, a lost executor costs a read
     stored = materialize(with_vector(found.withColumn("base_failed", base)), "statistics")
@@ -299,5 +300,5 @@ def judge(docs: DataFrame, text: str, lang: str, source: str, keep: list[str]) -
     judged = placed.join(estimate, ["s_lang", "s_source"], "left").withColumn("distance", _distance())
     outlier = F.coalesce(F.col("distance") > CUTOFF, F.lit(False))
     return judged.withColumn("kept", ~F.col("base_failed") & ~outlier).select(
-        *keep, *STATISTICS.fieldNames(), "base_failed", "distance", "kept"
+        "row", *STATISTICS.fieldNames(), "base_failed", "distance", "kept"
     )

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm import bpe, chat, html, mtree, packing, quality, sharding, surrogates, warc
+from loomdex.llm import bpe, chat, html, mtree, near_dup, packing, quality, sharding, surrogates, warc
 from loomdex.llm.common import read_table
 from loomdex.plans.catalog.base import Entry
 
@@ -56,11 +56,17 @@ def op3_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query()
+def op4_chosen_path_near_dup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents")
+    return near_dup.near_duplicates(docs, "doc_id", "text", size=2, percent=80).drop("text_key")
+
+
 @query()
 def op5_robust_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents")
     return quality.judge(docs, "text", "lang", "source", keep=["doc_id"]).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
     )
 
 
