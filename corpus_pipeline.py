@@ -39,8 +39,8 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of every document's tokens in windows of several lengths."""
-    ids = packing.tokenize(docs.select("doc_id", "text"), "text", public_tokenizers.path(TOKENIZER), END_ID)
-    return packing.pack(ids, "doc_id", "ids").withColumn("ids_crc32", F.crc32("ids"))
+    pieces = packing.pack(docs, "doc_id", "text", public_tokenizers.path(TOKENIZER), END_ID)
+    return pieces.withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +37,18 @@ BLOCK_TOKENS = 2_000_000
 STEP_WINDOWS = 32
 #: Words whose ids a task keeps at most; then it starts anew.
 KEPT_WORDS = 400_000
+#: Bytes of the texts whose words are looked up together.
+PART_BYTES = 4 << 20
+#: Signs at which Arrow splits words though the file does not take them for white space.
+ODD = "[\x1c-\x1f]"
+#: Letters, then ASCII signs that the file's split pattern never joins with letters (the apostrophe it may).
+PARTS = r"^(?P<core>\pL+)(?P<signs>[!-&(-/:-@\[-^`{-~]*)$"
+#: Bytes of the texts whose words are looked up together.
+PART_BYTES = 4 << 20
+#: Signs at which Arrow splits words though the file does not take them for white space.
+ODD = "[\x1c-\x1f]"
+#: ASCII signs that the file's split pattern never joins with letters (the apostrophe it may).
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
 
 PIECES = T.StructType(
     [
@@ -58,13 +71,12 @@ PIECES = T.StructType(
 class WordEncoder:
     """Ids by a ``tokenizers`` file whose pre-tokens never hold white space.
 
-    Ids of a word do not depend on its neighbours, so words that came before are looked up. A word of ASCII letters
-    followed by other signs is looked up in parts, in lower case, as the file's normaliser and split pattern do.
+    Ids of a word do not depend on its neighbours, so words that came before are looked up. Letters followed by signs
+    are looked up in parts, as the file's split pattern takes them apart; the normaliser ignores the case of ASCII letters.
     """
 
     def __init__(self, path: str):
         import os
-        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -72,45 +84,71 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.known: dict[str, bytes] = {}
-        self.parts = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
-        # splits of str that the file does not see as white space
-        self.odd = re.compile("[\x1c-\x1f]").search
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a pre-token
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, found: list[str]) -> None:
-        known = self.known
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        new = {w for w in found if w not in known}
-        halves = {w: (m[1].lower(), m[2]) for w in new if (m := self.parts(w))}
-        whole = list({x for w in new for x in halves.get(w, (w,)) if x and x not in known})
-        known.update(zip(whole, self._encode(whole)))
-        known.update({w: known[a] + (known[b] if b else b"") for w, (a, b) in halves.items()})
-
-    def __call__(self, text: str) -> bytes:
-        if self.odd(text):
-            return self._encode([text])[0]
-        found = text.split()
-        try:
-            return b"".join(map(self.known.__getitem__, found))
-        except KeyError:
-            self._learn(found)
-            return b"".join(map(self.known.__getitem__, found))
-
-
-def tokenize(docs: DataFrame, text: str, tokenizer_path: str, end_id: int, into: str = "ids") -> DataFrame:
-    """``docs`` with the ids of the whole text and ``end_id``, as little-endian unsigned 32-bit numbers, in ``into``."""
-
-    @F.arrow_udf(T.BinaryType())
-    def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = WordEncoder(tokenizer_path)
-        end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            yield pa.array([encoder(t.as_py() or "") + end for t in batch], pa.binary())
-
-    return docs.withColumn(into, ids_of(F.col(text)))
+    def _encode_letters(self, found: list[str]) -> list[bytes]:
+        """Words of letters in one call: each is one pre-token, and its last id says so; else word by word."""
+        if not found:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(found)], add_special_tokens=False)[0].ids, "<u4")
+        stops = np.nonzero(self.ends[ids])[0] + 1
+        if len(stops) != len(found):
+            return self._encode(found)
+        data, at = ids.tobytes(), 0
+        out = []
+        for stop in (4 * stops).tolist():
+            out.append(data[at:stop])
+            at = stop
+        return out
+
+    def _ids(self, words: list[str], encode) -> pa.Array:
+        """Ids of each word, from what is known or by ``encode``."""
+        if len(self.known) > KEPT_WORDS:
+            self.known.clear()
+        fresh = [w for w in words if w not in self.known]
+        self.known.update(zip(fresh, encode(fresh)))
+        return pa.array([self.known[w] for w in words], pa.binary())
+
+    def encode(self, texts: pa.Array, end_id: int) -> pa.Array:
+        """Ids of every text and ``end_id``; the words of all texts are split, numbered and looked up together."""
+        texts = pc.fill_null(texts, "")
+        if pc.any(pc.match_substring_regex(texts, ODD)).as_py():
+            end = np.array([end_id], "<u4").tobytes()
+            return pa.array([ids + end for ids in self._encode(texts.to_pylist())], pa.binary())
+        split = pc.utf8_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary
+        parts = pc.extract_regex(words, PARTS)
+        core = pc.ascii_lower(pc.struct_field(parts, "core")).dictionary_encode()
+        signs = pc.struct_field(parts, "signs").dictionary_encode()
+        ids = pc.binary_join_element_wise(
+            self._ids(core.dictionary.to_pylist(), self._encode_letters).take(core.indices),
+            self._ids(signs.dictionary.to_pylist(), self._encode).take(signs.indices),
+            b"",
+        )
+        other = pc.is_null(parts)
+        ids = pc.replace_with_mask(ids, other, self._ids(words.filter(other).to_pylist(), self._encode)).take(coded.indices)
+        at = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, 4 * ids.offset) // 4
+        numbers = np.frombuffer(ids.buffers()[2] or b"", "<u4")
+        stops = at[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        closed = np.insert(numbers[: stops[-1]], stops[1:], end_id).astype("<u4")
+        offsets = (4 * (stops + np.arange(len(stops)))).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(closed)])
+
+
+def slices(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """Runs of texts of about ``size`` bytes."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        end = int(np.searchsorted(total, (total[at - 1] if at else 0) + size)) + 1
+        yield texts.slice(at, end - at)
+        at = end
 
 
 # Windows
@@ -175,28 +213,44 @@ def steps_of(windows: list[list[tuple[int, int, int]]], step_windows: int) -> li
     return out
 
 
+def _blocks(rows: Iterator[tuple[int, bytes]], block_tokens: int) -> Iterator[tuple[list, list[bytes]]]:
+    names, texts, held = [], [], 0
+    for name, ids in rows:
+        names.append(name)
+        texts.append(ids)
+        held += len(ids) // 4
+        if held >= block_tokens:
+            yield names, texts
+            names, texts, held = [], [], 0
+    if names:
+        yield names, texts
+
+
 def pack(
     docs: DataFrame,
     doc_id: str,
-    ids: str,
+    text: str,
+    tokenizer_path: str,
+    end_id: int,
     tiers: tuple[int, ...] = TIERS,
     block_tokens: int = BLOCK_TOKENS,
     step_windows: int = STEP_WINDOWS,
 ) -> DataFrame:
-    """One row per piece: where it lies in its document and in its window, with its ids, tier and step."""
+    """One row per piece: where it lies in its document and in its window, with its ids, tier and step.
+
+    Ids go from the tokenizer to the windows inside one task.
+    """
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
-        names, texts, held = [], [], 0
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+        encoder = WordEncoder(tokenizer_path)
         for batch in batches:
-            for name, one in zip(batch.column(0).to_pylist(), batch.column(1)):
-                names.append(name)
-                texts.append(one.as_py() or b"")
-                held += len(texts[-1]) // 4
-                if held >= block_tokens:
-                    yield names, texts
-                    names, texts, held = [], [], 0
-        if names:
-            yield names, texts
+            names, at = batch.column(0).to_pylist(), 0
+            for part in slices(batch.column(1), PART_BYTES):
+                ids = encoder.encode(part, end_id)
+                for one in ids:
+                    yield names[at], one.as_py()
+                    at += 1
+            pa.default_memory_pool().release_unused()
 
     def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -206,7 +260,7 @@ def pack(
         schema = pa.schema(
             [(f.name, pa.binary() if f.name == "ids" else pa.int32() if f.name == "tier" else pa.int64()) for f in PIECES]
         )
-        for names, texts in blocks(batches):
+        for names, texts in _blocks(encoded(batches), block_tokens):
             windows = pack_block([len(t) // 4 for t in texts], tiers)
             steps = steps_of(windows, step_windows)
             rows = []
@@ -225,4 +279,4 @@ def pack(
                     [pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 10_000]), schema)], schema=schema
                 )
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(windows_of, PIECES)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(windows_of, PIECES)

@@ -114,9 +114,8 @@ def op8_label_propagation(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def op9_hierarchical_packing(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read_table(spark, sf, "documents").select("doc_id", "text")
-    ids = packing.tokenize(docs, "text", public_tokenizers.path("word_bpe_49k.json"), end_id=1)
-    pieces = packing.pack(ids, "doc_id", "ids")
+    docs = read_table(spark, sf, "documents")
+    pieces = packing.pack(docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step"
     )
