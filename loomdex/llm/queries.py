@@ -23,13 +23,32 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-@query()
+#: For the given pages: the article's text; the operator itself knows nothing of this shape.
+_ARTICLES = r"""WITH a AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS x FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(x, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS x FROM a),
+c AS (SELECT page_id, url, regexp_replace(replace(x, '&quot;', '"'), '&amp;?', '&', 'g') AS x FROM b),
+d AS (SELECT page_id, url, trim(regexp_replace(x, '\s+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d"""
+
+
+@query(_ARTICLES)
 def op1_html_main_text(spark: SparkSession, sf: str) -> DataFrame:
     pages = html.extract(read_table(spark, sf, "pages"), "html", into="text")
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-@query()
+_BASE32 = """array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  ((CAST('0x' || substr(x, CAST((i // 4) * 5 + 1 AS INTEGER), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) + 1, 1)), '')"""
+
+
+@query(
+    f"""WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha1(b) AS x FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY x) AS first FROM d)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
+)
 def op2_warc(spark: SparkSession, sf: str) -> DataFrame:
     archives = warc.write_archives(read_table(spark, sf, "pages"), "page_id", "url", "html", min_bytes=0)
     return warc.read_archives(archives).select(
@@ -37,7 +56,21 @@ def op2_warc(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query()
+_ESCAPED = "(2 * length({0}) - length(regexp_replace({0}, '[\\\\<\\[\\]]', '', 'g')))"
+
+
+@query(
+    f"""WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+g AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+    string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text) AS loss,
+    CAST(sum(11 + {_ESCAPED.format('role')} + {_ESCAPED.format('text')}) AS BIGINT) AS formatted_chars
+  FROM r GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
+  formatted_chars, CAST(NULL AS INTEGER) AS rewritten_at FROM g"""
+)
 def op3_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
@@ -56,7 +89,29 @@ def op3_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query()
+@query(
+    r"""WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+k AS (SELECT doc_id, w, min(doc_id) OVER (PARTITION BY w) AS rep FROM w),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS s
+  FROM k WHERE doc_id = rep),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
+f AS (SELECT t, count(*) AS df FROM t GROUP BY t),
+o AS (SELECT doc_id, n, t, row_number() OVER (PARTITION BY doc_id ORDER BY df, t) AS place FROM t JOIN f USING (t)),
+pre AS (SELECT * FROM o WHERE place <= n - ceil(n * 0.8) + 1),
+c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM pre a JOIN pre b ON a.t = b.t AND a.doc_id < b.doc_id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+m AS (SELECT c.a, c.b, len(x.s) + len(y.s) AS total, len(list_intersect(x.s, y.s)) AS shared FROM c JOIN s x ON x.doc_id = c.a JOIN s y ON y.doc_id = c.b),
+e AS (SELECT a, b FROM m WHERE 100 * shared >= 80 * (total - shared)),
+e2 AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT doc_id AS id, doc_id AS root FROM s UNION SELECT e2.b, reach.root FROM reach JOIN e2 ON e2.a = reach.id),
+comp AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id),
+r AS (
+  SELECT k.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, CASE WHEN len(k.w) = 0 THEN k.doc_id ELSE component_id END AS component_id
+  FROM k JOIN s ON s.doc_id = k.rep JOIN comp ON comp.id = k.rep)
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM r"""
+)
 def op4_chosen_path_near_dup(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents")
     return near_dup.near_duplicates(docs, "doc_id", "text", size=2, percent=80).drop("text_key")
