@@ -10,8 +10,8 @@ of their whole sets reaches ``percent`` of 100; duplicates are the connected com
    branching would go on for ever.
 3. Small nodes are compared exhaustively, by signatures: documents whose estimate reaches ``LEAST_EQUAL`` equal values are
    candidates. A node gives a spanning star of its candidates, never all pairs. Nodes that stay large are compared block by block.
-4. Candidates that hang together are brought together with their whole sets. Pairs are confirmed exactly, nearest estimates first; a
-   pair within a component already confirmed tells nothing new and is skipped. Large groups are again cut into pairs of blocks.
+4. Candidates that hang together are brought together with their whole sets. Pairs are confirmed exactly; a pair within a
+   component already confirmed tells nothing new and is skipped. Large groups are again cut into pairs of blocks.
 5. Confirmed links are contracted to components.
 
 Recall: documents of similarity 0.8 share a token under one coordinate with probability 0.8 and stay together through a branching
@@ -48,7 +48,7 @@ LEAST_EQUAL = 83
 #: Documents of a block of a node or group that is too large for one comparison.
 BLOCK = 1024
 #: Bytes of texts whose words are hashed together.
-PART_BYTES = 16 << 20
+PART_BYTES = 4 << 20
 
 _MULTIPLIERS = np.random.default_rng(20_240_601).integers(0, 1 << 31, COORDINATES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -235,34 +235,12 @@ def short_signature(sig: pa.Array) -> pa.Array:
     return pa.array([row.tobytes() for row in data], pa.binary())
 
 
-def candidate_pairs(cell: np.ndarray, side: np.ndarray, n: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``a, b, equal`` for rows of one cell (rows are sorted by cell) that may be similar enough."""
-    left, right, equals = [], [], []
-    for k in range(1, len(cell)):
-        a = np.nonzero(cell[:-k] == cell[k:])[0]
-        if not len(a):
-            break
-        b = a + k
-        ok = ((side[a] == 0) | (side[a] != side[b])) & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b]))
-        a, b = a[ok], b[ok]
-        for at in range(0, len(a), 65_536):
-            x, y = a[at : at + 65_536], b[at : at + 65_536]
-            equal = (sig[x] == sig[y]).sum(axis=1)
-            near = equal >= LEAST_EQUAL
-            left.append(x[near])
-            right.append(y[near])
-            equals.append(equal[near])
-    empty = [np.empty(0, np.int64)]
-    return tuple(np.concatenate(empty + c) for c in (left, right, equals))
-
-
-def roots(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest row connected with each row."""
-    root = np.arange(count)
+def merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``root`` (the smallest row connected with each row) after the rows of ``a`` and ``b`` are connected in pairs."""
     while len(a):
         low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
         np.minimum.at(root, high, low)
-        while True:  # to the roots
+        while True:
             jumped = root[root]
             if (jumped == root).all():
                 break
@@ -272,6 +250,33 @@ def roots(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+def connect(cell: np.ndarray, side: np.ndarray, n: np.ndarray, sig: np.ndarray, confirmed) -> tuple[np.ndarray, list]:
+    """Roots of the rows of each cell (rows are sorted by cell), and the pairs that connected them.
+
+    All pairs of a cell are compared by size and signature, and then by ``confirmed(a, b)``, unless what came before
+    has connected them already. Memory goes with the rows, not with the pairs.
+    """
+    root, pairs = np.arange(len(cell)), []
+    for k in range(1, len(cell)):
+        a = np.nonzero(cell[:-k] == cell[k:])[0]
+        if not len(a):
+            break
+        b = a + k
+        apart = (root[a] != root[b]) & ((side[a] == 0) | (side[a] != side[b]))
+        apart &= 5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])
+        a, b = a[apart], b[apart]
+        for at in range(0, len(a), 16_384):
+            x, y = a[at : at + 16_384], b[at : at + 16_384]
+            near = (sig[x] == sig[y]).sum(axis=1) >= LEAST_EQUAL
+            x, y = x[near], y[near]
+            if not len(x):
+                continue
+            sure = confirmed(x, y)
+            root = merge(root, x[sure], y[sure])
+            pairs.append((x[sure], y[sure]))
+    return root, pairs
+
+
 def whole_cells(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
     """Tables of whole cells, of about ``size`` bytes; rows come sorted by cell."""
     held: list[pa.RecordBatch] = []
@@ -300,8 +305,7 @@ def candidates(leaf: DataFrame, reps: DataFrame) -> DataFrame:
         for table in whole_cells(batches, 8 << 20):
             cell, side, rid, n = (table.column(c).to_numpy() for c in ("cell", "side", "rid", "n"))
             sig = np.frombuffer(b"".join(table.column("sig8").to_pylist()), np.uint8).reshape(-1, COORDINATES)
-            a, b, _ = candidate_pairs(cell, side, n, sig)
-            root = roots(len(cell), a, b)
+            root, _ = connect(cell, side, n, sig, lambda a, b: np.ones(len(a), bool))
             spoke = np.nonzero(root != np.arange(len(cell)))[0]
             yield pa.RecordBatch.from_arrays([pa.array(rid[root[spoke]]), pa.array(rid[spoke])], ["a", "b"])
 
@@ -316,32 +320,20 @@ def confirm(sets: DataFrame, percent: int) -> DataFrame:
     """
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_cells(batches, 32 << 20):
+        for table in whole_cells(batches, 16 << 20):
             cell, side, rid = (table.column(c).to_numpy() for c in ("cell", "side", "rid"))
             hashes = [np.frombuffer(h.as_buffer(), np.uint64) for h in table.column("hashes")]
             sig = np.frombuffer(b"".join(table.column("sig8").to_pylist()), np.uint8).reshape(-1, COORDINATES)
             n = np.array([len(h) for h in hashes])
-            a, b, equal = candidate_pairs(cell, side, n, sig)
-            order = np.argsort(-equal, kind="stable")
-            parent = list(range(len(cell)))
-
-            def find(x: int) -> int:
-                while parent[x] != x:  # noqa: B023
-                    parent[x] = parent[parent[x]]  # noqa: B023
-                    x = parent[x]  # noqa: B023
-                return x
-
-            left, right = [], []
-            for x, y in zip(a[order].tolist(), b[order].tolist()):
-                p, q = find(x), find(y)
-                if p == q:
-                    continue
-                both = len(np.intersect1d(hashes[x], hashes[y], assume_unique=True))
-                if 100 * both >= percent * (n[x] + n[y] - both):
-                    parent[max(p, q)] = min(p, q)
-                    left.append(rid[x])
-                    right.append(rid[y])
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+            def confirmed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                both = [len(np.intersect1d(hashes[x], hashes[y], assume_unique=True)) for x, y in zip(a, b)]  # noqa: B023
+                both = np.array(both, np.int64)
+                return 100 * both >= percent * (n[a] + n[b] - both)  # noqa: B023
+
+            _, pairs = connect(cell, side, n, sig, confirmed)
+            ends = [np.concatenate([np.empty(0, np.int64), *(rid[p[i]] for p in pairs)]) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()) for e in ends], ["a", "b"])
 
     return sets.repartition("cell").sortWithinPartitions("cell").mapInArrow(links, "a long, b long")
 
@@ -385,15 +377,20 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str, size: int = 5, perc
     members = groups.join(sizes, "group").join(reps, "rid").select("rid", "group", "rows", "doc_id", "digest", short_signature("sig").alias("sig8"))
     members = materialize(members, "members")
 
-    @F.arrow_udf(T.ArrayType(T.BinaryType()))
-    def sets_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [s for part in _slices(batch) for s in shingle_sets(part, size)]
-            yield pa.array([[hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s.tobytes()] for s in found], pa.list_(pa.binary()))
-
+            text = batch.column(batch.schema.get_field_index("text"))
+            hashes = [s.tobytes() for part in _slices(text) for s in shingle_sets(part, size)]
+            digests = batch.column(batch.schema.get_field_index("digest")).to_pylist()
+            own = [hashlib.blake2b(h, digest_size=16).digest() == d for h, d in zip(hashes, digests)]
+            kept = [batch.column(batch.schema.get_field_index(c)) for c in ("rid", "group", "rows", "sig8")]
+            out = pa.RecordBatch.from_arrays([*kept, pa.array(hashes, pa.binary())], ["rid", "group", "rows", "sig8", "hashes"])
+            yield out.filter(pa.array(own, pa.bool_()))
+
+    # sets are made after the join: texts move, sets of documents without candidates are never made
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    wanted = members.join(texts, "doc_id").withColumn("s", sets_of("text")).where(F.col("s")[0] == F.col("digest"))
-    wanted = wanted.select("rid", "group", "rows", "sig8", F.col("s")[1].alias("hashes")).dropDuplicates(["rid"])
+    wanted = members.join(texts, "doc_id").mapInArrow(with_sets, "rid long, group long, rows long, sig8 binary, hashes binary")
+    wanted = wanted.dropDuplicates(["rid"])
     linked = components(confirm(with_cells(wanted, "group", "rows"), percent)).withColumnRenamed("id", "rid")
     of_rep = reps.select("rid", "digest", F.col("doc_id").alias("_first")).join(linked, "rid", "left")
     of_rep = of_rep.withColumn("label", F.coalesce("label", "rid"))
