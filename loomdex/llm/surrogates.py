@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 
 from loomdex.llm.common import fresh_name, materialize
 
-_WORD_BEFORE = r"(?<![\p{L}\p{N}])"
 _WORD_AFTER = r"(?![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 # Titles by the gender they tell.
@@ -42,21 +41,24 @@ NEUTRAL = ("Mx", "Dr", "Prof")
 _TITLE = rf"(?:{'|'.join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))})\.?\s{{1,3}}"
 _SECRET_NAME = r"(?i:(?:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key|secret[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)"
 
-#: Kinds in the order in which they are tried at a place.
+#: Kinds in the order in which they are tried at a place; a finding never begins within a word or number.
 KINDS = {
-    "SECRET": rf"(?<!\p{{L}}){_SECRET_NAME}[^\s\"',;|]{{6,}}"
-    rf"|{_WORD_BEFORE}(?:AKIA|ASIA)[0-9A-Z]{{16}}{_WORD_AFTER}|{_WORD_BEFORE}gh[pousr]_[A-Za-z0-9]{{30,}}"
-    rf"|{_WORD_BEFORE}sk-[A-Za-z0-9_-]{{20,}}|{_WORD_BEFORE}(?=[0-9]*[A-Fa-f])[A-Fa-f0-9]{{32,}}{_WORD_AFTER}",
-    "EMAIL": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
-    "IP": rf"(?<![\p{{L}}\p{{N}}]|\d\.)(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}]|\.\d)",
-    "PHONE": r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)"
-    r"|(?<![\p{L}\p{N}])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\p{L}\p{N}.-])\d{3}[.-]\d{3}[.-]\d{4}(?!\d)",
-    "SSN": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
-    "CARD": r"(?<![\p{L}\p{N}])(?:\d{4}(?:[ -]\d{4}){3}|\d{13,19})(?![\p{L}\p{N}])",
-    "IBAN": rf"{_WORD_BEFORE}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?{_WORD_AFTER}",
-    "NAME": rf"(?<!\p{{L}}){_TITLE}\p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+){{0,2}}",
+    "SECRET": rf"(?=[PpTtSsAa]){_SECRET_NAME}[^\s\"',;|]{{6,}}"
+    rf"|(?:AKIA|ASIA)[0-9A-Z]{{16}}{_WORD_AFTER}|gh[pousr]_[A-Za-z0-9]{{30,}}"
+    rf"|sk-[A-Za-z0-9_-]{{20,}}|(?=[0-9]*[A-Fa-f])[A-Fa-f0-9]{{32,}}{_WORD_AFTER}",
+    "EMAIL": r"(?<![._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    "IP": rf"(?=\d)(?<!\d\.)(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}]|\.\d)",
+    "PHONE": r"(?=[+(\d])(?:(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)"
+    r"|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![.-])\d{3}[.-]\d{3}[.-]\d{4}(?!\d))",
+    "SSN": r"(?=\d)(?<!-)\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
+    "CARD": r"(?=\d)(?:\d{4}(?:[ -]\d{4}){3}|\d{13,19})(?![\p{L}\p{N}])",
+    "IBAN": rf"(?=[A-Z])[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?{_WORD_AFTER}",
+    "NAME": rf"(?=[MSHDFPг]){_TITLE}\p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+){{0,2}}",
 }
-PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+PATTERN = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
+#: What every finding holds: cheap to look for, and few texts have it.
+HINT = rf"[0-9@=:]|AKIA|ASIA|sk-|gh[pousr]_|[A-Fa-f]{{32}}|(?=[MSHDFPг]){_TITLE}"
+
 
 # Given names by script and gender, and syllables of family names.
 GIVEN = {
@@ -303,7 +305,8 @@ def replace(docs: DataFrame, text: str, key: str, count: str | None = None) -> D
     """``docs`` with surrogates in ``text``; ``count`` names a column for the number of replacements."""
     found = F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))
     own = fresh_name(docs, "_text_key")
-    hits = docs.where(F.col(text).rlike(PATTERN))
+    has = F.col(text).rlike(HINT) & F.col(text).rlike(PATTERN)
+    hits = docs.where(has)
     # equal texts once; the partial aggregation keeps a common text from making a large group
     texts = hits.select(F.md5(text).alias("text_key"), found.alias("found")).groupBy("text_key").agg(F.first("found").alias("found"))
     spots = texts.select("text_key", F.posexplode("found").alias("place", "surface"))
@@ -325,6 +328,6 @@ def replace(docs: DataFrame, text: str, key: str, count: str | None = None) -> D
     )
     names = {text: joined} | ({count: F.size(own + "_made")} if count else {})
     changed = hits.withColumn(own, F.md5(text)).join(surrogates, own).withColumns(names).drop(own, own + "_made")
-    clean = docs.where(~F.coalesce(F.col(text).rlike(PATTERN), F.lit(False)))
+    clean = docs.where(~F.coalesce(has, F.lit(False)))
     clean = clean.withColumn(count, F.lit(0)) if count else clean
     return clean.unionByName(changed.select(*clean.columns))
