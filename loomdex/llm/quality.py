@@ -247,7 +247,7 @@ def _distance() -> Column:
     for i in range(d):
         for j in range(i, d):
             total = total + F.col("inverse")[i * d + j] * off[i] * off[j] * (1 if i == j else 2)
-    return F.greatest(total, F.lit(0.0))
+    return F.when(total > 0, total).otherwise(total * 0)  # null without an estimate
 
 
 def _concentrate(vectors: DataFrame, estimate: DataFrame) -> DataFrame:

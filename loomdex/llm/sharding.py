@@ -6,8 +6,8 @@ many documents it has.
 
 1. Every document begins with a label from its id's hash.
 2. Rounds: the documents of a group wish to go to the group's most frequent label among the shards that have room. Wishes
-   beyond the room are granted in part, in equal proportion, so no shard gets more linked documents than its quota
-   but for the rounding. Rounds end when nobody moves, or after ``ROUNDS``.
+   beyond the room are granted in part, in equal proportion, those of small groups first, so no shard gets more linked
+   documents than its quota but for the rounding. Rounds end when nobody moves, or after ``ROUNDS``.
 3. Settling: quotas are exact (counts differ by one at most). A shard keeps linked documents up to its quota; the
    rest and the documents without links fill the vacant slots. Positions come from counts per hashed bucket.
 
@@ -25,6 +25,8 @@ from loomdex.llm.common import materialize
 
 #: Rounds of propagation at most.
 ROUNDS = 12
+#: Part of a shard's quota from which a group is large.
+LARGE = 0.25
 #: Rows of a bucket, about, and buckets at least.
 BUCKET_ROWS = 20_000
 BUCKETS = 256
@@ -65,23 +67,30 @@ def propagate(counts: DataFrame, quota: int, shards: int, rounds: int = ROUNDS)
         best = counts.groupBy("group").agg(
             F.max(F.when(open_shard, F.struct("n", (-_by_shard(loads)).alias("load"), (-F.col("shard")).alias("shard")))).alias("best")
         )
+        total = F.sum("n").over(Window.partitionBy("group"))  # at most one row per shard
         wishes = counts.join(best, "group").select(
             "group",
             "shard",
             "n",
+            (total > quota * LARGE).cast("int").alias("large"),
             # towards as many neighbours or more; the group has one aim per round, so equals do not swap places
             F.when(
                 (F.col("best.n") >= F.col("n")) & (-F.col("best.shard") != F.col("shard")), -F.col("best.shard")
             ).alias("to"),
         )
         wishes = materialize(wishes, "wishes")
-        asked = {r["to"]: r["n"] for r in wishes.where("to IS NOT NULL").groupBy("to").agg(F.sum("n").alias("n")).collect()}
-        if not asked:
+        asked = [[0] * shards, [0] * shards]
+        for r in wishes.where("to IS NOT NULL").groupBy("to", "large").agg(F.sum("n").alias("n")).collect():
+            asked[r["large"]][r["to"]] = r["n"]
+        if not any(map(any, asked)):
             break
-        granted = [min(1.0, room[s] / asked[s]) if s in asked else 0.0 for s in range(shards)]
-        share = F.element_at(F.array(*map(F.lit, granted)), F.col("to") + 1)
-        moved = F.coalesce(F.floor(F.col("n") * share + _chance("group", "shard", F.lit(turn))), F.lit(0))
-        moved = F.least(moved, F.col("n"))
+        # small groups first: they can stay whole
+        left = [max(0, room[s] - asked[0][s]) for s in range(shards)]
+        granted = [[min(1.0, r / max(1, a)) for r, a in zip(*pair)] for pair in ((room, asked[0]), (left, asked[1]))]
+        shares = [F.element_at(F.array(*map(F.lit, g)), F.col("to") + 1) for g in granted]
+        share = F.when(F.col("large") == 0, shares[0]).otherwise(shares[1])
+        moved = F.least(F.floor(F.col("n") * share + _chance("group", "shard", F.lit(turn))), F.col("n"))
+        moved = F.when(F.col("to").isNotNull(), moved).otherwise(0)
         stay = wishes.select("group", "shard", (F.col("n") - moved).alias("n"))
         go = wishes.where("to IS NOT NULL").select("group", F.col("to").alias("shard"), moved.alias("n"))
         counts = stay.unionByName(go).where("n > 0").groupBy("group", "shard").agg(F.sum("n").alias("n"))
