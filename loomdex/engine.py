@@ -13,7 +13,7 @@ from loomdex.functions.text import query_terms
 from loomdex.functions.vectors import compression_ratio
 from loomdex.operators import docstore
 from loomdex.operators import registry as reg
-from loomdex.operators.bm25 import MAX_CANDIDATES, candidate_budget, rank_postings
+from loomdex.operators.bm25 import candidate_budget, rank_postings
 from loomdex.operators.filters import metadata_filter
 from loomdex.operators.vector import rank_all, rank_allowed
 from loomdex.plans import sync as syncing
@@ -24,16 +24,15 @@ from loomdex.schemas import REMOVED
 from loomdex.sources.docx import read_docx
 from loomdex.sources.files import plain_path, read_files
 from loomdex.sources.pdf import PdfReader, pymupdf_reader
+from loomdex.sources.tables import materialize
 from loomdex.store import Store, term_bucket
 
 
 class SearchIndex:
     """Hybrid document index.
 
-    Searches return DataFrames. Between the stages of one search only the
-    candidate ids (at most 100) and the hit ids (at most k) reach the driver;
-    they go back into the next stage as literals, so the chunk and vector scans
-    prune files and row groups by id.
+    Searches return DataFrames whose stages are joined inside Spark; only the query itself is embedded on the driver.
+    ``dim`` fixes the length of all vectors; without it the first committed vectors do.
     """
 
     def __init__(
@@ -43,12 +42,14 @@ class SearchIndex:
         embedder: Embedder | None = None,
         *,
         bit_width: int = 4,
+        dim: int | None = None,
         pdf_reader: PdfReader = pymupdf_reader,
     ):
         self.spark = spark
         self.store = Store(spark, base)
         self.embedder = embedder or HashEmbedder()
         self.bit_width = bit_width
+        self.dim = dim
         self.pdf_reader = pdf_reader
         self._stats: dict = {}
 
@@ -59,8 +60,13 @@ class SearchIndex:
         files = read_files(self.spark, [path])
         if files.select("file_path").isEmpty():
             raise FileNotFoundError(f"document not found: {path}")
-        syncing.ingest(self.store, files, self.embedder, pdf_reader=self.pdf_reader)
-        first = self.chunks().where(F.col("filepath") == plain_path(path)).agg(F.min("doc_id")).first()[0]
+        before = self.store.refresh().max_id
+        syncing.ingest(self.store, files, self.embedder, dim=self.dim, pdf_reader=self.pdf_reader)
+        # new chunks take the ids after those given out before, so only this version's files are read
+        own = self.chunks().where((F.col("doc_id") > before) & (F.col("filepath") == plain_path(path)))
+        first = own.agg(F.min("doc_id")).first()[0]
+        if first is None:
+            first = self.chunks().where(F.col("filepath") == plain_path(path)).agg(F.min("doc_id")).first()[0]
         if first is None:
             raise ValueError(f"document has no indexable content: {path}")
         return first
@@ -73,9 +79,25 @@ class SearchIndex:
             config.get("supported_extensions", [".md"]),
             config.get("ignore_patterns") or [],
             self.embedder,
+            dim=self.dim,
             pdf_reader=self.pdf_reader,
         )
 
+    def remove_file(self, path: str) -> int:
+        """Hide all chunks of one file in every layer and forget the file; returns the number of chunks."""
+        path = plain_path(path)
+        head = self.store.refresh()
+        ids = self.chunks().where(F.col("filepath") == path).select("doc_id")
+        known = self.store.registry().where(F.col("file_path") == path)
+        found = ids.count()
+        if not found and known.isEmpty():
+            return 0
+        version = head.version + 1
+        self.store.write("removed", version, ids)
+        self.store.write("registry", version, reg.remove(self.store.registry(), known))
+        self.store.commit(version, {"deleted": 1}, max_id=head.max_id)
+        return found
+
     def remove_document(self, doc_id: int) -> bool:
         """Hide one chunk in every layer; False when there is no such chunk."""
         if self.get_content(doc_id) is None:
@@ -107,14 +129,8 @@ class SearchIndex:
             ranked = rank_postings(post, row[0], row[1] or 1.0, terms, limit, mode=mode)
         if not filters or filter_mode == "pre":
             return ranked
-        if limit > MAX_CANDIDATES:
-            meta = self.chunks().select("doc_id", "department", "date")
-            kept = ranked.join(meta, "doc_id").where(metadata_filter(filters)).select("doc_id", "bm25")
-            return kept.orderBy(F.desc("bm25"), "doc_id")
-        found = {r["doc_id"]: r["bm25"] for r in ranked.collect()}
-        kept = self.chunks().where(F.col("doc_id").isin(list(found))).where(metadata_filter(filters)).select("doc_id")
-        scores = self.spark.createDataFrame(list(found.items()), "doc_id long, bm25 double")
-        return F.broadcast(scores).join(kept, "doc_id").orderBy(F.desc("bm25"), "doc_id")
+        meta = self.chunks().select("doc_id", "department", "date").where(metadata_filter(filters))
+        return ranked.join(meta.select("doc_id"), "doc_id").select("doc_id", "bm25").orderBy(F.desc("bm25"), "doc_id")
 
     def _corpus_stats(self, field: str) -> tuple[int, float]:
         """Chunk count and mean length of a field, computed once per committed version."""
@@ -125,31 +141,33 @@ class SearchIndex:
         return self._stats["row"]
 
     def search(
-        self, query: str, filters: Mapping | None = None, k: int = 10, *, mode: str = "and", filter_mode: str = "post"
+        self,
+        query: str,
+        filters: Mapping | None = None,
+        k: int = 10,
+        *,
+        mode: str = "and",
+        filter_mode: str = "post",
+        budget: int | None = None,
     ) -> DataFrame:
-        """``doc_id, score`` (cosine, larger is better), at most ``k`` rows."""
-        found = self.bm25_candidates(query, filters, candidate_budget(k), mode=mode, filter_mode=filter_mode)
-        ids = [r["doc_id"] for r in found.select("doc_id").collect()]
-        vector = embed_one(self.embedder, query) if ids else None
+        """``doc_id, score`` (cosine, larger is better), at most ``k`` rows of the ``budget`` best BM25 candidates.
+
+        The budget defaults to ten candidates per result, 100 at most; one below ``k`` is an error.
+        """
+        found = self.bm25_candidates(query, filters, candidate_budget(k, budget), mode=mode, filter_mode=filter_mode)
+        vector = embed_one(self.embedder, query)
         vectors = self.store.layer("vectors")
         if vector is None:
             return vectors.select("doc_id", F.lit(0.0).alias("score")).where(F.lit(False))
-        allowed = self.spark.createDataFrame([(i,) for i in ids], "doc_id long")
-        return rank_allowed(
-            vectors.where(F.col("doc_id").isin(ids)), allowed, F.array(*map(F.lit, vector)), k, bounded=True
-        )
+        return rank_allowed(vectors, found, F.array(*map(F.lit, vector)), k)
 
     def search_with_context(
         self, query: str, filters: Mapping | None = None, k: int = 10, *, collapse_parent: bool = False, **options
     ) -> DataFrame:
-        """Enriched hits, best first: file, chunk, and the parent section of an L2."""
-        hits = [(r["doc_id"], r["score"]) for r in self.search(query, filters, k, **options).collect()]
-        ids = [h[0] for h in hits]
-        parents = self.chunks().where(F.col("doc_id").isin(ids)).select("parent_id").where("parent_id IS NOT NULL")
-        needed = ids + [r["parent_id"] for r in parents.collect()]
-        rows = self.chunks().where(F.col("doc_id").isin(needed))
+        """Enriched hits, best first: file, chunk, and the parent section of an L2; ``options`` as for :meth:`search`."""
+        hits = [(r["doc_id"], r["score"]) for r in self.search(query, filters, k, **options).collect()]  # at most k
         return with_context(
-            self.spark.createDataFrame(hits, "doc_id long, score double"), rows, collapse_parent=collapse_parent
+            self.spark.createDataFrame(hits, "doc_id long, score double"), self.chunks(), collapse_parent=collapse_parent
         )
 
     def search_vectors(self, query: str, k: int = 10) -> DataFrame:
@@ -171,6 +189,24 @@ class SearchIndex:
         row = self.chunks().where(F.col("doc_id") == doc_id).first()
         return row.asDict() if row else None
 
+    def keys(self) -> DataFrame:
+        return self.chunks().select("doc_id")
+
+    def __contains__(self, doc_id: int) -> bool:
+        return self.get_content(doc_id) is not None
+
+    def __getitem__(self, doc_id: int) -> dict:
+        row = self.get_content(doc_id)
+        if row is None:
+            raise KeyError(doc_id)
+        return row
+
+    def __len__(self) -> int:
+        return self.chunks().count()
+
+    def __bool__(self) -> bool:
+        return True
+
     def get_by_filepath(self, path: str) -> DataFrame:
         return docstore.by_filepath(self.chunks(), path)
 
@@ -197,7 +233,7 @@ class SearchIndex:
             "bm25_chunks": layers("lengths").where("field = 'content'").count(),
             "vec_vectors": layers("vectors").count(),
             "store_docs": layers("chunks").count(),
-            "compression_ratio": compression_ratio(self.bit_width),
+            "compression_ratio": compression_ratio(32),  # vectors are stored as they are
             "id_counter": self.store.head.max_id,
         }
 
@@ -222,8 +258,9 @@ class SearchIndex:
         """Hidden chunks that :meth:`compact` would drop."""
         return self.store.removed().count()
 
-    def compact(self) -> int:
-        return self.store.compact()
+    def compact(self, keep_versions: int = 1) -> int:
+        """Drop hidden rows; folders of all but the last ``keep_versions`` floors are deleted."""
+        return self.store.compact(keep_versions)
 
     # conversion
 
@@ -234,7 +271,8 @@ class SearchIndex:
 
         A ``rewriter`` turns on the model repair of low-quality conversions.
         """
-        converted = with_quality(convert(read_files(self.spark, paths), pdf_reader=self.pdf_reader))
+        # stored, so that the tree and the returned rows come from one parse of the files
+        converted = materialize(with_quality(convert(read_files(self.spark, paths), pdf_reader=self.pdf_reader)), "converted")
         if out_dir:
             write_tree(tree(converted), out_dir)
         return repair(converted, rewriter) if rewriter else converted

@@ -35,31 +35,30 @@ def l2_normalize(v: Column) -> Column:
     )
 
 
-def cosine_udf(query: list[float]):
-    """Arrow UDF ``vector column -> cosine`` against one fixed query, one matrix product per batch.
+def best_cosines(query: list[float], k: int, digits: int):
+    """For ``mapInArrow`` over ``id, vector``: each batch's best ``k`` by rounded cosine, then id.
 
-    Used for full scans, where interpreting a lambda per element would dominate.
-    Rows whose length differs from the query get NULL.
+    One matrix product per batch, and only ``k`` rows of it go on. Vectors of another length than the query, and null
+    ones, have no score.
     """
     q = np.asarray(query, dtype=np.float64)
     q_norm = float(np.linalg.norm(q))
-
-    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for arr in batches:
-            lengths = arr.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
-            usable = lengths == len(q)
-            out = np.zeros(len(arr), dtype=np.float64)
-            if usable.any():
-                picked = arr if usable.all() else arr.filter(pa.array(usable))
-                flat = picked.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                matrix = flat.reshape(-1, len(q))
-                scale = np.sqrt(np.einsum("ij,ij->i", matrix, matrix)) * q_norm
-                raw = matrix @ q
-                out[usable] = np.divide(raw, scale, out=np.zeros_like(raw), where=scale > 0)
-            yield pa.array(out, mask=~usable)
-
-    score.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(score, returnType="double")
+    unit = 10.0**digits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = batch.column(1).value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+            usable = batch.filter(pa.array(lengths == len(q)))
+            matrix = usable.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(q))
+            scale = np.sqrt(np.einsum("ij,ij->i", matrix, matrix)) * q_norm
+            raw = np.divide(matrix @ q, scale, out=np.zeros(len(matrix)), where=scale > 0)
+            score = np.copysign(np.floor(np.abs(raw) * unit + 0.5) / unit, raw)  # halves away from zero, as Spark rounds
+            ids = usable.column(0).to_numpy(zero_copy_only=False)
+            best = np.lexsort((ids, -score))[:k]
+            best = best[~np.isnan(score[best])]
+            yield pa.RecordBatch.from_arrays([usable.column(0).take(pa.array(best)), pa.array(score[best])], ["id", "score"])
+
+    return run
 
 
 def quantize(v: Column, bits: int) -> Column:

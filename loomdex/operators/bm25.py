@@ -18,8 +18,12 @@ MAX_CANDIDATES = 100
 SCORE_DIGITS = 9
 
 
-def candidate_budget(k: int) -> int:
-    return min(10 * k, MAX_CANDIDATES)
+def candidate_budget(k: int, budget: int | None = None) -> int:
+    """Candidates a search re-ranks: ``budget``, by default ten per result and 100 at most."""
+    limit = min(10 * k, MAX_CANDIDATES) if budget is None else budget
+    if limit < k:
+        raise ValueError(f"{limit} candidates cannot give {k} results: pass a budget of {k} or more")
+    return limit
 
 
 def doc_lengths(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

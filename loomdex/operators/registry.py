@@ -60,14 +60,15 @@ def mark_indexed(registry: DataFrame, done: DataFrame, at: Column) -> DataFrame:
 
 
 def mark_error(registry: DataFrame, failed: DataFrame, at: Column) -> DataFrame:
-    """``failed``: ``file_path, error``."""
-    hit = failed.select("file_path", F.col("error").alias("__e"))
+    """``failed``: ``file_path, error`` and, where the file's chunk count changes, ``n_chunks``."""
+    count = F.col("n_chunks") if "n_chunks" in failed.columns else F.lit(None)
+    hit = failed.select("file_path", F.col("error").alias("__e"), count.cast("int").alias("__n"))
     bad = F.col("__e").isNotNull()
     return registry.join(hit, "file_path", "left").select(
         "file_path",
         "file_id",
         "content_hash",
-        "chunk_count",
+        F.coalesce(F.col("__n"), F.col("chunk_count")).alias("chunk_count"),
         F.when(bad, F.lit("error")).otherwise(F.col("status")).alias("status"),
         F.when(bad, at).otherwise(F.col("indexed_at")).alias("indexed_at"),
         F.coalesce(F.col("__e"), F.col("error_message")).alias("error_message"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.functions.vectors import cosine, cosine_udf
+from loomdex.functions.vectors import best_cosines, cosine
 
 SCORE_DIGITS = 6
 
@@ -16,8 +16,9 @@ def top_k(scored: DataFrame, k: int, id_col: str = "doc_id") -> DataFrame:
 
 def rank_all(vectors: DataFrame, query: list[float], k: int, *, id_col: str = "doc_id", vector_col: str = "embedding") -> DataFrame:
     """Exact top ``k`` over every vector: Arrow batches, one matrix product each, no shuffle but the top-k."""
-    score = F.round(cosine_udf(query)(F.col(vector_col)), SCORE_DIGITS).alias("score")
-    return top_k(vectors.select(id_col, score).where(F.col("score").isNotNull()), k, id_col)
+    kind = vectors.schema[id_col].dataType.simpleString()
+    scored = vectors.select(id_col, vector_col).mapInArrow(best_cosines(query, k, SCORE_DIGITS), f"id {kind}, score double")
+    return top_k(scored.withColumnRenamed("id", id_col), k, id_col)
 
 
 def rank_allowed(
@@ -28,17 +29,14 @@ def rank_allowed(
     *,
     id_col: str = "doc_id",
     vector_col: str = "embedding",
-    bounded: bool = False,
 ) -> DataFrame:
     """Top ``k`` among the ids of ``allowed``; ids without a vector drop out.
 
-    The semi join comes before the scoring projection, so only allowed vectors
-    are scored. ``bounded`` says that ``allowed`` ends in a limit and may be
-    broadcast; otherwise the join strategy is left to the optimizer.
+    The semi join comes before the scoring projection, so only allowed vectors are scored. How it runs is left to the
+    optimizer, which knows the size of the list once it has been computed.
     """
     ids = allowed.select(id_col)
-    if bounded:
-        ids = F.broadcast(ids)
     kept = vectors.select(id_col, vector_col).join(ids, id_col, "left_semi").withColumn("__query", query)
     score = F.round(cosine(F.col(vector_col), F.col("__query")), SCORE_DIGITS)
-    return top_k(kept.select(id_col, score.alias("score")), k, id_col)
+    # a vector of another length, or with a null component, has no score and takes no place
+    return top_k(kept.select(id_col, score.alias("score")).where("score IS NOT NULL"), k, id_col)

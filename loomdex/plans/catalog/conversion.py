@@ -165,13 +165,13 @@ def section_sizes(spark, sf):
 
 
 def _toc_line(line, i):
-    words = F.array_join(F.slice(tokenize(line), 1, 3), " ")
+    words = F.array_join(tokenize(line), " ")
     number = F.concat((i + 1).cast("string"), F.when(i % 3 == 0, F.concat(F.lit("."), (i % 7 + 1).cast("string"))).otherwise(""))
     return F.concat(number, F.lit(" "), words, F.lit(" ..... "), (i + 2).cast("string"))
 
 
 @query(
-    f"""WITH l AS (SELECT doc_id, i, l[i] AS t, array_to_string(regexp_extract_all(l[i], '{WORD_SQL}')[1:3], ' ') AS words
+    f"""WITH l AS (SELECT doc_id, i, l[i] AS t, array_to_string(regexp_extract_all(l[i], '{WORD_SQL}'), ' ') AS words
   FROM (SELECT doc_id, string_split(text, {NL}) AS l FROM documents), unnest(range(1, len(l)+1)) AS u(i)),
 toc AS (SELECT doc_id, i, {strip_sql("i||CASE WHEN (i-1) % 3 = 0 THEN '.'||((i-1) % 7 + 1) ELSE '' END||' '||words||' ..... '||(i+1)")} AS line FROM l),
 m AS (SELECT doc_id, i, regexp_extract(line, '^(\\d+(?:\\.\\d+)*)\\s+([\\p{{L}}\\p{{M}}\\p{{N}}_\\s]+?)\\s+[•·.+]*\\s+(\\d+)$', ['num', 'title', 'page']) AS g FROM toc)
@@ -254,9 +254,6 @@ def pdf_bookmark_sections(spark, sf):
 
 # quality
 
-_SPACED = ("replace", " the ", "\n\n\n")
-
-
 @query(
     f"""WITH l AS (SELECT doc_id, i, {strip_sql('l[i]')} = '' AS blank FROM (
   SELECT doc_id, string_split(replace(text, ' the ', repeat({NL}, 3)), {NL}) AS l FROM documents), unnest(range(1, len(l)+1)) AS u(i)),
@@ -349,12 +346,14 @@ def sanitize_filename(spark, sf):
 
 @query(
     f"""WITH r AS (SELECT doc_id, list_transform(string_split(text, {NL}), lambda l, i:
-  list_transform(range(1, 4), lambda c: CASE WHEN c <= (i-1) % 5 THEN coalesce(regexp_extract_all(l, '{WORD_SQL}')[c], '') ELSE '' END)) AS rows_ FROM documents)
+  list_transform(range(1, 4), lambda c: CASE WHEN c > (i-1) % 5 THEN '' WHEN c = 2 THEN CAST(len(regexp_extract_all(l, '{WORD_SQL}')) AS VARCHAR) ELSE l END)) AS rows_ FROM documents)
 SELECT doc_id, '| first | second | third |'||{NL}||'| --- | --- | --- |'||{NL}||
 array_to_string(list_transform(rows_, lambda x: '| '||array_to_string(x, ' | ')||' |'), {NL}) AS body FROM r"""
 )
 def table_to_markdown(spark, sf):
-    rows = F.transform(F.split("text", "\n"), lambda t, i: F.slice(tokenize(t), F.lit(1), i % 5))
+    """Whole lines as cells, beside their number of words; rows of no to four cells."""
+    cells = lambda t: F.array(t, F.size(tokenize(t)).cast("string"), t, t)
+    rows = F.transform(F.split("text", "\n"), lambda t, i: F.slice(cells(t), F.lit(1), i % 5))
     headers = F.array(F.lit("first"), F.lit("second"), F.lit("third"))
     return documents(spark, sf, "doc_id", "text").select("doc_id", md.table_markdown(headers, rows).alias("body"))
 

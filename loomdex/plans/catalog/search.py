@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.functions.embed import HashEmbedder, embedding
+from loomdex.functions.embed import HashEmbedder, embed_rows
 from loomdex.functions.format import hit_json, hit_text
 from loomdex.functions.identity import name_date, name_department
 from loomdex.functions.text import query_terms, tokenize
-from loomdex.functions.vectors import compression_ratio, dequantize, l2_normalize, norm, quantize
+from loomdex.functions.vectors import compression_ratio, dequantize, l2_normalize, quantize
 from loomdex.operators import bm25
 from loomdex.operators.chunking import chunk_table
 from loomdex.operators.vector import rank_all, rank_allowed
 from loomdex.plans import hybrid
 from loomdex.plans.catalog.base import (
     HIERARCHICAL_SQL,
-    MD_DOCS_SQL,
     WORD_SQL,
     bm25_sql,
     cosine_sql,
@@ -139,25 +138,26 @@ def search_collapsed_to_section(spark, sf):
     + r""" SELECT id, '📄 '||file_name||' ('||chunk_type||')'||chr(10)||'   分数: '||format('{:.3f}', score)||chr(10)
 ||CASE WHEN chunk_type = 'L2' AND parent_title <> '' THEN '   章节: '||parent_title||chr(10) ELSE '' END
 ||'   标题: '||section_title||chr(10)||'   内容预览: '||substr(matched_content, 1, 100)||'...' AS text,
-length(substr(matched_content, 1, 200)) AS preview_length FROM enriched"""
+CAST(id AS VARCHAR) AS json_id, round(score, 4) AS json_score, file_path AS json_path, chunk_type AS json_type, section_title AS json_title,
+substr(matched_content, 1, 200) AS json_preview FROM enriched"""
 )
 def render_hits(spark, sf):
-    hits = _context(spark, sf)
-    preview = F.get_json_object(hit_json(), "$.content_preview")
-    return hits.select("id", hit_text().alias("text"), F.length(preview).cast("bigint").alias("preview_length"))
+    hits = _context(spark, sf).select("id", hit_text().alias("text"), hit_json().alias("json"))
+    names = {"id": "id", "path": "file_path", "type": "chunk_type", "title": "title", "preview": "content_preview"}
+    field = lambda name: F.get_json_object("json", f"$.{name}")
+    fields = [field(name).alias(f"json_{short}") for short, name in names.items()]
+    return hits.select("id", "text", field("score").cast("double").alias("json_score"), *fields)
 
 
 @query(
     f"""WITH RECURSIVE {HIERARCHICAL_SQL} SELECT c.chunk_id AS doc_id, p.chunk_id AS parent_doc_id, p.title AS parent_title,
-length(p.content) AS parent_chars FROM chunk_table c LEFT JOIN chunk_table p
+p.content AS parent_content FROM chunk_table c LEFT JOIN chunk_table p
 ON p.chunk_id = CASE WHEN c.chunk_type = 'L1' THEN c.chunk_id ELSE c.parent_id END"""
 )
 def parent_chunk_lookup(spark, sf):
     chunks = _chunks(spark, sf)
     found = hybrid.parent_chunks(chunks, chunks)
-    return found.select(
-        "doc_id", "parent_doc_id", "parent_title", F.length("parent_content").cast("bigint").alias("parent_chars")
-    )
+    return found.select("doc_id", "parent_doc_id", "parent_title", "parent_content")
 
 
 @query(f"WITH {bm25_sql('documents', QUERY_TERMS, 100)} SELECT doc_id, bm25 FROM bm")
@@ -216,17 +216,45 @@ def bm25_corpus_stats(spark, sf):
     )
 
 
+@query(f"SELECT doc_id, array_to_string(regexp_extract_all(text, '{WORD_SQL}'), ' ') AS tokens FROM documents")
+def tokenize_counts(spark, sf):
+    """The terms themselves, in their order."""
+    return documents(spark, sf, "doc_id", "text").select("doc_id", F.array_join(tokenize(F.col("text")), " ").alias("tokens"))
+
+
+#: Small letters as Han characters, so that both engines have Han texts.
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_HAN = "的一是不了人我在有他这为之大来以个中上们到说国和地也"
+
+
 @query(
-    f"""SELECT doc_id, len(w)::BIGINT AS n_tokens, len(list_distinct(w))::BIGINT AS n_terms
-FROM (SELECT doc_id, regexp_extract_all(text, '{WORD_SQL}') AS w FROM documents)"""
+    f"""WITH h AS (SELECT doc_id, translate(text, '{_LETTERS}', '{_HAN}') AS t FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(t, '[{_HAN}]|[^{_HAN}\\P{{L}}]+|[\\p{{M}}\\p{{N}}]+') AS w, t FROM h),
+r AS (SELECT doc_id, unnest(regexp_extract_all(t, '[{_HAN}]+')) AS run FROM h),
+p AS (SELECT doc_id, substr(run, i, 2) AS pair FROM r, unnest(range(1, length(run))) AS u(i)),
+c AS (SELECT doc_id, term, count(*) AS tf FROM (
+  SELECT doc_id, unnest(regexp_extract_all(t, '[{_HAN}]')) AS term FROM h UNION ALL SELECT doc_id, pair FROM p) GROUP BY ALL)
+SELECT doc_id, term, tf FROM c"""
 )
-def tokenize_counts(spark, sf):
-    tokens = documents(spark, sf, "doc_id", "text").select("doc_id", tokenize(F.col("text")).alias("w"))
-    return tokens.select(
-        "doc_id",
-        F.size("w").cast("bigint").alias("n_tokens"),
-        F.size(F.array_distinct("w")).cast("bigint").alias("n_terms"),
-    )
+def tokenize_han(spark, sf):
+    """Characters and neighbouring pairs of Han texts; terms of other letters are left to the other rows."""
+    texts = documents(spark, sf, "doc_id", "text").select("doc_id", F.translate("text", _LETTERS, _HAN).alias("text"))
+    found = bm25.postings(texts).select("doc_id", "term", "tf")
+    return found.where(F.rlike("term", F.lit(f"^[{_HAN}]+$")))
+
+
+_HAN_QUERY = "的一"
+
+
+@query(
+    f"""WITH h AS (SELECT doc_id, translate(text, '{_LETTERS}', '{_HAN}') AS t FROM documents)
+SELECT doc_id, CAST(length(t) - length(replace(t, '{_HAN_QUERY}', '')) AS BIGINT) // 2 AS tf FROM h WHERE contains(t, '{_HAN_QUERY}')"""
+)
+def query_terms_han(spark, sf):
+    """A query of two Han characters asks for their pair."""
+    (term,) = query_terms(_HAN_QUERY)
+    texts = documents(spark, sf, "doc_id", "text").select("doc_id", F.translate("text", _LETTERS, _HAN).alias("text"))
+    return bm25.postings(texts).where(F.col("term") == term).select("doc_id", "tf")
 
 
 @query(
@@ -251,26 +279,21 @@ def vector_missing(spark, sf):
 
 @query(
     """WITH scaled AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (1 + vec_id)) AS v FROM embeddings)
-SELECT vec_id, round(sqrt(list_dot_product(v, v)), 3) AS raw_norm, CAST(1.0 AS DOUBLE) AS unit_norm,
-round(CAST(CAST(v[1] / sqrt(list_dot_product(v, v)) AS FLOAT) AS DOUBLE), 5) AS first FROM scaled"""
+SELECT vec_id, i - 1 AS i, round(CAST(CAST(v[i] / sqrt(list_dot_product(v, v)) AS FLOAT) AS DOUBLE), 5) AS u
+FROM scaled, unnest(range(1, len(v) + 1)) AS t(i)"""
 )
 def vector_l2_normalize(spark, sf):
     scaled = read_table(spark, sf, "embeddings").select(
         "vec_id", F.transform("embedding", lambda x: x.cast("double") * (1 + F.col("vec_id"))).alias("v")
     )
-    unit = scaled.select("vec_id", "v", l2_normalize(F.col("v")).alias("u"))
-    return unit.select(
-        "vec_id",
-        F.round(norm(F.col("v")), 3).alias("raw_norm"),
-        F.round(norm(F.col("u")), 5).alias("unit_norm"),
-        F.round(F.get("u", F.lit(0)).cast("double"), 5).alias("first"),
-    )
+    rows = scaled.select("vec_id", F.posexplode(l2_normalize(F.col("v"))).alias("i", "u"))
+    return rows.select("vec_id", F.col("i").cast("bigint").alias("i"), F.round(F.col("u").cast("double"), 5).alias("u"))
 
 
 @query(
     """WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, CAST(list_min(embedding) AS DOUBLE) AS lo,
   (CAST(list_max(embedding) AS DOUBLE) - CAST(list_min(embedding) AS DOUBLE)) / 15.0 AS st FROM embeddings)
-SELECT vec_id, CAST(list_sum(list_transform(v, lambda x: CAST(round((x - lo) / st) AS BIGINT))) AS BIGINT) AS code_sum,
+SELECT vec_id, array_to_string(list_transform(v, lambda x: CAST(CAST(round((x - lo) / st) AS BIGINT) AS VARCHAR)), ',') AS codes,
 list_max(list_transform(v, lambda x: abs(lo + round((x - lo) / st) * st - x))) <= st * 0.500001 AS within_half_step FROM q"""
 )
 def vector_quantize(spark, sf):
@@ -279,7 +302,7 @@ def vector_quantize(spark, sf):
     errors = F.transform("pairs", lambda p: F.abs(p["embedding"].cast("double") - p["back"].cast("double")))
     return back.select(
         "vec_id",
-        F.aggregate("q.codes", F.lit(0).cast("bigint"), lambda s, c: s + c).alias("code_sum"),
+        F.array_join(F.col("q.codes").cast("array<string>"), ",").alias("codes"),
         (F.array_max(errors) <= F.col("q.step") * 0.500001).alias("within_half_step"),
     )
 
@@ -303,12 +326,15 @@ def compression_stats(spark, sf):
     )
 
 
-@query()
+@query(
+    f"""WITH w AS (SELECT doc_id, md5(unnest(regexp_extract_all(text, '{WORD_SQL}'))) AS h FROM documents),
+c AS (SELECT doc_id, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 64 AS i, sum(CASE WHEN substr(h, 9, 1) >= '8' THEN 1.0 ELSE -1.0 END) AS c
+  FROM w GROUP BY ALL),
+n AS (SELECT doc_id, i, CAST(c AS DOUBLE) AS c, sqrt(CAST(sum(c * c) OVER (PARTITION BY doc_id) AS DOUBLE)) AS n FROM c)
+SELECT doc_id, i, round(CAST(CAST(c / n AS FLOAT) AS DOUBLE), 5) AS v FROM n WHERE c <> 0"""
+)
 def embed_hash_batch(spark, sf):
-    """Word-hash vectors of every document; no SQL counterpart for the hash."""
-    docs = documents(spark, sf, "doc_id", "text")
-    embedded = docs.select("doc_id", embedding(HashEmbedder(64), F.col("text")).alias("v"))
-    return embedded.select("doc_id", F.size("v").alias("dim"), F.round(norm(F.col("v")), 4).alias("norm"))
-
-
-__all__ = ["MD_DOCS_SQL"]
+    """Word-hash vectors of every document, component by component."""
+    embedded = embed_rows(documents(spark, sf, "doc_id", "text"), HashEmbedder(64), text_col="text")
+    rows = embedded.select("doc_id", F.posexplode("embedding").alias("i", "v")).where("v <> 0")
+    return rows.select("doc_id", F.col("i").cast("bigint").alias("i"), F.round(F.col("v").cast("double"), 5).alias("v"))

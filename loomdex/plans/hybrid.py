@@ -24,6 +24,7 @@ def candidates(
     id_col: str = "doc_id",
     keep: Sequence[str] = (),
     mode: str = "and",
+    budget: int | None = None,
 ) -> DataFrame:
     """BM25 candidates after metadata filters.
 
@@ -31,7 +32,7 @@ def candidates(
     ``pre`` filters first, so the top-n is taken among matching rows. Corpus
     statistics always come from the whole corpus.
     """
-    limit = candidate_budget(k)
+    limit = candidate_budget(k, budget)
     test = metadata_filter(filters)
     meta = [c for c in ("department", "date") if c in corpus.columns and filters]
     columns = list(dict.fromkeys([*keep, *meta]))
@@ -53,10 +54,11 @@ def hybrid_search(
     filter_mode: str = "post",
     text_col: str = "content",
     mode: str = "and",
+    budget: int | None = None,
 ) -> DataFrame:
-    """``doc_id, score``: top ``k`` by cosine among the BM25 candidates that have a vector."""
-    found = candidates(corpus, query, k, filters, filter_mode=filter_mode, text_col=text_col, mode=mode)
-    return rank_allowed(vectors, found, query_vector, k, bounded=True)
+    """``doc_id, score``: top ``k`` by cosine among the BM25 candidates (``budget`` of them) that have a vector."""
+    found = candidates(corpus, query, k, filters, filter_mode=filter_mode, text_col=text_col, mode=mode, budget=budget)
+    return rank_allowed(vectors, found, query_vector, k)
 
 
 def with_context(hits: DataFrame, chunks: DataFrame, *, collapse_parent: bool = False) -> DataFrame:
@@ -68,12 +70,12 @@ def with_context(hits: DataFrame, chunks: DataFrame, *, collapse_parent: bool =
     own = chunks.join(F.broadcast(hits), "doc_id").select(
         "doc_id", "score", "filepath", "chunk_type", "content", "title", "parent_id"
     )
-    # own holds at most k rows, so it is the small side here as well
-    parent = chunks.select(
-        F.col("doc_id").alias("__pid"), F.col("content").alias("__pcontent"), F.col("title").alias("__ptitle")
-    )
+    # own has at most k rows, and so have the parents it asks for: both joins build the small side, chunks stay in place
+    asked = own.select(F.col("parent_id").alias("__pid")).distinct()
+    parent = chunks.select("doc_id", "content", "title").join(F.broadcast(asked), F.col("doc_id") == F.col("__pid"))
+    parent = parent.select("__pid", F.col("content").alias("__pcontent"), F.col("title").alias("__ptitle"))
     is_child = F.col("chunk_type") == "L2"
-    joined = parent.join(F.broadcast(own), F.col("__pid") == F.col("parent_id"), "right")
+    joined = own.join(F.broadcast(parent), F.col("parent_id") == F.col("__pid"), "left")
     if collapse_parent:
         section = F.coalesce(F.col("parent_id"), F.col("doc_id"))
         best = joined.groupBy(section.alias("__section")).agg(

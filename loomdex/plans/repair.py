@@ -16,12 +16,11 @@ from loomdex.functions.quality import stage_1
 from loomdex.functions.text import strip
 from loomdex.schemas import SECTION
 
-# Service defaults and the local-fix size limit.
+# Service defaults.
 MODEL = "qwen2.5:7b"
 URL = "http://localhost:11434/api/generate"
 TIMEOUT = 60
 RETRIES = 2
-LOCAL_FIX_SECTIONS = 50
 
 LOCAL_PROMPT = "Repair the structure of this Markdown document: complete the heading levels, remove garbled text, answer with Markdown only.\n\n"
 REWRITE_PROMPT = "Rewrite this text as structured Markdown with #, ## and ### headings and sensible paragraphs, answer with Markdown only.\n\n"
@@ -95,7 +94,7 @@ def repair(scored: DataFrame, rewriter: Rewriter) -> DataFrame:
     text = F.array_join(
         F.transform("sections", lambda s: F.concat(F.lit("## "), s["title"], F.lit("\n"), F.coalesce(s["content"], F.lit("")))), "\n\n"
     )
-    local = (stage == 2) & (F.size("sections") <= LOCAL_FIX_SECTIONS)
+    local = stage == 2
     rewrite = (stage == 3) & (F.size("sections") > 0)
     prompt = F.when(local, F.concat(F.lit(LOCAL_PROMPT), text)).when(rewrite, F.concat(F.lit(REWRITE_PROMPT), text))
 

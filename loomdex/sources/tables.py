@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,29 +11,20 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan with fewer splits than task slots one partition per slot.
+#: Session setting: deal the rows of a text table to so many partitions. For test tables of one row group, which
+#: Spark cannot split; unset (the default), tables are read as they are split.
+SPREAD = "spark.loomdex.spread"
 
-    Small single-file inputs would otherwise run their text work in one task.
-    Large inputs already have more splits than slots and pass unchanged, so no
-    shuffle is added at scale.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * slots:
-        return df
-    return df.repartition(slots)
+
+def spread(df: DataFrame) -> DataFrame:
+    parts = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for intermediate tables that every executor can reach: ``spark.checkpoint.dir``."""
+    """Folder for intermediate tables that every executor can reach: ``spark.checkpoint.dir``, else one in the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="loomdex-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_loomdex"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,10 +48,40 @@ class Store:
         self.base = base.rstrip("/")
         self._opened: dict[str, DataFrame] = {}
         self._opened_at: Head | None = None
-        try:
-            self.head = self._read_head()
-        except AnalysisException:
+        if self._is_empty():
             self._create()
+        else:
+            self.head = self._read_head()
+
+    def _folder(self, path: str):
+        """Hadoop's file system and path object of a folder, wherever it lies."""
+        jvm = self.spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()), folder
+
+    def _is_empty(self) -> bool:
+        """Whether there is no index yet; a base with tables but without commits is damaged, not new."""
+        files, base = self._folder(self.base)
+        if not files.exists(base) or not files.listStatus(base):
+            return True
+        if not files.exists(self._folder(self.path("commits"))[1]):
+            raise ValueError(f"{self.base} holds files but no commits: not an index, or a damaged one")
+        return False
+
+    def drop(self, table: str, version: int | None = None) -> None:
+        """Delete a version of a table; intermediate tables have theirs below their own names."""
+        files, folder = self._folder(self.path(table))
+        if not files.exists(folder):
+            return
+        if version is None:
+            files.delete(folder, True)
+            return
+        for status in files.listStatus(folder):
+            own = status.getPath()
+            if own.getName() == f"v={version}":
+                files.delete(own, True)
+            elif table == "stage":
+                files.delete(self._folder(f"{own}/v={version}")[1], True)
 
     def path(self, table: str, version: int | None = None) -> str:
         return f"{self.base}/{table}" if version is None else f"{self.base}/{table}/v={version}"
@@ -126,8 +155,12 @@ class Store:
     def read_version(self, table: str, version: int, schema: T.StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(self.path(table, version))
 
-    def compact(self) -> int:
-        """Rewrite the live rows of every layer, sorted by id, as the new floor version."""
+    def compact(self, keep_versions: int = 1) -> int:
+        """Rewrite the live rows of every layer, sorted by id, as the new floor version.
+
+        Readers of an older version may still be at work: the folders below the floor before the last ``keep_versions``
+        ones are deleted, newer ones stay.
+        """
         version = self.refresh().version + 1
         for name in LAYERS:
             rows = self.layer(name)
@@ -137,4 +170,9 @@ class Store:
         self.write("registry", version, self.registry())
         self.write("removed", version, self.spark.createDataFrame([], schemas.REMOVED))
         self.commit(version, {}, max_id=self.head.max_id, floor=version)
+        floors = [r["floor"] for r in self.commits().select("floor").distinct().orderBy(F.desc("floor")).take(keep_versions + 1)]
+        if len(floors) > keep_versions:
+            for old in range(floors[keep_versions], floors[keep_versions - 1]):
+                for name in (*LAYERS, "removed", "registry"):
+                    self.drop(name, old)
         return version

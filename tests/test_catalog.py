@@ -23,10 +23,6 @@ def test_query_matches_sql(spark, con, name):
     assert ok, detail
 
 
-def test_hash_embeddings_are_unit_vectors(spark):
-    rows = spark_entry.queries()["embed_hash_batch"](spark, SF).collect()
-    assert len(rows) == 200 and {r.dim for r in rows} == {64} and all(r.norm in (0.0, 1.0) for r in rows)
-
 
 def test_entry_has_rows(spark):
     assert spark_entry.entry(spark).columns == ["doc_id", "score"]

@@ -1,14 +1,18 @@
 """Sync, search and three-layer behaviour of the index on small Markdown corpora."""
 
 import os
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from loomdex import SearchIndex
 from loomdex.functions.embed import HashEmbedder
 from loomdex.plans.catalog.docx_fixture import docx_bytes
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # a model service of the tests travels to the workers
+
 DOCS = {
     "doc1_水务年报.md": "# 年报\n\n## 公司介绍\n\n水务集团主营地下水监测与石油管道检测业务，成立于二零一五年。\n\n"
     "## 财务\n\n石油管道检测营收二亿元，同比增长百分之十八，净利润四千万元。\n",
@@ -47,7 +51,7 @@ def test_ids_and_layers_agree(corpus):
     assert index.verify_consistency()
     stats = index.stats()
     assert stats["bm25_chunks"] == stats["vec_vectors"] == stats["store_docs"] == len(rows) == stats["id_counter"]
-    assert stats["compression_ratio"] == "8.0x"
+    assert stats["compression_ratio"] == "1.0x"
 
 
 def test_second_sync_changes_nothing(corpus):
@@ -220,3 +224,82 @@ def test_stream_ingests_new_files_once(spark, tmp_path):
     write(docs, "b.md", "# Three\n\nAnother document with enough words.")
     watch(index, docs, [".md"], ckpt).awaitTermination(120)
     assert index.registry_stats()["indexed_count"] == 2 and index.verify_consistency()
+
+
+class Flaky:
+    """A model service that fails for some texts until it is mended; all calls are counted in a file."""
+
+    def __init__(self, log, broken="", dim=8):
+        self.log, self.broken, self.inner = log, broken, HashEmbedder(dim)
+
+    def embed_batch(self, texts):
+        with open(self.log, "a", encoding="utf-8") as f:
+            f.writelines("x\n" for _ in texts)
+        mended = os.path.exists(self.log + ".mended")
+        return [None if self.broken and self.broken in t and not mended else v for t, v in zip(texts, self.inner.embed_batch(texts))]
+
+
+def test_a_chunk_without_vector_is_an_error_until_the_service_answers(spark, tmp_path):
+    docs, log = str(tmp_path / "docs"), str(tmp_path / "calls")
+    index = SearchIndex(spark, str(tmp_path / "i"), Flaky(log, "stubborn"))
+    write(docs, "a.md", "# One\n\nA first document with enough words.")
+    b = write(docs, "b.md", "# Two\n\nA stubborn document with enough words.")
+    config = {"watch_dirs": [docs], "supported_extensions": [".md"]}
+    assert index.sync_from_config(config) == {"added": 1, "modified": 0, "deleted": 0, "errors": 1}
+    (row,) = index.errors().collect()
+    assert row.file_path == b and "no vector" in row.error_message
+    with open(log, encoding="utf-8") as f:
+        assert len(f.readlines()) == index.chunks().count()  # the model saw every chunk once
+    open(log + ".mended", "w").close()
+    assert index.sync_from_config(config) == {"added": 0, "modified": 1, "deleted": 0, "errors": 0}
+    assert index.verify_consistency() and index.errors().count() == 0
+    assert not os.listdir(tmp_path / "i" / "stage" / "docs")  # intermediate tables go with the commit
+    other = SearchIndex(spark, str(tmp_path / "i"), HashEmbedder(4))
+    with pytest.raises(ValueError, match="components"):
+        other.add_document(write(docs, "c.md", "# Three\n\nA third document with enough words."))
+
+
+def test_unreachable_folders_and_files_lose_nothing(spark, tmp_path):
+    docs = tmp_path / "docs"
+    index = SearchIndex(spark, str(tmp_path / "i"), HashEmbedder(8))
+    a = write(str(docs), "_notes.md", "# One\n\nA first document with enough words.")
+    config = {"watch_dirs": [str(docs)], "supported_extensions": [".md"]}
+    assert index.sync_from_config(config)["added"] == 1
+    docs.rename(tmp_path / "away")
+    with pytest.raises(FileNotFoundError):
+        index.sync_from_config(config)
+    assert index.chunks().count() == 2
+    (tmp_path / "away").rename(docs)
+    assert index.remove_file(a) == 2 and index.remove_file(a) == 0 and index.chunks().count() == 0
+    assert len(index) == 0 and 1 not in index
+
+
+def test_budget_bounds_the_results(spark, corpus):
+    index, _, _ = corpus
+    with pytest.raises(ValueError, match="budget"):
+        index.search("石油", k=500)
+    assert index.search("石油", k=500, budget=500).count() == index.bm25_candidates("石油").count()
+
+
+def test_many_results_with_a_budget(spark, tmp_path):
+    text = "# T\n\n" + "\n\n".join(f"## S{i}\n\nthe words of section number {i} are here" for i in range(300))
+    index = SearchIndex(spark, str(tmp_path / "i"), HashEmbedder(8))
+    index.add_document(write(str(tmp_path / "d"), "a.md", text))
+    assert index.search("the words", k=500, budget=700).count() == 500
+
+
+def test_damaged_index_is_not_created_anew(spark, tmp_path):
+    import shutil
+
+    base = tmp_path / "i"
+    index = SearchIndex(spark, str(base), HashEmbedder(8))
+    index.add_document(write(str(tmp_path / "d"), "a.md", "# One\n\nA first document with enough words."))
+    shutil.move(str(base / "commits"), str(tmp_path / "commits"))
+    with pytest.raises(ValueError, match="commits"):
+        SearchIndex(spark, str(base), HashEmbedder(8))
+    shutil.move(str(tmp_path / "commits"), str(base / "commits"))
+    again = SearchIndex(spark, str(base), HashEmbedder(8))
+    for _ in range(3):
+        again.compact()
+    assert again.chunks().count() == 2
+    assert len([d for d in os.listdir(base / "chunks") if d.startswith("v=")]) <= 3

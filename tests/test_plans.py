@@ -52,7 +52,7 @@ def test_filter_stays_above_the_candidate_limit(texts):
 
 def test_allow_list_join_is_below_the_score(spark, texts):
     vectors = texts.select("doc_id", F.array(F.lit(1.0), F.col("doc_id").cast("double")).cast("array<float>").alias("embedding"))
-    p = plan(rank_allowed(vectors, texts.limit(50), F.array(F.lit(1.0), F.lit(0.5)), 5, bounded=True))
+    p = plan(rank_allowed(vectors, texts.limit(50), F.array(F.lit(1.0), F.lit(0.5)), 5))
     assert "TakeOrderedAndProject(limit=5" in p
     assert p.index("zip_with") < p.index("LeftSemi")  # the plan prints parents first
 
@@ -82,3 +82,33 @@ def test_stored_index_prunes_buckets_ids_and_columns(spark, tmp_path):
     p = plan(index.chunks().where(F.col("doc_id") == 2).select("title"), "formatted")
     scan = next(s for s in p.split("\n(") if "chunks" in s and "Scan parquet" in s)
     assert "EqualTo(doc_id,2)" in scan and "content" not in scan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_texts_reach_the_model_once(texts):
+    from loomdex.functions.embed import embed_rows
+    from loomdex.operators.vector import rank_all
+
+    for df in (
+        embed_rows(texts, HashEmbedder(8), text_col="text"),
+        rank_all(texts.select("doc_id", F.array(F.lit(1.0), F.lit(2.0)).cast("array<float>").alias("embedding")), [1.0, 0.5], 3),
+    ):
+        assert plan(df).count("MapInArrow") == 1 and "ArrowEvalPython" not in plan(df)
+
+
+def test_context_does_not_move_chunks(spark, tmp_path):
+    from loomdex.plans.hybrid import with_context
+
+    rows = [(i, "/f.md", "L2" if i % 3 else "L1", f"text {i}", f"t{i}", i - i % 3 if i % 3 else None) for i in range(300)]
+    path = str(tmp_path / "chunks")
+    spark.createDataFrame(rows, "doc_id long, filepath string, chunk_type string, content string, title string, parent_id long").write.parquet(path)
+    hits = spark.createDataFrame([(4, 0.5), (6, 0.4)], "doc_id long, score double")
+    p = final_plan(with_context(hits, spark.read.parquet(path)))
+    assert "SortMergeJoin" not in p and p.split("Initial Plan")[0].count("BroadcastHashJoin") == 4
+    assert "hashpartitioning(doc_id" not in p
+
+
+def test_vectors_without_score_take_no_place(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0]), (3, None), (4, [0.5, 0.5])]
+    vectors = spark.createDataFrame(rows, "doc_id long, embedding array<float>")
+    for got in (rank_allowed(vectors, vectors, F.array(F.lit(1.0), F.lit(0.0)), 2),):
+        assert [r.doc_id for r in got.collect()] == [1, 4]
