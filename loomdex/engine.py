@@ -7,13 +7,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomdex.functions.clauses import Clause
 from loomdex.functions.embed import Embedder, HashEmbedder, embed_one
 from loomdex.functions.format import hit_text
 from loomdex.functions.text import query_terms
 from loomdex.functions.vectors import compression_ratio
 from loomdex.operators import docstore
 from loomdex.operators import registry as reg
-from loomdex.operators.bm25 import candidate_budget, rank_postings
+from loomdex.operators.bm25 import candidate_budget, rank_clause, rank_postings
 from loomdex.operators.filters import metadata_filter
 from loomdex.operators.vector import rank_all, rank_allowed
 from loomdex.plans import sync as syncing
@@ -132,6 +133,10 @@ class SearchIndex:
         meta = self.chunks().select("doc_id", "department", "date").where(metadata_filter(filters))
         return ranked.join(meta.select("doc_id"), "doc_id").select("doc_id", "bm25").orderBy(F.desc("bm25"), "doc_id")
 
+    def find(self, clause: Clause, limit: int = 100, *, field: str = "content") -> DataFrame:
+        """``doc_id, bm25`` of the top ``limit`` chunks for a clause: boolean, phrase, prefix, field and range conditions."""
+        return rank_clause(self.chunks(), clause, limit, text_col=field)
+
     def _corpus_stats(self, field: str) -> tuple[int, float]:
         """Chunk count and mean length of a field, computed once per committed version."""
         key = (self.store.head.version, field)

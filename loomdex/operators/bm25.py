@@ -9,6 +9,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomdex.functions.clauses import Clause
 from loomdex.functions.text import query_terms, term_counts, tokenize
 
 # BM25 parameters.
@@ -65,17 +66,18 @@ def rank_texts(
     text_col: str = "text",
     keep: Sequence[str] = (),
     mode: str = "and",
+    match: str | None = None,
 ) -> DataFrame:
     """Top ``limit`` rows of ``df`` for ``query`` (all matches without a limit), straight from the text column.
 
     Every text shrinks to one row of counts before the only exchange, and the
     corpus statistics read that same exchange, so the texts are scanned once.
-    ``mode='and'`` asks for every query term. Result: ``id_col, keep..., bm25``
-    (score rounded, ties broken by id).
+    ``mode='and'`` asks for every query term; a boolean column ``match`` among ``keep`` takes its place. Result:
+    ``id_col, keep..., bm25`` (score rounded, ties broken by id).
     """
     terms = query_terms(query)
     out = [id_col, *keep]
-    if not terms:
+    if not terms and match is None:
         return _empty(df, out)
 
     tokens = df.select(*out, F.explode_outer(tokenize(F.col(text_col))).alias("__term"))
@@ -93,11 +95,18 @@ def rank_texts(
     score = F.lit(0.0)
     for i in range(len(terms)):
         score = score + term_weight(F.col(f"__tf{i}"), F.col("__dl"), stats["avg_dl"], idf(stats["n"], stats[f"df{i}"]))
-    matches = counted.where(reduce(and_ if mode == "and" else or_, found))
+    matches = counted.where(F.col(match) if match else reduce(and_ if mode == "and" else or_, found))
     ranked = matches.select(*out, F.round(score, SCORE_DIGITS).alias("bm25"))
     return ranked if limit is None else ranked.orderBy(F.desc("bm25"), F.asc(id_col)).limit(limit)
 
 
+def rank_clause(df: DataFrame, clause: Clause, limit: int | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Top ``limit`` rows that satisfy a clause, by the BM25 of its positive terms; without such terms all score 0."""
+    tested = df.withColumn("__match", F.coalesce(clause.test(text_col), F.lit(False)))
+    ranked = rank_texts(tested, " ".join(clause.terms), limit, id_col=id_col, text_col=text_col, keep=["__match"], match="__match")
+    return ranked.drop("__match")
+
+
 def rank_postings(
     post: DataFrame,
     n_docs: int | Column,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomdex.functions import clauses as cl
 from loomdex.functions.embed import HashEmbedder, embed_rows
 from loomdex.functions.format import hit_json, hit_text
 from loomdex.functions.identity import name_date, name_department
@@ -175,6 +176,47 @@ def bm25_no_match(spark, sf):
     return bm25.rank_texts(documents(spark, sf, "doc_id", "text"), "quantumchip", 100)
 
 
+def _clause_sql(terms: list[str], condition: str, extra: str = "") -> str:
+    tokens = f"tokens AS (SELECT *, regexp_extract_all(text, '{WORD_SQL}') AS w FROM documents)"
+    return f"""WITH {bm25_sql('documents', terms, None, 'or')}, {tokens}{extra}
+SELECT doc_id, bm25 FROM bm JOIN tokens USING (doc_id) WHERE {condition} ORDER BY bm25 DESC, doc_id LIMIT 100"""
+
+
+@query(_clause_sql(["the", "of", "with"], "(list_contains(w, 'the') AND (list_contains(w, 'of') OR list_contains(w, 'with'))) AND NOT list_contains(w, 'and')"))
+def bm25_query_boolean(spark, sf):
+    clause = cl.all_of(cl.term("the"), cl.any_of(cl.term("of"), cl.term("with")), cl.none_of(cl.term("and")))
+    return bm25.rank_clause(documents(spark, sf, "doc_id", "text"), clause, 100)
+
+
+@query(_clause_sql(["of", "the"], "contains(' '||array_to_string(w, ' ')||' ', ' of the ')"))
+def bm25_query_phrase(spark, sf):
+    return bm25.rank_clause(documents(spark, sf, "doc_id", "text"), cl.phrase("of the"), 100)
+
+
+@query(_clause_sql(["the"], "list_contains(w, 'the') AND list_contains(regexp_extract_all(source, '\\w+'), 'src3')"))
+def bm25_query_field(spark, sf):
+    clause = cl.all_of(cl.term("the"), cl.in_field("source", cl.term("src3")))
+    return bm25.rank_clause(documents(spark, sf, "doc_id", "text", "source"), clause, 100)
+
+
+@query(_clause_sql(["the"], "list_contains(w, 'the') AND len(list_filter(w, lambda x: starts_with(x, 'thin') OR regexp_full_match(x, '.n.*ing'))) > 0"))
+def bm25_query_wildcard(spark, sf):
+    clause = cl.all_of(cl.term("the"), cl.any_of(cl.prefix("thin"), cl.wildcard("?n*ing")))
+    return bm25.rank_clause(documents(spark, sf, "doc_id", "text"), clause, 100)
+
+
+@query(
+    _clause_sql(
+        ["the"],
+        "list_contains(w, 'the') AND DATE '2024-01-01' + CAST(doc_id % 366 AS INTEGER) BETWEEN DATE '2024-03-01' AND DATE '2024-06-30' AND n_chars >= 500",
+    )
+)
+def bm25_query_range(spark, sf):
+    docs = documents(spark, sf, "doc_id", "text", "source", "n_chars").withColumn("date", name_date(doc_path()))
+    clause = cl.all_of(cl.term("the"), cl.between("date", "2024-03-01", "2024-06-30"), cl.between("n_chars", 500))
+    return bm25.rank_clause(docs, clause, 100)
+
+
 _TOKENS = f"SELECT doc_id, unnest(regexp_extract_all(text, '{WORD_SQL}')) AS term FROM documents"
 
 

@@ -112,3 +112,18 @@ def test_vectors_without_score_take_no_place(spark):
     vectors = spark.createDataFrame(rows, "doc_id long, embedding array<float>")
     for got in (rank_allowed(vectors, vectors, F.array(F.lit(1.0), F.lit(0.0)), 2),):
         assert [r.doc_id for r in got.collect()] == [1, 4]
+
+
+def test_stored_chunks_are_numbered_with_one_exchange_of_texts(spark, tmp_path):
+    from loomdex.operators.chunking import number_chunks, with_chunks
+    from loomdex.functions import identity
+
+    rows = [(f"/d/{i}.md", f"# H{i}\n\n" + "some words here " * 20) for i in range(300)]
+    files = spark.createDataFrame(rows, "file_path string, content string").withColumn("file_id", identity.file_id(F.col("file_path")))
+    path = str(tmp_path / "staged")
+    with_chunks(files).select("file_path", "file_id", "total_chunks", "chunks").write.parquet(path)
+    numbered = number_chunks(spark.read.parquet(path), start=5)
+    final = final_plan(numbered).split("Initial Plan")[0]
+    assert final.count("rangepartitioning") == 1 and "SortMergeJoin" not in final and "ShuffledHashJoin" not in final
+    got = numbered.orderBy("file_id", "pos").select("doc_id").collect()
+    assert [r.doc_id for r in got] == list(range(6, 6 + len(got)))
