@@ -29,6 +29,10 @@ from loomdex.sources.tables import materialize
 from loomdex.store import Store, term_bucket
 
 
+#: Extensions of the files that are converted before they are indexed.
+OFFICE = (".docx", ".pdf")
+
+
 class SearchIndex:
     """Hybrid document index.
 
@@ -73,12 +77,23 @@ class SearchIndex:
         return first
 
     def sync_from_config(self, config: Mapping) -> dict[str, int]:
-        """Incremental pass over ``watch_dirs``; failed files are listed by :meth:`errors`."""
+        """Incremental pass over ``watch_dirs``; failed files are listed by :meth:`errors`.
+
+        With ``auto_convert_office: false`` office files are left out. With ``converted_md_dir`` the Markdown tree of
+        all office files is written there.
+        """
+        directories = [d for d in config.get("watch_dirs") or [] if d]
+        extensions, ignore = config.get("supported_extensions", [".md"]), config.get("ignore_patterns") or []
+        office = [e for e in extensions if e.lower() in OFFICE]
+        if not config.get("auto_convert_office", True):
+            extensions = [e for e in extensions if e not in office]
+        elif office and config.get("converted_md_dir"):
+            self.convert(directories, config["converted_md_dir"], extensions=office, ignore=ignore)
         return syncing.sync(
             self.store,
-            [d for d in config.get("watch_dirs") or [] if d],
-            config.get("supported_extensions", [".md"]),
-            config.get("ignore_patterns") or [],
+            directories,
+            extensions,
+            ignore,
             self.embedder,
             dim=self.dim,
             pdf_reader=self.pdf_reader,
@@ -270,14 +285,20 @@ class SearchIndex:
     # conversion
 
     def convert(
-        self, paths: Sequence[str], out_dir: str | None = None, *, rewriter: Rewriter | None = None
+        self,
+        paths: Sequence[str],
+        out_dir: str | None = None,
+        *,
+        rewriter: Rewriter | None = None,
+        extensions: Sequence[str] = (),
+        ignore: Sequence[str] = (),
     ) -> DataFrame:
         """Convert office files; with ``out_dir`` also write the Markdown tree there.
 
         A ``rewriter`` turns on the model repair of low-quality conversions.
         """
         # stored, so that the tree and the returned rows come from one parse of the files
-        converted = materialize(with_quality(convert(read_files(self.spark, paths), pdf_reader=self.pdf_reader)), "converted")
+        converted = materialize(with_quality(convert(read_files(self.spark, paths, extensions, ignore), pdf_reader=self.pdf_reader)), "converted")
         if out_dir:
             write_tree(tree(converted), out_dir)
         return repair(converted, rewriter) if rewriter else converted

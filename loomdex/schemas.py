@@ -30,6 +30,7 @@ CHUNKS = T.StructType(
         T.StructField("content", T.StringType()),
         T.StructField("department", T.StringType()),
         T.StructField("date", T.DateType()),
+        T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
     ]
 )
 

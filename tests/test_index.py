@@ -187,6 +187,9 @@ def test_lifecycle(spark, tmp_path):
     doc = write(docs, "new.docx", docx_bytes([("Heading 1", [("标题", False, False)]), ("", [("正文段落，足够长的一段文字内容。", False, False)])]))
     new_id = index.add_document(doc)
     assert index.get_content(new_id)["title"] == "## 📑 章节导航"  # the navigation page comes first
+    known = index.get_content(new_id + 4)["metadata"]
+    assert known["conversion_method"] and known["heading_level"] == "1" and known["file_name"] == "new.docx"
+    assert index.get_content(new_id)["metadata"] == {"file_name": "new.docx"}
     titles = [r.title for r in index.get_by_filepath(doc).collect()]
     assert titles[4:] == ["# 标题", "# 标题 [段落1]"]
     with pytest.raises(FileNotFoundError):
@@ -303,3 +306,14 @@ def test_damaged_index_is_not_created_anew(spark, tmp_path):
         again.compact()
     assert again.chunks().count() == 2
     assert len([d for d in os.listdir(base / "chunks") if d.startswith("v=")]) <= 3
+
+
+def test_office_settings_of_sync(spark, tmp_path):
+    docs, out = str(tmp_path / "docs"), tmp_path / "tree"
+    doc = write(docs, "a.docx", docx_bytes([("Heading 1", [("Head", False, False)]), ("", [("A paragraph that is long enough.", False, False)])]))
+    index = SearchIndex(spark, str(tmp_path / "i"), HashEmbedder(8))
+    config = {"watch_dirs": [docs], "supported_extensions": [".md", ".docx"], "auto_convert_office": False}
+    assert index.sync_from_config(config)["added"] == 0
+    config |= {"auto_convert_office": True, "converted_md_dir": str(out)}
+    assert index.sync_from_config(config)["added"] == 1
+    assert sorted(os.listdir(out / "a")) == ["Head.md", "_index.md"] and index.get_by_filepath(doc).count() > 2
