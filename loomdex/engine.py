@@ -298,7 +298,8 @@ class SearchIndex:
         A ``rewriter`` turns on the model repair of low-quality conversions.
         """
         # stored, so that the tree and the returned rows come from one parse of the files
-        converted = materialize(with_quality(convert(read_files(self.spark, paths, extensions, ignore), pdf_reader=self.pdf_reader)), "converted")
+        files = materialize(read_files(self.spark, paths, extensions, ignore), "files")
+        converted = materialize(with_quality(convert(files, pdf_reader=self.pdf_reader)), "converted")
         if out_dir:
             write_tree(tree(converted), out_dir)
         return repair(converted, rewriter) if rewriter else converted
