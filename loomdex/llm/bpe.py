@@ -23,10 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomdex.llm.common import parts
+
 #: Characters per piece handed to the library.
 PIECE_CHARS = 65_536
 #: Runs of blanks from this length on are encoded by themselves.
 BLANK_RUN = 4_096
+#: Bytes of the texts or ids that a task turns over at once.
+PART_BYTES = 2 << 20
 
 
 def load_encoding(rank_path: str, pattern: str):
@@ -86,9 +90,9 @@ def encode(docs: DataFrame, text: str, rank_path: str, pattern: str, into: str =
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def token_ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoding = load_encoding(rank_path, pattern)
-        for batch in batches:
+        for part in (p for batch in batches for p in parts(batch, PART_BYTES)):
             # compact numbers at once: lists of Python integers would take ten times the memory
-            ids = [np.array(encode_text(encoding, t.as_py() or ""), np.int32) for t in batch]
+            ids = [np.array(encode_text(encoding, t.as_py() or ""), np.int32) for t in part]
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
 
@@ -101,7 +105,7 @@ def decode(docs: DataFrame, ids: str, rank_path: str, pattern: str, into: str =
     @F.arrow_udf(T.BinaryType())
     def raw_bytes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoding = load_encoding(rank_path, pattern)
-        for batch in batches:
-            yield pa.array([encoding.decode_bytes(i.values.to_pylist() if i.is_valid else []) for i in batch], pa.binary())
+        for part in (p for batch in batches for p in parts(batch, PART_BYTES)):
+            yield pa.array([encoding.decode_bytes(i.values.to_pylist() if i.is_valid else []) for i in part], pa.binary())
 
     return docs.withColumn(into, raw_bytes(F.col(ids)))

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomdex.sources.tables import materialize, read_table, shared_folder
 
-__all__ = ["ASCII_SPACE", "fresh_name", "grouped", "materialize", "read_table", "shared_folder", "words"]
+__all__ = ["ASCII_SPACE", "fresh_name", "grouped", "materialize", "parts", "read_table", "shared_folder", "words"]
 
 #: The white space that separates words: blank, tab, line feed, vertical tab, form feed, carriage return.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -29,6 +31,17 @@ def fresh_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def parts(values: pa.Array, size: int) -> Iterator[pa.Array]:
+    """Runs of texts, binaries or lists of 32-bit numbers of about ``size`` bytes, so that what is made of a run stays small."""
+    unit, lengths = (4, pc.list_value_length(values)) if pa.types.is_list(values.type) else (1, pc.binary_length(values))
+    total = np.cumsum(unit * lengths.fill_null(0).to_numpy(), dtype=np.int64)
+    at = 0
+    while at < len(values):
+        end = int(np.searchsorted(total, (total[at - 1] if at else 0) + size)) + 1
+        yield values.slice(at, end - at)
+        at = end
+
+
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of equal keys from batches whose rows are sorted by ``keys``; one group in memory at a time."""
     held: list[pa.Table] = []
