@@ -121,7 +121,8 @@ def test_stored_chunks_are_numbered_with_one_exchange_of_texts(spark, tmp_path):
     rows = [(f"/d/{i}.md", f"# H{i}\n\n" + "some words here " * 20) for i in range(300)]
     files = spark.createDataFrame(rows, "file_path string, content string").withColumn("file_id", identity.file_id(F.col("file_path")))
     path = str(tmp_path / "staged")
-    with_chunks(files).select("file_path", "file_id", "total_chunks", "chunks").write.parquet(path)
+    staged = with_chunks(files).withColumn("metas", F.lit(None).cast("array<map<string,string>>"))
+    staged.select("file_path", "file_id", "total_chunks", "chunks", "metas").write.parquet(path)
     numbered = number_chunks(spark.read.parquet(path), start=5)
     final = final_plan(numbered).split("Initial Plan")[0]
     assert final.count("rangepartitioning") == 1 and "SortMergeJoin" not in final and "ShuffledHashJoin" not in final
