@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.sources.tables import materialize, read_table, shared_folder
 
-__all__ = ["ASCII_SPACE", "fresh_name", "grouped", "materialize", "parts", "read_table", "shared_folder", "words"]
+__all__ = ["ASCII_SPACE", "batch_rows", "fresh_name", "grouped", "materialize", "parts", "read_table", "shared_folder", "words"]
 
 #: The white space that separates words: blank, tab, line feed, vertical tab, form feed, carriage return.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -31,6 +32,18 @@ def fresh_name(df: DataFrame, name: str) -> str:
     return name
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows for what runs inside: a batch of whole texts is large at the default."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def parts(values: pa.Array, size: int) -> Iterator[pa.Array]:
     """Runs of texts, binaries or lists of 32-bit numbers of about ``size`` bytes, so that what is made of a run stays small."""
     unit, lengths = (4, pc.list_value_length(values)) if pa.types.is_list(values.type) else (1, pc.binary_length(values))

@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomdex.llm.common import parts
+
 #: Window lengths of the tiers, shortest first.
 TIERS = (256, 512, 1024, 2048)
 #: Tokens after which a block is packed.
@@ -141,16 +143,6 @@ class WordEncoder:
         return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(closed)])
 
 
-def slices(texts: pa.Array, size: int) -> Iterator[pa.Array]:
-    """Runs of texts of about ``size`` bytes."""
-    total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(texts):
-        end = int(np.searchsorted(total, (total[at - 1] if at else 0) + size)) + 1
-        yield texts.slice(at, end - at)
-        at = end
-
-
 # Windows
 
 
@@ -245,7 +237,7 @@ def pack(
         encoder = WordEncoder(tokenizer_path)
         for batch in batches:
             names, at = batch.column(0).to_pylist(), 0
-            for part in slices(batch.column(1), PART_BYTES):
+            for part in parts(batch.column(1), PART_BYTES):
                 ids = encoder.encode(part, end_id)
                 for one in ids:
                     yield names[at], one.as_py()

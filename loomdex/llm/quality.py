@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from loomdex.llm.common import ASCII_SPACE, materialize
+from loomdex.llm.common import ASCII_SPACE, batch_rows, materialize
 
 SYMBOLS = "#*$%&|<>"
 #: Words of the windows in which repetition is counted.
@@ -157,6 +157,7 @@ def with_stratum(df: DataFrame, lang: str, source: str) -> DataFrame:
         F.when(F.col("p_rows") >= SMALL, F.col("s_lang")).otherwise("-").alias("p_lang"),
         "p_source",
     )
+    place = materialize(place, "strata")  # a row per stratum: the planner sees its size before it moves any text
     return (
         named.join(place, ["s_lang", "s_source"])
         .drop("s_lang", "s_source")
@@ -223,6 +224,8 @@ def _start(vectors: DataFrame) -> DataFrame:
     medians = vectors.groupBy("s_lang", "s_source").agg(
         F.count("*").alias("rows"), *(F.percentile(v, F.lit(0.5)).alias(f"m{i}") for i, v in enumerate(VECTOR))
     )
+    # stored tables with a row per stratum: their size is known, so rows of a large stratum stay where they are
+    medians = materialize(medians, "medians")
     deviation = (
         vectors.join(medians, ["s_lang", "s_source"])
         .groupBy("s_lang", "s_source")
@@ -272,6 +275,7 @@ def _concentrate(vectors: DataFrame, estimate: DataFrame) -> DataFrame:
 def fit(vectors: DataFrame) -> DataFrame:
     """Estimates of all strata with enough rows, as a written table."""
     enough = vectors.groupBy("s_lang", "s_source").count().where(F.col("count") >= FEWEST).drop("count")
+    enough = materialize(enough, "judged-strata")
     estimate = materialize(_start(vectors.join(enough, ["s_lang", "s_source"])), "mcd-start")
     for _ in range(STEPS):
         following = materialize(_concentrate(vectors, estimate), "mcd-step")
@@ -293,7 +297,8 @@ def judge(docs: DataFrame, text: str, lang: str, source: str, keep: list[str] |
     found = found.select("row", "_lang", "_source", "_s.*")
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     # written once: the steps read the few columns they need, a lost executor costs a read
-    stored = materialize(with_vector(found.withColumn("base_failed", base)), "statistics")
+    with batch_rows(docs.sparkSession, 1_000):
+        stored = materialize(with_vector(found.withColumn("base_failed", base)), "statistics")
     placed = with_stratum(stored, "_lang", "_source")
     vectors = materialize(placed.where("NOT base_failed").select("s_lang", "s_source", *VECTOR), "vectors")
     estimate = fit(vectors).select("s_lang", "s_source", "centre", "inverse")
