@@ -46,7 +46,7 @@ FORMATTED = T.StructType(
 
 @dataclass(frozen=True)
 class TurnTemplate:
-    """``<s>[role]`` line, text, ``</s>`` line; blackslash codes stand for the signs of the control strings."""
+    """``<s>[role]`` line, text, ``</s>`` line; backslash codes stand for the signs of the control strings."""
 
     def __call__(self, turns: list[Turn]) -> str:
         return "".join(f"<s>[{self.escape(role)}]\n{self.escape(text)}</s>\n" for role, text in turns)

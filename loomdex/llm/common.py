@@ -8,22 +8,16 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from loomdex.sources.tables import materialize, read_table, shared_folder
 
-__all__ = ["ASCII_SPACE", "batch_rows", "fresh_name", "grouped", "materialize", "parts", "read_table", "shared_folder", "words"]
+__all__ = ["ASCII_SPACE", "batch_rows", "fresh_name", "grouped", "materialize", "parts", "read_table", "shared_folder"]
 
 #: The white space that separates words: blank, tab, line feed, vertical tab, form feed, carriage return.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
-def words(text: Column) -> Column:
-    """Words of a text, ``[^\\x20\\x09-\\x0D]+``; a null text has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-
-
 def fresh_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` clashes with it (Spark ignores case)."""
     taken = {c.lower() for c in df.columns}

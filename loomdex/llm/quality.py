@@ -19,7 +19,6 @@ struct of their own, so their names clash with nothing.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
