@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomdex.llm.common import fresh_name, materialize
+from loomdex.llm.common import batch_rows, fresh_name, materialize, parts
 
 COORDINATES = 128
 TREES = 8
@@ -48,7 +48,9 @@ LEAST_EQUAL = 83
 #: Documents of a block of a node or group that is too large for one comparison.
 BLOCK = 1024
 #: Bytes of texts whose words are hashed together.
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1_000
 
 _MULTIPLIERS = np.random.default_rng(20_240_601).integers(0, 1 << 31, COORDINATES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -99,20 +101,11 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     """Minwise values of a set that is not empty."""
     short = (hashes >> np.uint64(32)).astype(np.uint32)
     least = np.full(COORDINATES, np.iinfo(np.uint32).max, np.uint32)
-    for at in range(0, len(short), 4096):
-        np.minimum(least, (short[at : at + 4096, None] * _MULTIPLIERS[None, :]).min(axis=0), out=least)
+    for at in range(0, len(short), 1024):
+        np.minimum(least, (short[at : at + 1024, None] * _MULTIPLIERS[None, :]).min(axis=0), out=least)
     return least
 
 
-def _slices(texts: pa.Array) -> Iterator[pa.Array]:
-    total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(texts):
-        end = int(np.searchsorted(total, (total[at - 1] if at else 0) + PART_BYTES)) + 1
-        yield texts.slice(at, end - at)
-        at = end
-
-
 def signatures(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
     """``doc_id, text_key, n, digest, sig`` of every row; ``text_key`` tells equal texts, ``digest`` equal sets."""
 
@@ -120,7 +113,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             n, digest, sig = [], [], []
-            for part in _slices(batch):
+            for part in parts(batch, PART_BYTES):
                 for s in shingle_sets(part, size):
                     n.append(len(s))
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
@@ -366,6 +359,11 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str, size: int = 5, perc
     """``doc_id, text_key, n_shingles, component_id, kept`` of every row; ``text_key`` is null for a null text."""
     if percent < 80:
         raise ValueError("trees and estimate are laid out for similarities from 80 percent on")
+    with batch_rows(docs.sparkSession, BATCH_ROWS):  # all Python work ends in written tables before this returns
+        return _near_duplicates(docs, doc_id, text, size, percent)
+
+
+def _near_duplicates(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
     signed = materialize(signatures(docs, doc_id, text, size), "signatures")
     named = signed.where("n > 0").groupBy("digest").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig")
@@ -378,18 +376,23 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str, size: int = 5, perc
     members = materialize(members, "members")
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["rid", "group", "rows", "sig8"]
         for batch in batches:
-            text = batch.column(batch.schema.get_field_index("text"))
-            hashes = [s.tobytes() for part in _slices(text) for s in shingle_sets(part, size)]
-            digests = batch.column(batch.schema.get_field_index("digest")).to_pylist()
-            own = [hashlib.blake2b(h, digest_size=16).digest() == d for h, d in zip(hashes, digests)]
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in ("rid", "group", "rows", "sig8")]
-            out = pa.RecordBatch.from_arrays([*kept, pa.array(hashes, pa.binary())], ["rid", "group", "rows", "sig8", "hashes"])
-            yield out.filter(pa.array(own, pa.bool_()))
+            column = {c: batch.column(batch.schema.get_field_index(c)) for c in (*names, "digest", "text")}
+            at = 0
+            for part in parts(column["text"], PART_BYTES):
+                hashes = [s.tobytes() for s in shingle_sets(part, size)]
+                rows = slice(at, at + len(part))
+                digests = column["digest"][rows].to_pylist()
+                own = [hashlib.blake2b(h, digest_size=16).digest() == d for h, d in zip(hashes, digests)]
+                out = pa.RecordBatch.from_arrays([*(column[c][rows] for c in names), pa.array(hashes, pa.binary())], [*names, "hashes"])
+                yield out.filter(pa.array(own, pa.bool_()))
+                at += len(part)
 
     # sets are made after the join: texts move, sets of documents without candidates are never made
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    wanted = members.join(texts, "doc_id").mapInArrow(with_sets, "rid long, group long, rows long, sig8 binary, hashes binary")
+    # the small side is hashed, so that texts are not sorted
+    wanted = members.hint("shuffle_hash").join(texts, "doc_id").mapInArrow(with_sets, "rid long, group long, rows long, sig8 binary, hashes binary")
     wanted = wanted.dropDuplicates(["rid"])
     linked = components(confirm(with_cells(wanted, "group", "rows"), percent)).withColumnRenamed("id", "rid")
     of_rep = reps.select("rid", "digest", F.col("doc_id").alias("_first")).join(linked, "rid", "left")
@@ -413,8 +416,11 @@ def drop_duplicates(docs: DataFrame, doc_id: str, text: str, size: int = 5, perc
     stay = found.where("kept").groupBy("doc_id", "text_key").agg((F.min("n_shingles") > 0).alias("_full"), F.count("*").alias("_rows"))
     key = fresh_name(docs, "_key")
     stay = stay.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), (F.col("_full") & (F.col("_rows") > 1)).alias("_once"))
+    stay = materialize(stay, "stay")
     keyed = docs.withColumn(key, F.md5(text))
     same = [keyed[doc_id].eqNullSafe(stay["_id"]), keyed[key].eqNullSafe(stay["_text"])]
     kept = keyed.join(stay.where("NOT _once"), same, "left_semi")
+    if stay.where("_once").isEmpty():  # no row repeats both id and text
+        return kept.drop(key)
     repeated = keyed.join(stay.where("_once"), same, "left_semi").dropDuplicates([doc_id, key])
     return kept.unionByName(repeated).drop(key)
