@@ -3,8 +3,9 @@
 A page is read as a run of tokens: text pieces and tags. A text piece scores its number of words times the weight of
 the place it stands in, a tag scores its own weight. Weights are log-odds that such a token lies in the content,
 counted over labelled pages; tags never score above a small negative value. One linear scan finds the contiguous run
-with the largest sum. Of that run the words in places that are never content are left out; what remains is joined
-block by block.
+with the largest sum. It is extended to the bounds of the ``article`` and ``main`` elements that it meets, and elsewhere to
+the bounds of the blocks in which it begins and ends, so links at the edges stay. Of that run the words in places that are
+never content are left out; what remains is joined block by block.
 
 Places that are never content (menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
 comments, hidden parts) count as one token each, however long they are, so an advert in the middle costs little.
@@ -62,6 +63,12 @@ LABELLED_PAGES = (
     " href=/z>Top</a></td></tr></table></body>",
     "<body><div class=cookie-notice>We use cookies to make this better</div><article>[[<p>Short note.</p>]]</article>"
     "<div><p>You may also like these other pages of ours</p></div></body>",
+    "<body><div class=menu><a href=/a>Start</a></div><article>[[<h1><a href=/p>A mill on the river</a></h1><p>The <a href=/m>old mill"
+    "</a> was built by <a href=/w>two brothers</a> and burnt down twice.</p><ul><li><a href=/1>The first fire</a></li><li><a href=/2>The"
+    " second fire</a></li></ul><p>Source: <a href=/s>City archive</a></p>]]</article><div>More to read</div></body>",
+    "<body><div>Our other stories</div><main>[[<h2><a href=/q>Night trains</a></h2><p>They are back, says <a href=/r>the railway"
+    "</a>.</p><ol><li><a href=/3>Timetable of the north</a></li><li><a href=/4>Fares</a></li><li><a href=/5>Sleeping cars</a></li>"
+    "</ol>]]</main></body>",
 )
 
 _TOKEN = re.compile(
@@ -95,9 +102,12 @@ def _never(name: str, attributes: str, in_content: bool) -> bool:
     return False
 
 
-def tokens_of(page: str) -> list[Token]:
-    """The page's tokens; elements that are never content are one ``skip`` token each."""
+def tokens_of(page: str) -> tuple[list[Token], list[tuple[int, int]]]:
+    """The page's tokens, and where the outermost elements of content lie in them, without the tags of their own; elements
+    that are never content are one ``skip`` token each."""
     out: list[Token] = []
+    bounds: list[tuple[int, int]] = []
+    begun = 0
     open_names: list[str] = []
     links = content = 0
     skip_from: int | None = None  # depth of the element that is skipped
@@ -121,7 +131,10 @@ def tokens_of(page: str) -> list[Token]:
                 while True:
                     last = open_names.pop()
                     links -= last == "a"
-                    content -= last in CONTENT
+                    if last in CONTENT:
+                        content -= 1
+                        if not content:
+                            bounds.append((begun, len(out)))
                     if last == name:
                         break
                 if skip_from is not None and len(open_names) <= skip_from:
@@ -155,10 +168,14 @@ def tokens_of(page: str) -> list[Token]:
         if not m[3].endswith("/"):
             open_names.append(name)
             links += name == "a"
-            content += name in CONTENT
+            if name in CONTENT:
+                begun = begun if content else len(out)
+                content += 1
         elif skip_from == len(open_names):
             skip_from = None
-    return out
+    if content:
+        bounds.append((begun, len(out)))
+    return out, bounds
 
 
 def _class_of(token: Token) -> str:
@@ -166,11 +183,12 @@ def _class_of(token: Token) -> str:
 
 
 def learn_weights(pages: tuple[str, ...] = LABELLED_PAGES) -> dict[str, float]:
-    """Log-odds of lying in the content by class of token; ``tag`` is for tags that the pages do not have."""
+    """Log-odds of lying in the content by class of token; ``tag`` is for tags that the pages do not have
+    (counted over all but links and list items, which lists repeat)."""
     inside, outside = Counter(), Counter()
     for page in pages:
         within = False
-        for token in tokens_of(page.replace("[[", "\0[").replace("]]", "]\0")):
+        for token in tokens_of(page.replace("[[", "\0[").replace("]]", "]\0"))[0]:
             if token[0] != "text":
                 (inside if within else outside)[_class_of(token)] += 1
                 continue
@@ -181,7 +199,7 @@ def learn_weights(pages: tuple[str, ...] = LABELLED_PAGES) -> dict[str, float]:
                     (inside if within else outside)[_class_of(token)] += n
     odds = lambda a, b: math.log((a + 0.5) / (b + 0.5))
     weights = {k: odds(inside[k], outside[k]) for k in {*inside, *outside}}
-    tags = [k for k in weights if not k.startswith("word@")]
+    tags = [k for k in weights if not k.startswith("word@") and k not in ("tag:a", "tag:/a", "tag:li", "tag:/li")]
     pooled = odds(sum(inside[k] for k in tags), sum(outside[k] for k in tags))
     weights["tag"] = pooled
     return {k: v if k.startswith("word@") else min(v, -0.05) for k, v in weights.items()}
@@ -199,15 +217,27 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return best_run
 
 
+def whole_blocks(tokens: list[Token], bounds: list[tuple[int, int]], start: int, end: int) -> tuple[int, int]:
+    """The run ``[start, end)`` extended to the bounds of the content and of the blocks that it cuts."""
+    if start == end:
+        return start, end
+    while start and (tokens[start - 1][0] == "text" or not tokens[start - 1][2]):
+        start -= 1
+    while end < len(tokens) and (tokens[end][0] == "text" or not tokens[end][2]):
+        end += 1
+    met = [(a, b) for a, b in bounds if a < end and start < b]
+    return min([start, *(a for a, _ in met)]), max([end, *(b for _, b in met)])
+
+
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
-    tokens = tokens_of(page)
+    tokens, bounds = tokens_of(page)
     fallback = weights["tag"]
     scores = [
         len(t[2].split()) * weights.get(_class_of(t), 0.0) if t[0] == "text" else weights.get(_class_of(t), fallback) for t in tokens
     ]
-    start, end = best_region(scores)
+    start, end = whole_blocks(tokens, bounds, *best_region(scores))
     blocks, held = [], []
     for kind, place, value in tokens[start:end]:
         if kind == "text":

@@ -50,6 +50,25 @@ def test_main_text(page, want):
     assert html.main_text(page, WEIGHTS) == want
 
 
+LINKS = "".join(f"<li><a href=/{i}>reference number {i}</a></li>" for i in range(40))
+LINKED = " ".join(f"reference number {i}" for i in range(40))
+LINKED_PAGES = [
+    ("<article><h1><a href=/p>Headline</a></h1><p>text</p></article>", "Headline text"),
+    ("<article><p>A long piece of news. Source: <a href=/r>Reuters</a></p></article>", "A long piece of news. Source: Reuters"),
+    (f"<nav>menu</nav><article><p>words</p><ol>{LINKS}</ol></article><div>outside it</div>", f"words {LINKED}"),
+    (f"<div>before it</div><main><p>one</p><ul>{LINKS}</ul><p>two</p></main>", f"one {LINKED} two"),
+    (f"<article><ul>{LINKS}</ul></article>", LINKED),
+    (f"<body><main><article><p>one</p></article><ul>{LINKS}</ul><article><p>two", f"one {LINKED} two"),
+    ("<div><a href=/1>menu</a></div><p>A long piece of plain text stands here. Source: <a href=/r>Reuters</a></p><div><a href=/2>more</a></div>",
+     "A long piece of plain text stands here. Source: Reuters"),
+]
+
+
+@pytest.mark.parametrize("page,want", LINKED_PAGES)
+def test_links_at_the_edges_stay(page, want):
+    assert html.main_text(page, WEIGHTS) == want
+
+
 def test_best_region_is_the_best_of_all():
     rng = random.Random(3)
     for _ in range(200):
