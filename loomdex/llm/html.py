@@ -7,6 +7,7 @@ with the largest sum. It is extended to the bounds of the ``article`` and ``main
 the bounds of the blocks in which it begins and ends, so links at the edges stay. Of that run the words in places that are
 never content are left out; what remains is joined block by block.
 
+Names tell by whole words of the class, and of the id of a container whose id is not the slug of its own heading.
 Places that are never content (menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
 comments, hidden parts) count as one token each, however long they are, so an advert in the middle costs little.
 
@@ -33,6 +34,7 @@ RAW_TEXT = frozenset("script style noscript template iframe textarea title svg m
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER_CONTENT = frozenset("head nav footer aside form select button dialog menu label fieldset".split())
 CONTENT = frozenset("article main".split())
+CONTAINERS = frozenset("div section ul ol table".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike"
     " strong sub sup time tt u var wbr".split()
@@ -77,22 +79,36 @@ _TOKEN = re.compile(
     r"|[^<]++|<",
     re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.IGNORECASE)
+#: Every attribute with its value, so that nothing inside a value is taken for a name.
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+_HEADING = re.compile(r"\s*<h[1-6]\b[^>]*>(.{0,1000}?)</h[1-6]", re.IGNORECASE | re.DOTALL)
 _PART = re.compile(r"[A-Za-z]+?(?=[A-Z][a-z]|[^A-Za-z]|\Z)")
 #: Tokens: ("text", place, words or text), ("tag", weight name, is a block) and ("skip", name, True).
 Token = tuple[str, str, object]
 
 
-def _never(name: str, attributes: str, in_content: bool) -> bool:
-    """Whether an element holds no content whatever stands in it; the header of an article is content."""
+def _is_slug(parts: list[str], page: str, at: int) -> bool:
+    """Whether the parts of an id are the words of the heading that begins at ``at``: then it names the section's subject."""
+    m = _HEADING.match(page, at) if len(parts) > 1 else None
+    return m is not None and re.findall(r"[a-z]+", entities.unescape(re.sub("<[^>]*>", "", m[1])).lower()) == parts
+
+
+def _never(name: str, attributes: str, in_content: bool, page: str, at: int) -> bool:
+    """Whether an element holds no content whatever stands in it; the header of an article is content.
+
+    Ids of headings, paragraphs and inline elements are made from their words, so only those of containers count.
+    """
     if name in NEVER_CONTENT or (name == "header" and not in_content):
         return True
     if not attributes:
         return False
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
-        if key in ("class", "id") and any(p.lower() in NEVER_WORDS for p in _PART.findall(value)):
-            return name not in ("html", "body", "article", "main")
+        if key == "class" or (key == "id" and name in CONTAINERS):
+            parts = [p.lower() for p in _PART.findall(value)]
+            named = not NEVER_WORDS.isdisjoint(parts) and not (key == "id" and in_content and _is_slug(parts, page, at))
+            if named and name not in ("html", "body", "article", "main"):
+                return True
         if key == "role" and value.lower() in NEVER_ROLES:
             return True
         if (key == "aria-hidden" and value.lower() == "true") or (key == "hidden" and value.lower() != "until-found"):
@@ -160,7 +176,7 @@ def tokens_of(page: str) -> tuple[list[Token], list[tuple[int, int]]]:
             if skip_from is None:
                 out.append(("tag", name, name not in INLINE))
             continue
-        if skip_from is None and _never(name, m[3], content > 0):
+        if skip_from is None and _never(name, m[3], content > 0, page, at):
             skip_from = len(open_names)
             out.append(("skip", "never", True))
         elif skip_from is None:

@@ -69,6 +69,26 @@ def test_links_at_the_edges_stay(page, want):
     assert html.main_text(page, WEIGHTS) == want
 
 
+NAMED_PAGES = [
+    ('<article><p title="the hidden door">a</p><p>see <a href="/wiki/Hidden_Valley">the valley</a></p></article>', "a see the valley"),
+    ('<article><p data-id="share-3">a</p><p><a href="/p?id=reply-1">b</a></p><div data-role=menu>c</div></article>', "a b c"),
+    ("<article><p title=\"class='ad' id=menu style='display:none'\">a</p><img alt=hidden><b data-hidden>b</b></article>", "a b"),
+    ('<article><p>a</p><h2 id="related-work">Related work</h2><p>b</p><h2 id="social-effects">Social effects</h2>'
+     '<h3 id="skip-lists">Skip lists</h3><p id="notice-of-meeting">Notice of meeting</p></article>',
+     "a Related work b Social effects Skip lists Notice of meeting"),
+    ('<article><h2><span id="Social_effects">Social effects</span></h2><ol><li id="cite-social-1">note</li></ol></article>', "Social effects note"),
+    ('<article><p>a</p><section id="related-work"><h2>Related work</h2><p>b</p></section></article>', "a Related work b"),
+    ('<article><p>a</p><section id="related-posts"><h2>Read on</h2>x</section><div id=comments><h2>Comments</h2>x</div></article>', "a"),
+    ("<article>a<div HIDDEN>x</div><div hidden=''>x</div><div hidden=until-found> b</div><div aria-hidden = true>x</div></article>", "a b"),
+    ("<article>a<div id=share class='x'>x</div><div class='x' id=\"share\">x</div><div class=x\nrole='menu'>x</div></article>", "a"),
+]
+
+
+@pytest.mark.parametrize("page,want", NAMED_PAGES)
+def test_names_and_ids_of_text_do_not_drop_it(page, want):
+    assert html.main_text(page, WEIGHTS) == want
+
+
 def test_best_region_is_the_best_of_all():
     rng = random.Random(3)
     for _ in range(200):
