@@ -347,6 +347,23 @@ def test_shards_are_even_and_keep_copies_together(spark):
     assert not linked[9000] and not linked[9001] and not linked[9002] and linked[5000] and not linked[0]
 
 
+@pytest.mark.parametrize("copies", [2, 5, 20])
+def test_a_table_of_copies_only_is_cut_at_the_edges_only(spark, copies):
+    docs = spark.range(4_800).selectExpr("id AS doc_id", f"CONCAT('text ', id DIV {copies}) AS text")
+    got = sharding.place_documents(docs, "doc_id", "text", 8).cache()
+    counts = collections.Counter(r.shard for r in got.collect())
+    assert counts == {s: 600 for s in range(8)} and got.where("NOT linked").count() == 0
+    assert sharding.cut_share(got) * (4_800 // copies) <= 2 * 8  # at most two at the edges of each shard
+
+
+def test_full_shards_swap():
+    flows = np.zeros((2, 3, 3))
+    flows[0] = [[0, 10, 0], [10, 0, 0], [0, 4, 0]]
+    granted = sharding._granted(flows, np.array([0.0, 0.0, 0.0]))
+    into, out = granted[0] * flows[0].sum(axis=0), flows[0] @ granted[0]
+    assert (into <= out + 1e-3).all() and into.sum() > 0
+
+
 def test_shards_of_few_rows(spark):
     assert placed(spark, [], 24) == []
     got = placed(spark, [(1, "a", "x"), (1, "a", "x"), (None, "b", "x")], 24)
