@@ -10,9 +10,12 @@ is one aggregation: moments are summed per stratum and distance bin, so the near
 hundred summed rows, a stratum with a third of all rows is pre-aggregated like any other, and no quantile is sampled.
 Values are rounded to multiples of 1/256; their sums are exact, so results do not depend on the order of rows.
 
-Cases: a null text has no words and fails the base rules; null languages and sources are strata of their own; strata
-under ``SMALL`` rows are judged with the other small strata of their language, or all together; below ``FEWEST`` rows
-nothing is rejected; repeated rows are judged alike; an empty table gives no rows. The input's columns come back in a
+Languages are never judged together. Strata under ``SMALL`` rows share the scatter of their language's small strata (of all
+its strata, if those are under ``SMALL`` rows too); each is centred by its own medians from ``FEWEST`` rows on, else by
+those of the strata under ``FEWEST`` rows, or of the language.
+
+Cases: a null text has no words and fails the base rules; null languages and sources are strata of their own; in a
+language below ``FEWEST`` rows nothing is rejected; repeated rows are judged alike; an empty table gives no rows. The input's columns come back in a
 struct of their own, so their names clash with nothing.
 """
 
@@ -40,7 +43,7 @@ MAX_REPEAT_PERCENT = 30
 COVERED = 0.75
 STEPS = 12
 SETTLED = 1e-6
-#: Rows under which a stratum is pooled, and under which no estimate is made.
+#: Rows under which a stratum shares its scatter, and under which there are no medians and no estimate.
 SMALL = 200
 FEWEST = 40
 #: Bins of the logarithm of the squared distance, per unit.
@@ -139,29 +142,47 @@ def with_vector(df: DataFrame) -> DataFrame:
 
 
 def with_stratum(df: DataFrame, lang: str, source: str) -> DataFrame:
-    """``s_lang, s_source``: own stratum, or the pooled one of small strata; ``-`` marks pooling, ``=`` a value."""
+    """``s_lang, s_source``: own stratum, or ``-`` as source for the small strata of a language (``=`` marks a value).
+
+    Vectors of small strata are centred. ``lent`` has the centred vector of a large stratum whose language's small ones
+    are too few for a scatter.
+    """
     named = df.withColumns(
         {
             "s_lang": F.coalesce(F.concat(F.lit("="), F.col(lang)), F.lit("null")),
             "s_source": F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null")),
         }
     )
-    good = F.count_if(~F.col("base_failed"))
-    sizes = named.groupBy("s_lang", "s_source").agg(good.alias("rows"))
-    sizes = sizes.withColumn("p_source", F.when(F.col("rows") >= SMALL, F.col("s_source")).otherwise("-"))
-    pooled = sizes.groupBy("s_lang", "p_source").agg(F.sum("rows").alias("p_rows"))
-    place = sizes.join(pooled, ["s_lang", "p_source"]).select(
-        "s_lang",
-        "s_source",
-        F.when(F.col("p_rows") >= SMALL, F.col("s_lang")).otherwise("-").alias("p_lang"),
-        "p_source",
+    sizes = named.groupBy("s_lang", "s_source").agg(F.count_if(~F.col("base_failed")).alias("rows"))
+    per_lang = Window.partitionBy("s_lang")  # windows over a row per stratum
+    small = F.col("rows") < SMALL
+    place = sizes.withColumns(
+        {
+            "p_source": F.when(small, "-").otherwise(F.col("s_source")),
+            "centre_of": F.when(F.col("rows") < FEWEST, "-").otherwise(F.col("s_source")),
+            "_pool": F.sum(F.when(small, F.col("rows")).otherwise(0)).over(per_lang),
+        }
     )
-    place = materialize(place, "strata")  # a row per stratum: the planner sees its size before it moves any text
-    return (
-        named.join(place, ["s_lang", "s_source"])
-        .drop("s_lang", "s_source")
-        .withColumnsRenamed({"p_lang": "s_lang", "p_source": "s_source"})
+    place = place.withColumn("_like", F.sum("rows").over(Window.partitionBy("s_lang", "centre_of")))
+    place = place.withColumns(
+        {
+            "lends": ~small & (F.col("_pool") > 0) & (F.col("_pool") < SMALL),
+            "centre_of": F.when(F.col("_like") < FEWEST, "*").otherwise(F.col("centre_of")),
+        }
     )
+    place = place.withColumn("_whole", F.max(F.col("centre_of") == "*").over(per_lang)).drop("rows", "_pool", "_like")
+    place = materialize(place, "strata")  # a row per stratum: the planner sees its size before it moves any text
+    placed = named.join(place, ["s_lang", "s_source"])
+    good = placed.where("NOT base_failed")
+    needed = good.where("p_source = '-' OR lends").where("centre_of <> '*'").select("s_lang", "centre_of", *VECTOR)
+    needed = needed.unionByName(good.where("_whole").select("s_lang", F.lit("*").alias("centre_of"), *VECTOR))
+    medians = needed.groupBy("s_lang", "centre_of").agg(*(F.percentile(v, F.lit(0.5)).alias(f"_m{i}") for i, v in enumerate(VECTOR)))
+    placed = placed.join(materialize(medians, "centres"), ["s_lang", "centre_of"], "left")
+    centred = [F.col(v) - F.col(f"_m{i}") for i, v in enumerate(VECTOR)]
+    placed = placed.withColumn("lent", F.when(F.col("lends"), F.struct(*(c.alias(v) for c, v in zip(centred, VECTOR)))))
+    placed = placed.withColumns({v: F.when(F.col("p_source") == "-", c).otherwise(F.col(v)) for c, v in zip(centred, VECTOR)})
+    placed = placed.drop("s_source", "centre_of", "lends", "_whole", *(f"_m{i}" for i in range(len(VECTOR))))
+    return placed.withColumnRenamed("p_source", "s_source")
 
 
 # Estimates
@@ -299,7 +320,9 @@ def judge(docs: DataFrame, text: str, lang: str, source: str, keep: list[str] |
     with batch_rows(docs.sparkSession, 1_000):
         stored = materialize(with_vector(found.withColumn("base_failed", base)), "statistics")
     placed = with_stratum(stored, "_lang", "_source")
-    vectors = materialize(placed.where("NOT base_failed").select("s_lang", "s_source", *VECTOR), "vectors")
+    good = placed.where("NOT base_failed")
+    lent = good.where("lent IS NOT NULL").select("s_lang", F.lit("-").alias("s_source"), "lent.*")
+    vectors = materialize(good.select("s_lang", "s_source", *VECTOR).unionByName(lent), "vectors")
     estimate = fit(vectors).select("s_lang", "s_source", "centre", "inverse")
     judged = placed.join(estimate, ["s_lang", "s_source"], "left").withColumn("distance", _distance())
     outlier = F.coalesce(F.col("distance") > CUTOFF, F.lit(False))

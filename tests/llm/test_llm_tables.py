@@ -187,6 +187,22 @@ def test_outliers_are_rejected_and_prose_is_kept(spark):
     assert all(r.kept and r.distance is None for r in few)
 
 
+def test_small_strata_are_judged_by_their_own_centre(spark):
+    rng = random.Random(8)
+    long = lambda n: " ".join(w * 4 for w in prose(rng, n).split())
+    rows = [(1000 * k + i, prose(rng, 120), lang, "s") for k, lang in enumerate(["aa", "bb", "cc"]) for i in range(120)]
+    rows += [(5000 + i, long(120), "long", "s") for i in range(60)]  # a rare language of long words
+    rows += [(6000 + i, long(120), "aa", "long source") for i in range(50)]
+    rows += [(7000 + i, prose(rng, 120), "en", "large") for i in range(210)] + [(8000 + i, long(120), "tiny", "s") for i in range(20)]
+    junk = [(9000 + i, " ".join(w + "%&$" for w in prose(rng, 100).split()), ["aa", "long", "en"][i % 3], "s") for i in range(12)]
+    docs = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string, source string")
+    got = {r["row"].doc_id: r for r in quality.judge(docs, "text", "lang", "source", keep=["doc_id"]).collect()}
+    assert len(got) == len(rows + junk)
+    assert all(got[i].kept for i, *_ in rows)
+    assert not any(got[i].kept for i, *_ in junk)
+    assert all((r.distance is None) == (8000 <= i < 9000) for i, r in got.items())
+
+
 def test_concentration_steps_equal_plain_ones(spark):
     rng = np.random.default_rng(3)
     d = len(quality.VECTOR)
