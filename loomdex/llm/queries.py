@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm import bpe, chat, html, mtree, near_dup, packing, quality, sharding, surrogates, warc
+from loomdex.llm import bpe, chat, html, merkle, mtree, near_dup, packing, quality, sharding, surrogates, warc
 from loomdex.llm.common import read_table
 from loomdex.plans.catalog.base import Entry
 
@@ -187,3 +187,62 @@ def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def _field_sql(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE octet_length(encode(CAST({value} AS VARCHAR))) || ':' || {value} END"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_field_sql, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+#: crc32 of short ASCII strings, bit by bit.
+_CRC32 = """(list_reduce(list_prepend(4294967295, list_transform(range(1, length({0}) + 1), lambda i: CAST(ascii(substr({0}, i, 1)) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+
+def _levels_sql(name: str) -> str:
+    return f"""{name}(g, up, hs) AS (
+  SELECT g, 0, hs FROM {name}_leaves
+  UNION ALL
+  SELECT g, up + 1, list_transform(range(0, (len(hs) + 1) // 2), lambda i: sha256(hs[2 * i + 1] || coalesce(hs[2 * i + 2], '')))
+  FROM {name} WHERE len(hs) > 1)"""
+
+
+def _steps_sql(tree: str) -> str:
+    """Of each leaf: a step per level, ``L`` or ``R`` and the sibling, or nothing."""
+    return f"""(SELECT list(CASE WHEN (k >> up) % 2 = 1 THEN 'L' || hs[k >> up] WHEN len(hs) > (k >> up) + 1 THEN 'R' || hs[(k >> up) + 2]
+  ELSE '' END ORDER BY up) FILTER (len(hs) > 1) FROM {tree} WHERE {tree}.g IS NOT DISTINCT FROM x.g)"""
+
+
+_MANIFEST = f"""WITH RECURSIVE d AS (
+  SELECT doc_id, lang AS g, {_leaf_sql('n_chars')} AS leaf, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS k,
+    CASE WHEN xor({_CRC32.format('CAST(doc_id AS VARCHAR)')}, 4294967295) % 7 = 0 THEN {_leaf_sql('(n_chars + 1)')} ELSE {_leaf_sql('n_chars')} END AS checked
+  FROM documents),
+low_leaves AS (SELECT g, list(leaf ORDER BY k) AS hs FROM d GROUP BY g),
+{_levels_sql('low')},
+sub AS (SELECT g AS lang, hs[1] AS subroot, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS k FROM low WHERE len(hs) = 1),
+top_leaves AS (SELECT 0 AS g, list(subroot ORDER BY k) AS hs FROM sub),
+{_levels_sql('top')},
+r AS (SELECT hs[1] AS root FROM top WHERE len(hs) = 1),
+high AS (SELECT lang, subroot, coalesce({_steps_sql('top')}, []) AS steps FROM (SELECT *, 0 AS g FROM sub) x),
+s AS (SELECT x.*, subroot, list_concat(coalesce({_steps_sql('low')}, []), high.steps) AS steps FROM d x JOIN high ON high.lang IS NOT DISTINCT FROM x.g),
+f AS (SELECT *, list_reduce(list_prepend(checked, steps), lambda a, b: sha256(
+    CASE WHEN b = '' THEN a WHEN b[1] = 'L' THEN substr(b, 2) || a ELSE a || substr(b, 2) END)) AS folded_root FROM s)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda b: substr(b, 2)), '')) AS proof_sha256, folded_root,
+  folded_root = root AS verified FROM f, r"""
+
+
+@query(_MANIFEST)
+def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+
+    def tampered(docs: DataFrame) -> Column:
+        touched = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+        values = [F.when(touched, F.try_add("n_chars", F.lit(1))).otherwise(F.col(c)) if c == "n_chars" else F.col(c) for c in fields]
+        return merkle.leaf_digest(values)
+
+    proven = merkle.manifest(read_table(spark, sf, "documents"), "lang", "doc_id", fields, tampered)
+    return proven.withColumnRenamed("row_id", "doc_id")
