@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm import bpe, chat, html, merkle, mtree, near_dup, packing, quality, sharding, surrogates, warc
+from loomdex.llm import bpe, chat, clusters, html, merkle, mtree, near_dup, packing, quality, sharding, surrogates, warc
 from loomdex.llm.common import read_table
 from loomdex.plans.catalog.base import Entry
 
@@ -246,3 +246,34 @@ def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
 
     proven = merkle.manifest(read_table(spark, sf, "documents"), "lang", "doc_id", fields, tampered)
     return proven.withColumnRenamed("row_id", "doc_id")
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Assignments ``a0`` ... and centroids ``c0`` ... of each round; ``w`` are the vectors, component by component."""
+    parts = []
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, n, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+  SELECT kept.vec_id, kept.n, c{r}.c, list_sum(list_transform(list_zip(kept.v, c{r}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+  FROM kept, c{r}) GROUP BY ALL)""")
+        if r < rounds:
+            parts.append(f"""s{r} AS (SELECT c, i, CAST(floor(CAST(sum(kept.v[i]) AS DOUBLE) / count(*)) AS BIGINT) AS x
+  FROM a{r} JOIN kept USING (n), range(1, 65) t(i) GROUP BY ALL),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(m.v, c{r}.v) AS v FROM c{r} LEFT JOIN (SELECT c, list(x ORDER BY i) AS v FROM s{r} GROUP BY c) m USING (c))""")
+    return ",\n".join(parts)
+
+
+_CLUSTERS = f"""WITH kept AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS n, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(256 * x) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('2:' || vec_id) AS h, v FROM kept
+  WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT 40)),
+{_rounds_sql(5)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c5.v, ',')) AS centroid_sha256 FROM a5 JOIN c5 USING (c)"""
+
+
+@query(_CLUSTERS)
+def op11_ptolemaic_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = clusters.integer_vectors(read_table(spark, sf, "embeddings"), "vec_id", "embedding", width=64, scale=256)
+    found = clusters.cluster(vectors, k=40, rounds=5, seed="2:", width=64)
+    return found.withColumn("centroid_sha256", clusters.centroid_digest("centroid")).drop("centroid")
