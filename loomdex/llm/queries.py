@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm import bpe, chat, clusters, html, merkle, mtree, near_dup, packing, quality, sharding, surrogates, warc
+from loomdex.llm import bpe, chat, clusters, html, merkle, mtree, near_dup, packing, projections, quality, sharding, surrogates, warc
 from loomdex.llm.common import read_table
 from loomdex.plans.catalog.base import Entry
 
@@ -277,3 +277,9 @@ def op11_ptolemaic_clusters(spark: SparkSession, sf: str) -> DataFrame:
     vectors = clusters.integer_vectors(read_table(spark, sf, "embeddings"), "vec_id", "embedding", width=64, scale=256)
     found = clusters.cluster(vectors, k=40, rounds=5, seed="2:", width=64)
     return found.withColumn("centroid_sha256", clusters.centroid_digest("centroid")).drop("centroid")
+
+
+@query()
+def op12_stable_projections(spark: SparkSession, sf: str) -> DataFrame:
+    rows = projections.usable(read_table(spark, sf, "embeddings"), "vec_id", "embedding")
+    return projections.top_k(rows, rows.where("vec_id % 50 = 0"), k=5)
