@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from loomdex.functions.clauses import Clause
 from loomdex.functions.embed import Embedder, HashEmbedder, embed_one
 from loomdex.functions.format import hit_text
-from loomdex.functions.text import query_terms
+from loomdex.functions.querytext import parse_query, plain_terms
 from loomdex.functions.vectors import compression_ratio
 from loomdex.operators import docstore
 from loomdex.operators import registry as reg
-from loomdex.operators.bm25 import candidate_budget, rank_clause, rank_postings
+from loomdex.operators.bm25 import candidate_budget, rank_postings
 from loomdex.operators.filters import metadata_filter
+from loomdex.operators.lookup import rank_clause_postings
 from loomdex.operators.vector import rank_all, rank_allowed
 from loomdex.plans import sync as syncing
 from loomdex.plans.convert import convert, tree, with_quality, write_images, write_tree
@@ -31,6 +32,8 @@ from loomdex.store import Store, term_bucket
 
 #: Extensions of the files that are converted before they are indexed.
 OFFICE = (".docx", ".pdf")
+#: Fields that query texts may name.
+QUERY_FIELDS = ("title", "content", "department", "date", "filepath", "chunk_type")
 
 
 class SearchIndex:
@@ -131,8 +134,14 @@ class SearchIndex:
         self, query: str, filters: Mapping | None = None, limit: int = 100, *, field: str = "content", mode: str = "and",
         filter_mode: str = "post",
     ) -> DataFrame:
-        """``doc_id, bm25`` of the top ``limit`` chunks; ``post`` filters drop rows of that top."""
-        terms = query_terms(query)
+        """``doc_id, bm25`` of the top ``limit`` chunks for a query text; ``post`` filters drop rows of that top.
+
+        :mod:`loomdex.functions.querytext` tells the syntax; a text that breaks it is an error. ``mode`` joins words side by side.
+        """
+        clause = parse_query(query, QUERY_FIELDS, mode)
+        terms = plain_terms(clause, mode)
+        if terms is None:  # more than words side by side
+            return self._find_filtered(clause, filters, limit, field, filter_mode)
         row = self._corpus_stats(field)
         buckets = [term_bucket(F.lit(t)) for t in terms]
         post = self.store.layer("postings").where(F.col("field") == field)
@@ -143,14 +152,33 @@ class SearchIndex:
             ranked = rank_postings(post, row[0], row[1] or 1.0, terms, limit, mode=mode, allowed=wanted)
         else:
             ranked = rank_postings(post, row[0], row[1] or 1.0, terms, limit, mode=mode)
-        if not filters or filter_mode == "pre":
-            return ranked
+        return self._keep(ranked, filters) if filters and filter_mode == "post" else ranked
+
+    def _keep(self, ranked: DataFrame, filters: Mapping) -> DataFrame:
         meta = self.chunks().select("doc_id", "department", "date").where(metadata_filter(filters))
         return ranked.join(meta.select("doc_id"), "doc_id").select("doc_id", "bm25").orderBy(F.desc("bm25"), "doc_id")
 
-    def find(self, clause: Clause, limit: int = 100, *, field: str = "content") -> DataFrame:
-        """``doc_id, bm25`` of the top ``limit`` chunks for a clause: boolean, phrase, prefix, field and range conditions."""
-        return rank_clause(self.chunks(), clause, limit, text_col=field)
+    def _find_filtered(self, clause: Clause, filters: Mapping | None, limit: int, field: str, filter_mode: str) -> DataFrame:
+        if not filters:
+            return self.find(clause, limit, field=field)
+        if filter_mode == "post":
+            return self._keep(self.find(clause, limit, field=field), filters)
+        wanted = self.chunks().where(metadata_filter(filters)).select("doc_id")
+        return self.find(clause, limit, field=field, allowed=wanted)
+
+    def find(self, clause: Clause | str, limit: int = 100, *, field: str = "content", allowed: DataFrame | None = None) -> DataFrame:
+        """``doc_id, bm25`` of the top ``limit`` chunks for a clause or a query text: boolean, phrase, prefix, field and range conditions.
+
+        Answered from the postings; of the chunks only the columns that ranges and other fields name are read.
+        """
+        if isinstance(clause, str):
+            clause = parse_query(clause, QUERY_FIELDS)
+        post = self.store.layer("postings")
+        if clause is None:
+            return post.select("doc_id", F.lit(None).cast("double").alias("bm25")).where(F.lit(False))
+        n, avg = self._corpus_stats(field)
+        layers = (post, self.store.terms(), self.store.layer("lengths"))
+        return rank_clause_postings(*layers, clause, limit, n, avg or 1.0, field=field, meta=self.chunks(), allowed=allowed)
 
     def _corpus_stats(self, field: str) -> tuple[int, float]:
         """Chunk count and mean length of a field, computed once per committed version."""

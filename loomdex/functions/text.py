@@ -129,3 +129,41 @@ def query_terms(query: str) -> list[str]:
         else:
             terms[token] = None
     return list(terms)
+
+
+def text_tokens(text: str) -> list[str]:
+    """Words and single Han characters of a text in their order, on the driver: what :func:`tokenize` gives before its pairs."""
+    tokens = []
+    for run in _PY_WORD_OR_HAN_RUN.findall(text):
+        tokens += run if _PY_HAN.match(run) else [run]
+    return tokens
+
+
+def term_positions(tokens: Column) -> Column:
+    """``array<struct<term,tf,positions>>`` of a token array: positions ascend from 0.
+
+    Terms and their places are sorted together and cut where the term changes, inside the row.
+    """
+    kind = "array<struct<term:string,tf:bigint,positions:array<int>>>"
+
+    def runs(s: Column) -> Column:
+        n = F.size(s)
+        starts = F.filter(
+            F.sequence(F.lit(0), n - F.lit(1)), lambda i: (i == 0) | (F.get(s, i)["term"] != F.get(s, i - F.lit(1))["term"])
+        )
+
+        def cut(starts: Column) -> Column:
+            def one(at: Column, k: Column) -> Column:
+                size = F.coalesce(F.get(starts, k + F.lit(1)), n) - at
+                return F.struct(
+                    F.get(s, at)["term"].alias("term"),
+                    size.cast("bigint").alias("tf"),
+                    F.slice(s, at + F.lit(1), size)["at"].alias("positions"),
+                )
+
+            return F.transform(starts, one)
+
+        return F.when(n > 0, let(starts, cut)).otherwise(F.array().cast(kind))
+
+    placed = F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("at")))
+    return let(F.sort_array(placed), runs)

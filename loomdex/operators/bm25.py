@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomdex.functions.clauses import Clause
-from loomdex.functions.text import query_terms, term_counts, tokenize
+from loomdex.functions.text import query_terms, term_counts, term_positions, tokenize
 
 # BM25 parameters.
 K1 = 1.2
@@ -40,6 +40,13 @@ def postings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return sized.select(id_col, "dl", F.inline_outer("__c")).where("term IS NOT NULL")
 
 
+def positional_postings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, dl, term, tf, positions``: where each term stands in the text. Needs no shuffle."""
+    tokens = df.select(F.col(id_col), tokenize(F.col(text_col)).alias("__t"))
+    sized = tokens.select(id_col, F.size("__t").cast("bigint").alias("dl"), term_positions(F.col("__t")).alias("__c"))
+    return sized.select(id_col, "dl", F.inline_outer("__c")).where("term IS NOT NULL")
+
+
 def term_stats(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 

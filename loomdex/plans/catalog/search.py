@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.functions import clauses as cl
 from loomdex.functions.embed import HashEmbedder, embed_rows
 from loomdex.functions.format import hit_json, hit_text
+from loomdex.functions.querytext import parse_query
 from loomdex.functions.identity import name_date, name_department
 from loomdex.functions.text import query_terms, tokenize
 from loomdex.functions.vectors import compression_ratio, dequantize, l2_normalize, quantize
 from loomdex.operators import bm25
 from loomdex.operators.chunking import chunk_table
+from loomdex.operators.lookup import rank_clause_postings
 from loomdex.operators.vector import rank_all, rank_allowed
-from loomdex.plans import hybrid
+from loomdex.plans import hybrid, index
 from loomdex.plans.catalog.base import (
     HIERARCHICAL_SQL,
     WORD_SQL,
@@ -217,6 +221,110 @@ def bm25_query_range(spark, sf):
     return bm25.rank_clause(docs, clause, 100)
 
 
+def _stored_index(spark, sf, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Column, Column]:
+    """Postings, dictionary and lengths of ``doc_id, title, content`` rows as an index stores them, and corpus statistics of the contents."""
+    post = materialize(index.postings_table(rows), "postings")
+    lengths = materialize(index.lengths_table(rows), "lengths")
+    stats = lengths.where("field = 'content'").agg(F.struct(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avg_dl")).alias("s")).scalar()
+    return post, index.terms_table(post), lengths, stats["n"], stats["avg_dl"]
+
+
+def _indexed_documents(spark, sf):
+    docs = documents(spark, sf, "doc_id", "text", "source", "n_chars").withColumn("date", name_date(doc_path()))
+    return docs.select("doc_id", F.col("source").alias("title"), F.col("text").alias("content"), "source", "n_chars", "date")
+
+
+def _find(spark, sf, *texts: str, limit: int = 100):
+    """Top rows of every query text, numbered."""
+    docs = _indexed_documents(spark, sf)
+    post, dictionary, lengths, n, avg = _stored_index(spark, sf, docs)
+    meta = docs.select("doc_id", "source", "n_chars", "date")
+    found = []
+    for i, text in enumerate(texts):
+        clause = parse_query(text, ("title", "source", "n_chars", "date"))
+        ranked = rank_clause_postings(post, dictionary, lengths, clause, limit, n, avg, meta=meta)
+        found.append(ranked.select(F.lit(i).alias("query"), "doc_id", "bm25"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _found_sql(*cases: tuple[list[str], str]) -> str:
+    """The same by conditions over the words ``w`` of whole texts; scores by the given terms."""
+    date = "DATE '2024-01-01' + CAST(doc_id % 366 AS INTEGER) AS day"
+    parts = []
+    for i, (terms, condition) in enumerate(cases):
+        score = bm25_sql("documents", terms, None, "or") if terms else ""
+        ranked = f"WITH {score}" if terms else "WITH bm AS (SELECT doc_id, 0.0 AS bm25 FROM documents)"
+        parts.append(
+            f"""SELECT * FROM ({ranked} SELECT {i} AS query, doc_id, coalesce(bm25, 0.0) AS bm25 FROM tokens LEFT JOIN bm USING (doc_id) WHERE {condition}
+ORDER BY bm25 DESC, doc_id LIMIT 100)"""
+        )
+    return f"""WITH tokens AS MATERIALIZED (
+  SELECT *, {date}, regexp_extract_all(text, '{WORD_SQL}') AS w, ' '||array_to_string(regexp_extract_all(text, '{WORD_SQL}'), ' ')||' ' AS flat FROM documents)
+{' UNION ALL '.join(parts)}"""
+
+
+@query(_found_sql((["of", "the"], "contains(flat, ' of the ')"), (["and", "the"], "contains(flat, ' and the ') AND NOT contains(flat, ' of the ')")))
+def bm25_phrase_postings(spark, sf):
+    """Phrases by the positions of their words; texts are not read by the search."""
+    return _find(spark, sf, '"of the"', '"and the" NOT "of the"')
+
+
+@query(
+    _found_sql(
+        (["the"], "list_contains(w, 'the') AND len(list_filter(w, lambda x: starts_with(x, 'thin'))) > 0"),
+        (["the"], "list_contains(w, 'the') AND len(list_filter(w, lambda x: regexp_full_match(x, '.n.*ing'))) > 0"),
+        ([], "len(list_filter(w, lambda x: starts_with(x, 'wa') OR regexp_full_match(x, 's.*m.?'))) > 0"),
+    )
+)
+def bm25_prefix_postings(spark, sf):
+    """Prefixes and wildcards through a range scan of the sorted dictionary."""
+    return _find(spark, sf, "the thin*", "the ?n*ing", "wa* OR s*m OR s*m?")
+
+
+_TITLE_WORDS = f"regexp_extract_all(regexp_replace(title, '\\[段落(\\d+)\\]', '段 落 \\1 段落'), '{WORD_SQL}')"
+_TITLE_QUERY = "the of"
+
+
+@query(
+    f"""WITH RECURSIVE {HIERARCHICAL_SQL}, corpus AS (SELECT chunk_id AS doc_id, array_to_string({_TITLE_WORDS}, ' ') AS text FROM chunk_table),
+{bm25_sql('corpus', query_terms(_TITLE_QUERY), 100)} SELECT doc_id, bm25 FROM bm"""
+)
+def bm25_title_postings(spark, sf):
+    """Ranking by the words of chunk titles, from the title field of the postings."""
+    chunks = _chunks(spark, sf)
+    post, _, lengths, _, _ = _stored_index(spark, sf, chunks)
+    stats = lengths.where("field = 'title'").agg(F.struct(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avg_dl")).alias("s")).scalar()
+    return bm25.rank_postings(post.where("field = 'title'"), stats["n"], stats["avg_dl"], query_terms(_TITLE_QUERY), 100)
+
+
+@query(
+    _found_sql(
+        (["the", "of"], "list_contains(w, 'the') AND list_contains(w, 'of')"),
+        (["the", "of", "with"], "list_contains(w, 'the') AND (list_contains(w, 'of') OR list_contains(w, 'with')) AND NOT list_contains(w, 'and')"),
+        (["the", "of", "with"], "list_contains(w, 'the') AND list_contains(w, 'of') OR list_contains(w, 'with')"),
+        ([], "NOT list_contains(w, 'the')"),
+        (["of"], "list_contains(w, 'of') AND source = 'src3' AND day BETWEEN DATE '2024-03-01' AND DATE '2024-06-30'"),
+        ([], "n_chars > 500 AND n_chars <= 900"),
+        (["the", "of", "and"], "list_contains(w, 'the') AND NOT (contains(flat, ' of the ') OR len(list_filter(w, lambda x: starts_with(x, 'thin'))) > 0) OR contains(flat, ' of and ')"),
+        ([], "list_contains(regexp_extract_all(source, '\\w+'), 'src3') AND NOT list_contains(w, 'the') OR day < DATE '2024-01-05'"),
+    )
+)
+def bm25_query_text(spark, sf):
+    """Query texts: operators and their binding, groups, phrases, prefixes, fields and ranges."""
+    return _find(
+        spark,
+        sf,
+        "the of",
+        "the of OR with NOT and",
+        "(the AND of) OR with",
+        "NOT the",
+        "of title:src3 date:[2024-03-01 TO 2024-06-30]",
+        "n_chars:{500 TO 900]",
+        '(the ANDNOT ("of the" OR thin*)) OR "of and"',
+        "(source:src3 NOT the) OR date:{TO 2024-01-05}",
+    )
+
+
 _TOKENS = f"SELECT doc_id, unnest(regexp_extract_all(text, '{WORD_SQL}')) AS term FROM documents"
 
 

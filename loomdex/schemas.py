@@ -41,6 +41,16 @@ POSTINGS = T.StructType(
         T.StructField("doc_id", T.LongType()),
         T.StructField("tf", T.LongType()),
         T.StructField("dl", T.LongType()),
+        T.StructField("positions", T.ArrayType(T.IntegerType())),
+        T.StructField("bucket", T.IntegerType()),
+    ]
+)
+
+#: Terms that occur in a version, for range scans by their beginning.
+TERMS = T.StructType(
+    [
+        T.StructField("field", T.StringType()),
+        T.StructField("term", T.StringType()),
         T.StructField("bucket", T.IntegerType()),
     ]
 )

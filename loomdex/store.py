@@ -26,6 +26,8 @@ LAYERS = {
     "lengths": schemas.LENGTHS,
     "vectors": schemas.VECTORS,
 }
+#: Tables without chunk ids, appended by each version.
+TABLES = {"terms": schemas.TERMS}
 TERM_BUCKETS = 64
 
 
@@ -96,7 +98,7 @@ class Store:
         return self.head
 
     def _create(self) -> None:
-        for name, schema in {**LAYERS, "registry": schemas.REGISTRY, "removed": schemas.REMOVED}.items():
+        for name, schema in {**LAYERS, **TABLES, "registry": schemas.REGISTRY, "removed": schemas.REMOVED}.items():
             self.write(name, 0, self.spark.createDataFrame([], schema))
         self.commit(0, {}, max_id=0, floor=0)
 
@@ -140,6 +142,10 @@ class Store:
 
         return self._open(name, live)
 
+    def terms(self) -> DataFrame:
+        """All terms of the versions that are read, some of them more than once; terms of hidden chunks may be among them."""
+        return self._open("terms", lambda: self._versions("terms", schemas.TERMS))
+
     def registry(self) -> DataFrame:
         return self.spark.read.schema(schemas.REGISTRY).parquet(self.path("registry", self.head.version))
 
@@ -148,6 +154,9 @@ class Store:
             # hot terms are split over several tasks by the rebalance, each file stays sorted by term
             out = df.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id")
             writer = out.write.option("parquet.bloom.filter.enabled#term", "true").partitionBy("bucket")
+        elif table == "terms":
+            # sorted by range, so that the terms with one beginning lie in few row groups
+            writer = df.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write
         else:
             writer = df.write
         writer.mode("overwrite").parquet(self.path(table, version))
@@ -167,12 +176,13 @@ class Store:
             if name in ("chunks", "vectors"):
                 rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
             self.write(name, version, rows)
+        self.write("terms", version, self.read_version("postings", version, schemas.POSTINGS).select(*schemas.TERMS.fieldNames()).distinct())
         self.write("registry", version, self.registry())
         self.write("removed", version, self.spark.createDataFrame([], schemas.REMOVED))
         self.commit(version, {}, max_id=self.head.max_id, floor=version)
         floors = [r["floor"] for r in self.commits().select("floor").distinct().orderBy(F.desc("floor")).take(keep_versions + 1)]
         if len(floors) > keep_versions:
             for old in range(floors[keep_versions], floors[keep_versions - 1]):
-                for name in (*LAYERS, "removed", "registry"):
+                for name in (*LAYERS, *TABLES, "removed", "registry"):
                     self.drop(name, old)
         return version
