@@ -8,16 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.functions.clauses import Clause
+from loomdex.functions.codes import check_bits, stored_ratio, survivors
 from loomdex.functions.embed import Embedder, HashEmbedder, embed_one
 from loomdex.functions.format import hit_text
 from loomdex.functions.querytext import parse_query, plain_terms
-from loomdex.functions.vectors import compression_ratio
 from loomdex.operators import docstore
 from loomdex.operators import registry as reg
 from loomdex.operators.bm25 import candidate_budget, rank_postings
 from loomdex.operators.filters import metadata_filter
 from loomdex.operators.lookup import rank_clause_postings
-from loomdex.operators.vector import rank_all, rank_allowed
+from loomdex.operators.vector import rank_allowed
 from loomdex.plans import sync as syncing
 from loomdex.plans.convert import convert, tree, with_quality, write_images, write_tree
 from loomdex.plans.hybrid import parent_chunks, with_context
@@ -40,7 +40,8 @@ class SearchIndex:
     """Hybrid document index.
 
     Searches return DataFrames whose stages are joined inside Spark; only the query itself is embedded on the driver.
-    ``dim`` fixes the length of all vectors; without it the first committed vectors do.
+    ``dim`` fixes the length of all vectors; without it the first committed vectors do. ``bit_width`` is the number of bits that a
+    component has in the codes that full vector searches scan.
     """
 
     def __init__(
@@ -56,7 +57,7 @@ class SearchIndex:
         self.spark = spark
         self.store = Store(spark, base)
         self.embedder = embedder or HashEmbedder()
-        self.bit_width = bit_width
+        self.bit_width = check_bits(bit_width)
         self.dim = dim
         self.pdf_reader = pdf_reader
         self._stats: dict = {}
@@ -69,7 +70,7 @@ class SearchIndex:
         if files.select("file_path").isEmpty():
             raise FileNotFoundError(f"document not found: {path}")
         before = self.store.refresh().max_id
-        syncing.ingest(self.store, files, self.embedder, dim=self.dim, pdf_reader=self.pdf_reader)
+        syncing.ingest(self.store, files, self.embedder, dim=self.dim, bit_width=self.bit_width, pdf_reader=self.pdf_reader)
         # new chunks take the ids after those given out before, so only this version's files are read
         own = self.chunks().where((F.col("doc_id") > before) & (F.col("filepath") == plain_path(path)))
         first = own.agg(F.min("doc_id")).first()[0]
@@ -99,6 +100,7 @@ class SearchIndex:
             ignore,
             self.embedder,
             dim=self.dim,
+            bit_width=self.bit_width,
             pdf_reader=self.pdf_reader,
         )
 
@@ -106,7 +108,11 @@ class SearchIndex:
         """Hide all chunks of one file in every layer and forget the file; returns the number of chunks."""
         path = plain_path(path)
         head = self.store.refresh()
-        ids = self.chunks().where(F.col("filepath") == path).select("doc_id")
+        at = self.store.ranges().where(F.col("file_path") == path).first()
+        if at is None:
+            ids = self.chunks().select("doc_id").where(F.lit(False))
+        else:
+            ids = self.chunks().where(F.col("doc_id").between(at["first_id"], at["last_id"])).select("doc_id")
         known = self.store.registry().where(F.col("file_path") == path)
         found = ids.count()
         if not found and known.isEmpty():
@@ -119,12 +125,14 @@ class SearchIndex:
 
     def remove_document(self, doc_id: int) -> bool:
         """Hide one chunk in every layer; False when there is no such chunk."""
-        if self.get_content(doc_id) is None:
+        known = self.get_content(doc_id)
+        if known is None:
             return False
         head = self.store.refresh()
         version = head.version + 1
         self.store.write("removed", version, self.spark.createDataFrame([(doc_id,)], REMOVED))
-        self.store.write("registry", version, self.store.registry())
+        left = F.when(F.col("file_path") == known["filepath"], F.col("chunk_count") - 1).otherwise(F.col("chunk_count"))
+        self.store.write("registry", version, self.store.registry().withColumn("chunk_count", left.cast("int")))
         self.store.commit(version, {"deleted": 0}, max_id=head.max_id)
         return True
 
@@ -219,11 +227,12 @@ class SearchIndex:
         )
 
     def search_vectors(self, query: str, k: int = 10) -> DataFrame:
-        """Unrestricted exact vector search."""
+        """Unrestricted vector search: the codes are scanned, the vectors of what can be among the nearest are compared exactly."""
         vector = embed_one(self.embedder, query)
         if vector is None:
             raise ValueError("the query could not be embedded")
-        return rank_all(self.store.layer("vectors"), vector, k)
+        close = survivors(self.store.layer("codes"), vector, k)
+        return rank_allowed(self.store.layer("vectors"), close, F.array(*map(F.lit, vector)), k)
 
     def render(self, results: DataFrame) -> DataFrame:
         return results.select("id", "score", hit_text().alias("text"))
@@ -281,7 +290,7 @@ class SearchIndex:
             "bm25_chunks": layers("lengths").where("field = 'content'").count(),
             "vec_vectors": layers("vectors").count(),
             "store_docs": layers("chunks").count(),
-            "compression_ratio": compression_ratio(32),  # vectors are stored as they are
+            "compression_ratio": layers("codes").agg(stored_ratio()).first()[0],
             "id_counter": self.store.head.max_id,
         }
 
@@ -304,7 +313,7 @@ class SearchIndex:
 
     def removed_count(self) -> int:
         """Hidden chunks that :meth:`compact` would drop."""
-        return self.store.removed().count()
+        return self.store.removed().distinct().count()
 
     def compact(self, keep_versions: int = 1) -> int:
         """Drop hidden rows; folders of all but the last ``keep_versions`` floors are deleted."""

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from loomdex.functions.embed import HashEmbedder
 from loomdex.functions.identity import content_hash, file_id
 from loomdex.operators import docstore
 from loomdex.operators import registry as reg
-from loomdex.plans.catalog.base import documents, file_id_sql, query
+from loomdex.plans.catalog.base import HIERARCHICAL_SQL, MD_DOCS_SQL, PATH_SQL, documents, file_id_sql, md_docs, query
+from loomdex.plans.sync import ingest
 from loomdex.sources.files import has_extension, is_ignored
-from loomdex.sources.tables import read_table
+from loomdex.sources.tables import read_table, shared_folder
+from loomdex.store import Store
 
 # The two snapshots: the registry was filled before directory src5 appeared and
 # before the German files were edited; directory src9 has been deleted since.
@@ -244,3 +249,32 @@ def metadata_json_roundtrip(spark, sf):
     stored = parsed.select("event_id", docstore.metadata_to_json(F.col("m")).alias("stored"))
     back = stored.withColumn("m", docstore.metadata_from_json(F.col("stored")))
     return back.select("event_id", F.col("m")["k"].cast("bigint").alias("k"), F.col("m")["type"].alias("type"), "stored")
+
+
+# A whole sync: every document is indexed, then the table is synced as a changed snapshot.
+SYNC_GONE, SYNC_EDITED = "src9", "de"
+_ADDED = "# Added\n\nA paragraph that the edit has added."
+_EDITED_SQL = f"""md_docs AS (SELECT doc_id, file_path, CASE WHEN lang = '{SYNC_EDITED}' THEN content||chr(10)||chr(10)||'# Added'||chr(10)||chr(10)||
+  'A paragraph that the edit has added.' ELSE content END AS content FROM (WITH {MD_DOCS_SQL} SELECT * FROM md_docs) JOIN (SELECT doc_id, lang FROM documents) USING (doc_id))"""
+
+
+@query(
+    f"""WITH first AS (WITH RECURSIVE {HIERARCHICAL_SQL} SELECT chunk_id, file_path, pos, content FROM chunk_table),
+edited AS (WITH RECURSIVE {HIERARCHICAL_SQL.replace(MD_DOCS_SQL, _EDITED_SQL)} SELECT file_id, file_path, pos, content FROM chunk_table),
+kind AS (SELECT {PATH_SQL} AS file_path, CASE WHEN source = '{SYNC_GONE}' THEN 'gone' WHEN lang = '{SYNC_EDITED}' THEN 'edited' ELSE 'same' END AS kind FROM documents)
+SELECT chunk_id AS doc_id, file_path, CAST(pos AS BIGINT) AS pos, content FROM first JOIN kind USING (file_path) WHERE kind = 'same'
+UNION ALL
+SELECT (SELECT max(chunk_id) FROM first) + row_number() OVER (ORDER BY file_id, pos), file_path, pos, content FROM edited JOIN kind USING (file_path)
+WHERE kind = 'edited'"""
+)
+def sync_apply(spark, sf):
+    """Live chunks after two syncs: one source is deleted and the files of one language are edited between them."""
+    files = md_docs(spark, sf, "source", "lang")
+    as_files = lambda rows, content: rows.select(
+        "file_path", F.lit("2024-01-01").cast("timestamp").alias("modified_at"), F.length(content).cast("bigint").alias("length"), F.encode(content, "UTF-8").alias("content")
+    )
+    store = Store(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    ingest(store, as_files(files, F.col("content")), HashEmbedder(8))
+    edited = F.when(F.col("lang") == SYNC_EDITED, F.concat("content", F.lit("\n\n" + _ADDED))).otherwise(F.col("content"))
+    ingest(store, as_files(files.where(F.col("source") != SYNC_GONE), edited), HashEmbedder(8), complete=True)
+    return store.layer("chunks").select("doc_id", F.col("filepath").alias("file_path"), F.col("pos").cast("bigint").alias("pos"), "content")

@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.functions import clauses as cl
+from loomdex.functions.codes import encode, stored_ratio, survivors
 from loomdex.functions.embed import HashEmbedder, embed_rows
 from loomdex.functions.format import hit_json, hit_text
 from loomdex.functions.querytext import parse_query
 from loomdex.functions.identity import name_date, name_department
 from loomdex.functions.text import query_terms, tokenize
-from loomdex.functions.vectors import compression_ratio, dequantize, l2_normalize, quantize
+from loomdex.functions.vectors import dequantize, l2_normalize, quantize
 from loomdex.operators import bm25
 from loomdex.operators.chunking import chunk_table
 from loomdex.operators.lookup import rank_clause_postings
@@ -457,23 +458,29 @@ def vector_quantize(spark, sf):
     )
 
 
+@query(
+    f"SELECT vec_id AS doc_id, round({cosine_sql('embedding', _QV)}, 6) AS score FROM embeddings ORDER BY score DESC, doc_id LIMIT {K}"
+)
+def vector_topk_quantised(spark, sf):
+    """Full search over stored 4-bit codes; what their error bounds leave open is compared exactly."""
+    row = read_table(spark, sf, "embeddings").where(F.col("vec_id") == QUERY_VECTOR_ID).first()
+    codes = materialize(encode(vectors(spark, sf), 4), "codes")
+    close = survivors(codes, list(row["embedding"]), K)
+    return rank_allowed(vectors(spark, sf), close, F.array(*map(F.lit, row["embedding"])), K)
+
+
 @query(
     """SELECT (SELECT count(*) FROM documents) AS bm25_chunks, count(*) AS vec_vectors, max(len(embedding))::BIGINT AS dim,
-'8.0x' AS compression_ratio, (SELECT max(doc_id) FROM documents) AS id_counter FROM embeddings"""
+format('{:.1f}x', sum(4 * len(embedding)) / sum(4 * ceil(len(embedding) / 8) + 12)) AS compression_ratio,
+(SELECT max(doc_id) FROM documents) AS id_counter FROM embeddings"""
 )
 def compression_stats(spark, sf):
+    """Sizes of the layers; the ratio is that of the codes' bytes to the vectors'."""
     docs = read_table(spark, sf, "documents").agg(F.struct(F.count("*").alias("n"), F.max("doc_id").alias("m"))).scalar()
-    return (
-        read_table(spark, sf, "embeddings")
-        .agg(F.count("*").alias("vec_vectors"), F.max(F.size("embedding")).cast("bigint").alias("dim"))
-        .select(
-            docs["n"].alias("bm25_chunks"),
-            "vec_vectors",
-            "dim",
-            F.lit(compression_ratio(4)).alias("compression_ratio"),
-            docs["m"].alias("id_counter"),
-        )
+    sizes = encode(vectors(spark, sf), 4).agg(
+        F.count("*").alias("vec_vectors"), F.max("dim").cast("bigint").alias("dim"), stored_ratio().alias("compression_ratio")
     )
+    return sizes.select(docs["n"].alias("bm25_chunks"), "vec_vectors", "dim", "compression_ratio", docs["m"].alias("id_counter"))
 
 
 @query(
@@ -488,3 +495,29 @@ def embed_hash_batch(spark, sf):
     embedded = embed_rows(documents(spark, sf, "doc_id", "text"), HashEmbedder(64), text_col="text")
     rows = embedded.select("doc_id", F.posexplode("embedding").alias("i", "v")).where("v <> 0")
     return rows.select("doc_id", F.col("i").cast("bigint").alias("i"), F.round(F.col("v").cast("double"), 5).alias("v"))
+
+
+#: The documents whose vectors are stored already.
+_KNOWN = "source <> 'src3'"
+
+
+@query(
+    f"""WITH w AS (SELECT doc_id, md5(unnest(regexp_extract_all(text, '{WORD_SQL}'))) AS h FROM documents),
+c AS (SELECT doc_id, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 64 AS i, sum(CASE WHEN substr(h, 9, 1) >= '8' THEN 1.0 ELSE -1.0 END) AS c
+  FROM w GROUP BY ALL),
+n AS (SELECT doc_id, i, CAST(c AS DOUBLE) AS c, sqrt(CAST(sum(c * c) OVER (PARTITION BY doc_id) AS DOUBLE)) AS n FROM c),
+k AS (SELECT DISTINCT text FROM documents WHERE {_KNOWN})
+SELECT doc_id, i, round(CAST(CAST(c / n AS FLOAT) AS DOUBLE), 5) * CASE WHEN k.text IS NULL THEN 1 ELSE -1 END AS v, k.text IS NOT NULL AS reused
+FROM n JOIN documents USING (doc_id) LEFT JOIN k USING (text) WHERE c <> 0"""
+)
+def embed_reuse(spark, sf):
+    """Vectors by the digests of the texts: those stored (here with their signs turned, to tell them apart) need no model."""
+    docs = materialize(documents(spark, sf, "doc_id", "source", "text").withColumnRenamed("text", "content"), "texts")
+    old = embed_rows(docs.where(_KNOWN), HashEmbedder(64)).join(docs, "doc_id")
+    turned = F.transform("embedding", lambda x: -x).alias("embedding")
+    known = materialize(old.select(index.text_digest(F.col("content")).alias("digest"), turned), "known")
+    made = materialize(index.vectors_table(docs, HashEmbedder(64), known), "vectors")
+    reused = made.join(known.select("digest", F.lit(True).alias("reused")).distinct(), "digest", "left")
+    rows = reused.select("doc_id", F.coalesce("reused", F.lit(False)).alias("reused"), F.posexplode("embedding").alias("i", "v"))
+    rows = rows.where("v <> 0").select("doc_id", F.col("i").cast("bigint").alias("i"), F.round(F.col("v").cast("double"), 5).alias("v"), "reused")
+    return rows

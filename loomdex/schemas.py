@@ -66,10 +66,31 @@ LENGTHS = T.StructType(
 VECTORS = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
+        T.StructField("digest", T.BinaryType()),
         T.StructField("embedding", T.ArrayType(T.FloatType())),
     ]
 )
 
+CODES = T.StructType(
+    [
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("dim", T.IntegerType()),
+        T.StructField("low", T.FloatType()),
+        T.StructField("step", T.FloatType()),
+        T.StructField("err", T.FloatType()),
+        T.StructField("planes", T.BinaryType()),
+    ]
+)
+
+#: Ids of the chunks of a file in the version that indexed it.
+RANGES = T.StructType(
+    [
+        T.StructField("file_path", T.StringType()),
+        T.StructField("first_id", T.LongType()),
+        T.StructField("last_id", T.LongType()),
+    ]
+)
+
 REMOVED = T.StructType([T.StructField("doc_id", T.LongType())])
 
 COMMITS = T.StructType(

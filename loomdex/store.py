@@ -25,9 +25,10 @@ LAYERS = {
     "postings": schemas.POSTINGS,
     "lengths": schemas.LENGTHS,
     "vectors": schemas.VECTORS,
+    "codes": schemas.CODES,
 }
 #: Tables without chunk ids, appended by each version.
-TABLES = {"terms": schemas.TERMS}
+TABLES = {"terms": schemas.TERMS, "ranges": schemas.RANGES}
 TERM_BUCKETS = 64
 
 
@@ -146,6 +147,15 @@ class Store:
         """All terms of the versions that are read, some of them more than once; terms of hidden chunks may be among them."""
         return self._open("terms", lambda: self._versions("terms", schemas.TERMS))
 
+    def ranges(self) -> DataFrame:
+        """``file_path, first_id, last_id``: where the chunks of each file lie, by its last version (ids only grow)."""
+        last = F.max_by(F.struct("first_id", "last_id"), "last_id").alias("r")
+        return self._versions("ranges", schemas.RANGES).groupBy("file_path").agg(last).select("file_path", "r.*")
+
+    def stored_vectors(self) -> DataFrame:
+        """Vectors of all versions that are read, those of hidden chunks too: texts that come again need no model."""
+        return self._versions("vectors", schemas.VECTORS)
+
     def registry(self) -> DataFrame:
         return self.spark.read.schema(schemas.REGISTRY).parquet(self.path("registry", self.head.version))
 
@@ -173,10 +183,11 @@ class Store:
         version = self.refresh().version + 1
         for name in LAYERS:
             rows = self.layer(name)
-            if name in ("chunks", "vectors"):
+            if name in ("chunks", "vectors", "codes"):
                 rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
             self.write(name, version, rows)
         self.write("terms", version, self.read_version("postings", version, schemas.POSTINGS).select(*schemas.TERMS.fieldNames()).distinct())
+        self.write("ranges", version, self.ranges())
         self.write("registry", version, self.registry())
         self.write("removed", version, self.spark.createDataFrame([], schemas.REMOVED))
         self.commit(version, {}, max_id=self.head.max_id, floor=version)

@@ -55,7 +55,7 @@ def watch(
     )
 
     def each_batch(files: DataFrame, _batch_id: int) -> None:
-        ingest(index.store, files, index.embedder, pdf_reader=index.pdf_reader)
+        ingest(index.store, files, index.embedder, dim=index.dim, bit_width=index.bit_width, pdf_reader=index.pdf_reader)
 
     writer = stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
