@@ -46,6 +46,18 @@ NEVER_WORDS = frozenset(
     " signup login comment comments disqus respond reply replies share sharing social related recommended pagination"
     " pager widget toolbar skip".split()
 )
+#: Words that go with those in names of page furniture and tell nothing of a subject.
+COMPANIONS = frozenset(
+    "area articles bar block bottom box button buttons container content form group icon icons inner item items left link links list"
+    " media news panel posts right section side slot stories top unit wrap wrapper".split()
+)
+#: Words of reader comments, which articles of their own may hold.
+COMMENT_WORDS = frozenset("comment comments disqus respond reply replies".split())
+#: Words of teasers; with ``more`` also those of what is read next.
+TEASER_WORDS = frozenset("teaser teasers card cards".split())
+NEXT_WORDS = frozenset("stories news articles posts reading".split())
+#: Elements that hold one piece of text: names of several words, such as slugs, say nothing against it.
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd blockquote pre figcaption caption".split())
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 #: Pages that the weights are counted over; the content stands between ``[[`` and ``]]``.
@@ -93,29 +105,55 @@ def _is_slug(parts: list[str], page: str, at: int) -> bool:
     return m is not None and re.findall(r"[a-z]+", entities.unescape(re.sub("<[^>]*>", "", m[1])).lower()) == parts
 
 
-def _never(name: str, attributes: str, in_content: bool, page: str, at: int) -> bool:
-    """Whether an element holds no content whatever stands in it; the header of an article is content.
+#: What the names of an element tell: content, never content, or no content unless it holds most of the words.
+FINE, NEVER, DOUBT = range(3)
+
+
+def _tokens(value: str) -> list[tuple[str, list[str]]]:
+    """The names in a class or id, each with its words."""
+    return [(x, [p.lower() for p in _PART.findall(x)]) for x in value.split()]
+
+
+def _names_say(name: str, value: str) -> int:
+    """What the words of a class or id tell."""
+    parts = [p.lower() for p in _PART.findall(value)]
+    if name in ("article", "main"):
+        return NEVER if not COMMENT_WORDS.isdisjoint(parts) else DOUBT if not TEASER_WORDS.isdisjoint(parts) else FINE
+    if name in TEXT_BLOCKS or name in INLINE:  # one word says it, a name made of several may be about the text
+        return FINE if NEVER_WORDS.isdisjoint(x.lower() for x in value.split()) else NEVER
+    if not NEVER_WORDS.isdisjoint(parts):
+        furniture = any(x.lower() in NEVER_WORDS or not NEVER_WORDS.isdisjoint(own) and set(own) <= NEVER_WORDS | COMPANIONS for x, own in _tokens(value))
+        return NEVER if furniture else DOUBT
+    return DOUBT if not TEASER_WORDS.isdisjoint(parts) or ("more" in parts and not NEXT_WORDS.isdisjoint(parts)) else FINE
+
+
+def _never(name: str, attributes: str, in_content: bool, in_text: bool, page: str, at: int) -> int:
+    """Whether an element holds no content; the header of an article is content, and so is a key or label named in a sentence.
 
     Ids of headings, paragraphs and inline elements are made from their words, so only those of containers count.
     """
+    if name in ("button", "label") and in_content and in_text:
+        return FINE
     if name in NEVER_CONTENT or (name == "header" and not in_content):
-        return True
+        return NEVER
     if not attributes:
-        return False
+        return FINE
+    said = FINE
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key == "class" or (key == "id" and name in CONTAINERS):
-            parts = [p.lower() for p in _PART.findall(value)]
-            named = not NEVER_WORDS.isdisjoint(parts) and not (key == "id" and in_content and _is_slug(parts, page, at))
-            if named and name not in ("html", "body", "article", "main"):
-                return True
+            named = FINE if name in ("html", "body") else _names_say(name, value)
+            slug = key == "id" and in_content and named and _is_slug([p.lower() for p in _PART.findall(value)], page, at)
+            if named == NEVER and not slug:
+                return NEVER
+            said = said if slug else max(said, named)
         if key == "role" and value.lower() in NEVER_ROLES:
-            return True
+            return NEVER
         if (key == "aria-hidden" and value.lower() == "true") or (key == "hidden" and value.lower() != "until-found"):
-            return True
+            return NEVER
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-            return True
-    return False
+            return NEVER
+    return said
 
 
 def tokens_of(page: str) -> tuple[list[Token], list[tuple[int, int]]]:
@@ -127,7 +165,9 @@ def tokens_of(page: str) -> tuple[list[Token], list[tuple[int, int]]]:
     open_names: list[str] = []
     links = content = 0
     skip_from: int | None = None  # depth of the element that is skipped
-    has_content = re.search(r"<(?:article|main)[\s>]", page, re.IGNORECASE) is not None
+    has_content = False  # whether any content element was opened, in the markup and not in a comment or script
+    doubted: list[tuple[int, int]] = []  # where elements lie that are no content unless they hold most of the words
+    doubt_from: tuple[int, int] | None = None  # depth and first token of the outermost of them that is open
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.match(page, at)
@@ -138,8 +178,7 @@ def tokens_of(page: str) -> tuple[list[Token], list[tuple[int, int]]]:
             if piece.startswith(("<!", "<?")):
                 continue
             if skip_from is None and piece:
-                place = ("article" if content else "outside" if has_content else "plain") + ("-link" if links else "")
-                out.append(("text", place, piece))
+                out.append(("text", ("article" if content else "free") + ("-link" if links else ""), piece))
             continue
         name = name.lower()
         if m[1]:
@@ -153,6 +192,9 @@ def tokens_of(page: str) -> tuple[list[Token], list[tuple[int, int]]]:
                             bounds.append((begun, len(out)))
                     if last == name:
                         break
+                if doubt_from and len(open_names) <= doubt_from[0]:
+                    doubted.append((doubt_from[1], len(out)))
+                    doubt_from = None
                 if skip_from is not None and len(open_names) <= skip_from:
                     skip_from = None
                     continue
@@ -176,10 +218,13 @@ def tokens_of(page: str) -> tuple[list[Token], list[tuple[int, int]]]:
             if skip_from is None:
                 out.append(("tag", name, name not in INLINE))
             continue
-        if skip_from is None and _never(name, m[3], content > 0, page, at):
+        said = FINE if skip_from is not None else _never(name, m[3], content > 0, not TEXT_BLOCKS.isdisjoint(open_names), page, at)
+        if said == NEVER:
             skip_from = len(open_names)
             out.append(("skip", "never", True))
         elif skip_from is None:
+            if said == DOUBT and not doubt_from and not m[3].endswith("/"):
+                doubt_from = (len(open_names), len(out))
             out.append(("tag", name, name not in INLINE))
         if not m[3].endswith("/"):
             open_names.append(name)
@@ -187,11 +232,37 @@ def tokens_of(page: str) -> tuple[list[Token], list[tuple[int, int]]]:
             if name in CONTENT:
                 begun = begun if content else len(out)
                 content += 1
+                has_content = has_content or skip_from is None
         elif skip_from == len(open_names):
             skip_from = None
     if content:
         bounds.append((begun, len(out)))
-    return out, bounds
+    if doubt_from:
+        doubted.append((doubt_from[1], len(out)))
+    rest = "outside" if has_content else "plain"
+    out = [(k, place.replace("free", rest), v) if k == "text" else (k, place, v) for k, place, v in out]
+    return _without_doubted(out, bounds, doubted)
+
+
+def _without_doubted(out: list[Token], bounds: list[tuple[int, int]], doubted: list[tuple[int, int]]) -> tuple[list[Token], list[tuple[int, int]]]:
+    """Doubted elements as one ``skip`` token each, but for one that holds more than half of the words of the content (or of a page without it)."""
+    if not doubted:
+        return out, bounds
+    words = [len(t[2].split()) if t[0] == "text" and not t[1].startswith("outside") else 0 for t in out]
+    half = sum(words) / 2
+    gone = [(a, b) for a, b in doubted if sum(words[a:b]) <= half]
+    kept, place, at = [], [0] * (len(out) + 1), 0
+    for a, b in [*gone, (len(out), len(out))]:
+        for i in range(at, a):
+            place[i] = len(kept)
+            kept.append(out[i])
+        place[a : b + 1] = [len(kept)] * (b + 1 - a)
+        if a < b:
+            kept.append(("skip", "never", True))
+            place[b] = len(kept)
+        at = b
+    place[len(out)] = len(kept)
+    return kept, [(place[a], place[b]) for a, b in bounds]
 
 
 def _class_of(token: Token) -> str:

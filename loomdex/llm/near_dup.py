@@ -356,7 +356,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str, text: str, size: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, text_key, n_shingles, component_id, kept`` of every row; ``text_key`` is null for a null text."""
+    """``doc_id, text_key, n_shingles, component_id, kept, component`` of every row.
+
+    ``text_key`` is null for a null text; ``component`` numbers the components of this run, also those without any id.
+    """
     if percent < 80:
         raise ValueError("trees and estimate are laid out for similarities from 80 percent on")
     with batch_rows(docs.sparkSession, BATCH_ROWS):  # all Python work ends in written tables before this returns
@@ -366,13 +369,13 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str, size: int = 5, perc
 def _near_duplicates(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
     signed = materialize(signatures(docs, doc_id, text, size), "signatures")
     named = signed.where("n > 0").groupBy("digest").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig")
+        F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("sig").alias("sig")
     )
     reps = materialize(named.withColumn("rid", F.monotonically_increasing_id()), "representatives")
     stars = candidates(leaves(reps), reps)
     groups = components(stars).withColumnsRenamed({"id": "rid", "label": "group"})
     sizes = groups.groupBy("group").agg(F.count("*").alias("rows"))
-    members = groups.join(sizes, "group").join(reps, "rid").select("rid", "group", "rows", "doc_id", "digest", short_signature("sig").alias("sig8"))
+    members = groups.join(sizes, "group").join(reps, "rid").select("rid", "group", "rows", "doc_id", "text_key", "digest", short_signature("sig").alias("sig8"))
     members = materialize(members, "members")
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,31 +395,46 @@ def _near_duplicates(docs: DataFrame, doc_id: str, text: str, size: int, percent
     # sets are made after the join: texts move, sets of documents without candidates are never made
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     # the small side is hashed, so that texts are not sorted
-    wanted = members.hint("shuffle_hash").join(texts, "doc_id").mapInArrow(with_sets, "rid long, group long, rows long, sig8 binary, hashes binary")
-    wanted = wanted.dropDuplicates(["rid"])
+    columns = ["rid", "group", "rows", "sig8", "digest", "text"]
+    named = members.where("doc_id IS NOT NULL").hint("shuffle_hash").join(texts.where("doc_id IS NOT NULL"), "doc_id").select(columns)
+    # sets that only rows without an id have: their texts are told by their digests, one row of each
+    nameless = texts.where("doc_id IS NULL").groupBy(F.md5("text").alias("text_key")).agg(F.first("text").alias("text"))
+    nameless = members.where("doc_id IS NULL").join(nameless, "text_key").select(columns)
+    made = "rid long, group long, rows long, sig8 binary, hashes binary"
+    wanted = named.mapInArrow(with_sets, made).unionByName(nameless.mapInArrow(with_sets, made)).dropDuplicates(["rid"])
     linked = components(confirm(with_cells(wanted, "group", "rows"), percent)).withColumnRenamed("id", "rid")
     of_rep = reps.select("rid", "digest", F.col("doc_id").alias("_first")).join(linked, "rid", "left")
     of_rep = of_rep.withColumn("label", F.coalesce("label", "rid"))
     smallest = of_rep.groupBy("label").agg(F.min("_first").alias("component_id"))
-    of_rep = materialize(of_rep.join(smallest, "label").select("digest", "component_id"), "components")
+    of_rep = of_rep.join(smallest, "label").select("digest", "component_id", F.col("label").alias("component"))
+    of_rep = materialize(of_rep, "components")
     # documents without words are their own components
     full = signed.where("n > 0").select("doc_id", "text_key", "digest", "n").join(of_rep, "digest").drop("digest")
-    none = signed.where("n = 0").select("doc_id", "text_key", "n", F.col("doc_id").alias("component_id"))
+    alone = F.lit(None).cast("long").alias("component")
+    none = signed.where("n = 0").select("doc_id", "text_key", "n", F.col("doc_id").alias("component_id"), alone)
     return full.unionByName(none).select(
-        "doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+        "doc_id",
+        "text_key",
+        F.col("n").alias("n_shingles"),
+        "component_id",
+        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+        "component",
     )
 
 
 def drop_duplicates(docs: DataFrame, doc_id: str, text: str, size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of every component: that with the smallest id; rows without words all stay.
 
-    Of rows that repeat both id and text one stays. In a component whose ids are all null one row of each text stays.
+    Of rows that repeat both id and text one stays. In a component whose ids are all null one row of one text stays.
     """
     found = materialize(near_duplicates(docs, doc_id, text, size, percent), "near-duplicates")
-    stay = found.where("kept").groupBy("doc_id", "text_key").agg((F.min("n_shingles") > 0).alias("_full"), F.count("*").alias("_rows"))
+    nameless = (F.col("doc_id").isNull()) & (F.col("n_shingles") > 0)
+    chosen = found.where("kept").where(nameless).groupBy("component").agg(F.min("text_key").alias("_text"))
+    chosen = chosen.select(F.lit(None).cast(found.schema["doc_id"].dataType).alias("_id"), "_text", F.lit(True).alias("_once"))
+    stay = found.where("kept").where(~nameless).groupBy("doc_id", "text_key").agg((F.min("n_shingles") > 0).alias("_full"), F.count("*").alias("_rows"))
     key = fresh_name(docs, "_key")
     stay = stay.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), (F.col("_full") & (F.col("_rows") > 1)).alias("_once"))
-    stay = materialize(stay, "stay")
+    stay = materialize(stay.unionByName(chosen), "stay")
     keyed = docs.withColumn(key, F.md5(text))
     same = [keyed[doc_id].eqNullSafe(stay["_id"]), keyed[key].eqNullSafe(stay["_text"])]
     kept = keyed.join(stay.where("NOT _once"), same, "left_semi")

@@ -20,6 +20,7 @@ own; repeated rows are packed each; an empty table gives no pieces.
 from __future__ import annotations
 
 import bisect
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,12 +46,6 @@ PART_BYTES = 4 << 20
 ODD = "[\x1c-\x1f]"
 #: Letters, then ASCII signs that the file's split pattern never joins with letters (the apostrophe it may).
 PARTS = r"^(?P<core>\pL+)(?P<signs>[!-&(-/:-@\[-^`{-~]*)$"
-#: Bytes of the texts whose words are looked up together.
-PART_BYTES = 4 << 20
-#: Signs at which Arrow splits words though the file does not take them for white space.
-ODD = "[\x1c-\x1f]"
-#: ASCII signs that the file's split pattern never joins with letters (the apostrophe it may).
-SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
 
 PIECES = T.StructType(
     [
@@ -77,14 +72,18 @@ class WordEncoder:
     are looked up in parts, as the file's split pattern takes them apart; the normaliser ignores the case of ASCII letters.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain_specials: bool = False):
+        """``plain_specials``: strings of special tokens in a text are ordinary text; else they get the ids of their tokens."""
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        self.tokenizer.encode_special_tokens = plain_specials
+        # texts with signs that are split otherwise, or with a string that the file takes out whole, go through the library as they are
+        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.whole = "|".join([ODD, *(re.escape(t) for t in added)])
         self.known: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a pre-token
@@ -119,9 +118,15 @@ class WordEncoder:
     def encode(self, texts: pa.Array, end_id: int) -> pa.Array:
         """Ids of every text and ``end_id``; the words of all texts are split, numbered and looked up together."""
         texts = pc.fill_null(texts, "")
-        if pc.any(pc.match_substring_regex(texts, ODD)).as_py():
-            end = np.array([end_id], "<u4").tobytes()
-            return pa.array([ids + end for ids in self._encode(texts.to_pylist())], pa.binary())
+        whole = pc.match_substring_regex(texts, self.whole, ignore_case=True)
+        if not pc.any(whole).as_py():
+            return self._encode_words(texts, end_id)
+        end = np.array([end_id], "<u4").tobytes()
+        by_call = iter(self._encode(texts.filter(whole).to_pylist()))
+        by_word = iter(self._encode_words(texts.filter(pc.invert(whole)), end_id).to_pylist())
+        return pa.array([next(by_call) + end if w else next(by_word) for w in whole.to_pylist()], pa.binary())
+
+    def _encode_words(self, texts: pa.Array, end_id: int) -> pa.Array:
         split = pc.utf8_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary
@@ -227,14 +232,15 @@ def pack(
     tiers: tuple[int, ...] = TIERS,
     block_tokens: int = BLOCK_TOKENS,
     step_windows: int = STEP_WINDOWS,
+    plain_specials: bool = False,
 ) -> DataFrame:
     """One row per piece: where it lies in its document and in its window, with its ids, tier and step.
 
-    Ids go from the tokenizer to the windows inside one task.
+    Ids go from the tokenizer to the windows inside one task. With ``plain_specials`` a text cannot hold the ids of special tokens.
     """
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = WordEncoder(tokenizer_path, plain_specials)
         for batch in batches:
             names, at = batch.column(0).to_pylist(), 0
             for part in parts(batch.column(1), PART_BYTES):

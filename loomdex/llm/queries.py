@@ -114,7 +114,7 @@ SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM r"""
 )
 def op4_chosen_path_near_dup(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents")
-    return near_dup.near_duplicates(docs, "doc_id", "text", size=2, percent=80).drop("text_key")
+    return near_dup.near_duplicates(docs, "doc_id", "text", size=2, percent=80).drop("text_key", "component")
 
 
 @query()

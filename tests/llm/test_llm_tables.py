@@ -134,6 +134,23 @@ def test_drop_duplicates_cases(spark):
     assert near_dup.drop_duplicates(docs.where("false"), "doc_id", "text").count() == 0
 
 
+def test_texts_without_ids_are_linked(spark):
+    """Near copies without ids count as others do, among themselves and with rows that have an id."""
+    words = [f"w{i}" for i in range(120)]
+    near = [" ".join(words + [f"t{k}"]) for k in range(4)]
+    other = [" ".join([f"o{i}" for i in range(90)] + [f"t{k}"]) for k in range(3)]
+    rows = [(None, near[0], "a"), (None, near[1], "b"), (3, near[2], "c"), (None, near[0], "d")]
+    rows += [(None, t, f"n{k}") for k, t in enumerate(other)] + [(None, other[0], "n9"), (None, None, "x"), (None, "", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component string")
+    found = near_dup.near_duplicates(docs, "doc_id", "text").collect()
+    of_near = [r for r in found if r.component_id is not None]
+    assert len(of_near) == 4 and {r.component_id for r in of_near} == {3} and sum(r.kept for r in of_near) == 1
+    of_other = [r for r in found if r.component_id is None and r.n_shingles]
+    assert len(of_other) == 4 and len({r["component"] for r in of_other}) == 1
+    stay = [r["component"] for r in near_dup.drop_duplicates(docs, "doc_id", "text").collect()]
+    assert sorted(x for x in stay if x[0] != "n") == ["c", "x", "y"] and sum(x[0] == "n" for x in stay) == 1
+
+
 def test_component_contraction(spark):
     rng = random.Random(4)
     chain = [(i, i + 1) for i in range(60)]

@@ -50,6 +50,29 @@ def test_main_text(page, want):
     assert html.main_text(page, WEIGHTS) == want
 
 
+BODY = "<p>The first long paragraph of the article stands here.</p><p>And the second one follows it.</p>"
+BODY_TEXT = "The first long paragraph of the article stands here. And the second one follows it."
+MISLEADING = [
+    (f"<!-- <article> --><body>{BODY}</body>", BODY_TEXT),
+    (f"<script>var t = '<main >';</script><body>{BODY}</body>", BODY_TEXT),
+    (f"<nav><article>menu</article></nav><body>{BODY}</body>", BODY_TEXT),
+    (f'<article><p class="skip-intro lead">Lead.</p><h2 class="related-work">Related work</h2>{BODY}</article>', f"Lead. Related work {BODY_TEXT}"),
+    (f'<article><div id="signup-flow">{BODY}</div></article>', BODY_TEXT),
+    (f'<article>{BODY}<div class="signup-flow">Join us today</div></article>', BODY_TEXT),
+    (f'<article>{BODY}<p>Press the <button>Start</button> key and the <label>Name</label> field.</p></article>', f"{BODY_TEXT} Press the Start key and the Name field."),
+    (f'<article>{BODY}</article><article class="comment"><p>Nice words, thank you.</p></article>', BODY_TEXT),
+    (f'<main>{BODY}<article class="card"><h3>Other story</h3></article><div class="more-stories"><p>One more</p></div></main>', BODY_TEXT),
+    (f'<article class="card">{BODY}</article>', BODY_TEXT),
+    (f'<article>{BODY}<div class="share-buttons">Share it</div><div class="comment-list">First!</div></article>', BODY_TEXT),
+    (f'<article><div class="teaser">unclosed {BODY}', f"unclosed {BODY_TEXT}"),
+]
+
+
+@pytest.mark.parametrize("page,want", MISLEADING)
+def test_misleading_pages(page, want):
+    assert html.main_text(page, WEIGHTS) == want
+
+
 LINKS = "".join(f"<li><a href=/{i}>reference number {i}</a></li>" for i in range(40))
 LINKED = " ".join(f"reference number {i}" for i in range(40))
 LINKED_PAGES = [
@@ -265,3 +288,20 @@ def test_pack_table(spark):
             at += r.length
         assert at <= 2048
     assert packing.pack(rows.where("false"), "doc_id", "text", WORDS, 1).count() == 0
+
+
+SPECIAL = ["a <|endoftext|> b", "<|startoftext|>", "x<|endoftext|>y z", "<|EndOfText|> up", "plain words", None, "", "a\x1cb <|endoftext|>", "<|endoftext|><|endoftext|>"]
+
+
+def test_special_tokens_as_the_library_has_them():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORDS)
+    got = packing.WordEncoder(WORDS).encode(pa.array(SPECIAL, pa.string()), 1)
+    for text, ids in zip(SPECIAL, got.to_pylist()):
+        assert np.frombuffer(ids, "<u4").tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 1]
+    assert np.frombuffer(got[0].as_py(), "<u4").tolist() == [320, 49407, 321, 1]
+    library.encode_special_tokens = True
+    plain = packing.WordEncoder(WORDS, plain_specials=True).encode(pa.array(SPECIAL, pa.string()), 1)
+    for text, ids in zip(SPECIAL, plain.to_pylist()):
+        assert np.frombuffer(ids, "<u4").tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 1]
