@@ -15,6 +15,7 @@ from loomdex.functions.querytext import parse_query, plain_terms
 from loomdex.operators import docstore
 from loomdex.operators import registry as reg
 from loomdex.operators.bm25 import candidate_budget, rank_postings
+from loomdex.operators.blockmax import rank_blocks
 from loomdex.operators.filters import metadata_filter
 from loomdex.operators.lookup import rank_clause_postings
 from loomdex.operators.vector import rank_allowed
@@ -158,6 +159,9 @@ class SearchIndex:
         if filters and filter_mode == "pre":
             wanted = self.chunks().where(metadata_filter(filters)).select("doc_id")
             ranked = rank_postings(post, row[0], row[1] or 1.0, terms, limit, mode=mode, allowed=wanted)
+        elif (blocks := self.store.blocks()) is not None and buckets:
+            bounds = blocks.where((F.col("field") == field) & F.col("bucket").isin(buckets))
+            ranked = rank_blocks(post, bounds, row[0], row[1] or 1.0, terms, limit, mode=mode)
         else:
             ranked = rank_postings(post, row[0], row[1] or 1.0, terms, limit, mode=mode)
         return self._keep(ranked, filters) if filters and filter_mode == "post" else ranked

@@ -15,7 +15,8 @@ from loomdex.functions.querytext import parse_query
 from loomdex.functions.identity import name_date, name_department
 from loomdex.functions.text import query_terms, tokenize
 from loomdex.functions.vectors import dequantize, l2_normalize, quantize
-from loomdex.operators import bm25
+from loomdex.operators import bm25, words
+from loomdex.operators.blockmax import block_table, rank_blocks
 from loomdex.operators.chunking import chunk_table
 from loomdex.operators.lookup import rank_clause_postings
 from loomdex.operators.vector import rank_all, rank_allowed
@@ -341,6 +342,24 @@ def bm25_topk_postings(spark, sf):
     return bm25.rank_postings(bm25.postings(docs), stats["n"], stats["avg_dl"], QUERY_TERMS, 100)
 
 
+def _blocked(spark, sf):
+    rows = documents(spark, sf, "doc_id", "text").select("doc_id", F.lit("").alias("title"), F.col("text").alias("content"))
+    post, _, _, n, avg = _stored_index(spark, sf, rows)
+    post = post.where("field = 'content'")
+    return post, materialize(block_table(post), "blocks"), n, avg
+
+
+@query(f"WITH {bm25_sql('documents', QUERY_TERMS, 100)} SELECT doc_id, bm25 FROM bm")
+def bm25_topk_blockmax(spark, sf):
+    """The same top rows by the bounds of blocks; postings that cannot reach them are not grouped."""
+    return rank_blocks(*_blocked(spark, sf), QUERY_TERMS, 100)
+
+
+@query(f"WITH {bm25_sql('documents', QUERY_TERMS, 100, 'or')} SELECT doc_id, bm25 FROM bm")
+def bm25_topk_blockmax_or(spark, sf):
+    return rank_blocks(*_blocked(spark, sf), QUERY_TERMS, 100, mode="or")
+
+
 @query(f"SELECT doc_id, term, count(*) AS tf FROM ({_TOKENS}) GROUP BY ALL")
 def bm25_postings(spark, sf):
     return _postings(spark, sf).select("doc_id", "term", "tf")
@@ -394,6 +413,42 @@ def tokenize_han(spark, sf):
     return found.where(F.rlike("term", F.lit(f"^[{_HAN}]+$")))
 
 
+#: A dictionary counted from the texts: characters, pairs and triples inside runs that occur so often.
+_LEAST_WORDS = 20
+
+
+@query(
+    f"""WITH RECURSIVE h AS (SELECT doc_id, translate(text, '{_LETTERS}', '{_HAN}') AS t FROM documents),
+r AS (SELECT doc_id, unnest(regexp_extract_all(t, '[{_HAN}]+')) AS run FROM h),
+g AS (SELECT substr(run, i, k) AS word FROM r, unnest(range(1, length(run) + 1)) AS u(i), unnest([1, 2, 3]) AS v(k) WHERE i + k - 1 <= length(run)),
+c AS (SELECT word, count(*) AS n FROM g GROUP BY word HAVING count(*) >= {_LEAST_WORDS}),
+d AS (SELECT word, CAST(round(-ln(n / (SELECT CAST(sum(n) AS DOUBLE) FROM c)) * 1000000) AS BIGINT) AS cost FROM c),
+runs AS (SELECT DISTINCT run FROM r),
+piece AS (SELECT run, j, k, CASE WHEN cost IS NULL AND k = 1 THEN 30000000 ELSE cost END AS cost
+  FROM (SELECT run, j, k, substr(run, j - k + 1, k) AS word FROM runs, unnest(range(1, length(run) + 1)) AS u(j), unnest([1, 2, 3]) AS v(k) WHERE k <= j)
+  LEFT JOIN d USING (word)),
+ends AS (SELECT run, j, list({{'k': k, 'cost': cost}}) AS own FROM piece WHERE cost IS NOT NULL GROUP BY run, j),
+path AS (
+  SELECT run, 0 AS j, [CAST(0 AS BIGINT)] AS sums, CAST([] AS VARCHAR[]) AS best FROM runs
+  UNION ALL
+  SELECT run, j + 1, list_append(sums, b.s), list_append(best, CASE WHEN j + 1 - b.k = 0 THEN '' ELSE best[j + 1 - b.k] || ' ' END || substr(run, j + 2 - b.k, b.k))
+  FROM (SELECT path.run, path.j, sums, best, list_sort(list_transform(own, lambda x: {{'s': sums[path.j + 2 - x.k] + x.cost, 'm': -x.k, 'k': x.k}}))[1] AS b
+    FROM path JOIN ends ON ends.run = path.run AND ends.j = path.j + 1)),
+w AS (SELECT run, unnest(string_split(best[length(run)], ' ')) AS word FROM path WHERE j = length(run))
+SELECT doc_id, word, count(*) AS tf FROM r JOIN w USING (run) GROUP BY ALL"""
+)
+def tokenize_han_words(spark, sf):
+    """Words of Han texts by the most probable path through a dictionary that is counted from the same texts."""
+    texts = documents(spark, sf, "doc_id", "text").select("doc_id", F.translate("text", _LETTERS, _HAN).alias("text"))
+    texts = materialize(texts, "texts")
+    runs = texts.select(F.explode(F.regexp_extract_all("text", F.lit(words.HAN_RUN), F.lit(0))).alias("run")).groupBy("run").count()
+    sizes = F.explode(F.sequence(F.lit(1), F.least(F.length("run"), F.lit(3)))).alias("size")
+    starts = runs.select("run", "count", sizes).select("run", "count", "size", F.explode(F.sequence(F.lit(1), F.length("run") - F.col("size") + 1)).alias("i"))
+    counts = starts.groupBy(F.expr("substring(run, i, size)").alias("word")).agg(F.sum("count").alias("n")).where(f"n >= {_LEAST_WORDS}")
+    found = words.han_words(texts, words.word_costs(counts), longest=3)
+    return found.select("doc_id", "word", "tf")
+
+
 _HAN_QUERY = "的一"
 
 

@@ -82,6 +82,18 @@ CODES = T.StructType(
     ]
 )
 
+#: Largest weights by term and block of ids, of a compacted version.
+BLOCKS = T.StructType(
+    [
+        T.StructField("field", T.StringType()),
+        T.StructField("term", T.StringType()),
+        T.StructField("bucket", T.IntegerType()),
+        T.StructField("block", T.LongType()),
+        T.StructField("docs", T.LongType()),
+        T.StructField("tops", T.ArrayType(T.StructType([T.StructField("tf", T.LongType()), T.StructField("dl", T.LongType())]))),
+    ]
+)
+
 #: Ids of the chunks of a file in the version that indexed it.
 RANGES = T.StructType(
     [

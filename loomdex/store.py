@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomdex import schemas
+from loomdex.operators.blockmax import block_table
 
 LAYERS = {
     "chunks": schemas.CHUNKS,
@@ -28,7 +29,7 @@ LAYERS = {
     "codes": schemas.CODES,
 }
 #: Tables without chunk ids, appended by each version.
-TABLES = {"terms": schemas.TERMS, "ranges": schemas.RANGES}
+TABLES = {"terms": schemas.TERMS, "ranges": schemas.RANGES, "blocks": schemas.BLOCKS}
 TERM_BUCKETS = 64
 
 
@@ -152,6 +153,12 @@ class Store:
         last = F.max_by(F.struct("first_id", "last_id"), "last_id").alias("r")
         return self._versions("ranges", schemas.RANGES).groupBy("file_path").agg(last).select("file_path", "r.*")
 
+    def blocks(self) -> DataFrame | None:
+        """Bounds of the postings' blocks, if they cover all postings: after :meth:`compact`, until the next commit."""
+        if self.head.version != self.head.floor or not self.head.version:
+            return None
+        return self._open("blocks", lambda: self.read_version("blocks", self.head.version, schemas.BLOCKS))
+
     def stored_vectors(self) -> DataFrame:
         """Vectors of all versions that are read, those of hidden chunks too: texts that come again need no model."""
         return self._versions("vectors", schemas.VECTORS)
@@ -160,9 +167,10 @@ class Store:
         return self.spark.read.schema(schemas.REGISTRY).parquet(self.path("registry", self.head.version))
 
     def write(self, table: str, version: int, df: DataFrame) -> None:
-        if table == "postings":
+        if table in ("postings", "blocks"):
             # hot terms are split over several tasks by the rebalance, each file stays sorted by term
-            out = df.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id")
+            place = "doc_id" if table == "postings" else "block"
+            out = df.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", place)
             writer = out.write.option("parquet.bloom.filter.enabled#term", "true").partitionBy("bucket")
         elif table == "terms":
             # sorted by range, so that the terms with one beginning lie in few row groups
@@ -187,6 +195,7 @@ class Store:
                 rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
             self.write(name, version, rows)
         self.write("terms", version, self.read_version("postings", version, schemas.POSTINGS).select(*schemas.TERMS.fieldNames()).distinct())
+        self.write("blocks", version, block_table(self.read_version("postings", version, schemas.POSTINGS)))
         self.write("ranges", version, self.ranges())
         self.write("registry", version, self.registry())
         self.write("removed", version, self.spark.createDataFrame([], schemas.REMOVED))
