@@ -315,6 +315,10 @@ class SearchIndex:
     def errors(self) -> DataFrame:
         return reg.errors(self.registry())
 
+    def clear(self) -> None:
+        """Forget all chunks and files."""
+        self.store.clear()
+
     def removed_count(self) -> int:
         """Hidden chunks that :meth:`compact` would drop."""
         return self.store.removed().distinct().count()

@@ -182,6 +182,14 @@ class Store:
     def read_version(self, table: str, version: int, schema: T.StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(self.path(table, version))
 
+    def clear(self) -> int:
+        """Start anew with empty tables; ids go on from the last one given out."""
+        version = self.refresh().version + 1
+        for name, schema in {**LAYERS, **TABLES, "registry": schemas.REGISTRY, "removed": schemas.REMOVED}.items():
+            self.write(name, version, self.spark.createDataFrame([], schema))
+        self.commit(version, {}, max_id=self.head.max_id, floor=version)
+        return version
+
     def compact(self, keep_versions: int = 1) -> int:
         """Rewrite the live rows of every layer, sorted by id, as the new floor version.
 

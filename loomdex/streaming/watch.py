@@ -1,12 +1,12 @@
-"""Continuous ingest of new files with Structured Streaming.
+"""Continuous ingest with Structured Streaming.
 
-The file stream sees new files only; modified files under the same name and
-deletions are picked up by the batch sync.
+:func:`watch` streams files: it sees new ones only. :func:`follow` streams sync passes: edits and deletions arrive too, told by the
+registry, which is the state of the stream and survives restarts with the index.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +27,26 @@ BINARY_FILE = T.StructType(
 )
 
 
+def extension_glob(extensions: Sequence[str]) -> str:
+    """A file name pattern of the extensions in any case; all names without extensions."""
+    folded = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions]
+    return "*{" + ",".join(folded) + "}" if folded else "*"
+
+
+def follow(index: SearchIndex, config: Mapping, checkpoint: str, *, interval: str = "1 minute") -> StreamingQuery:
+    """Sync the configured folders every ``interval``; a pass that is replayed after a failure changes nothing.
+
+    Triggers come from a rate source, so a slow pass delays the next one and passes never overlap.
+    """
+    ticks = index.spark.readStream.format("rate").option("rowsPerSecond", 1).option("numPartitions", 1).load()
+
+    def each_batch(_ticks: DataFrame, _batch_id: int) -> None:
+        index.sync_from_config(config)
+
+    writer = ticks.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
+    return writer.trigger(processingTime=interval).start()
+
+
 def watch(
     index: SearchIndex,
     directory: str,
@@ -44,6 +64,7 @@ def watch(
         index.spark.readStream.format("binaryFile")
         .schema(BINARY_FILE)
         .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", extension_glob(extensions))  # unwanted files are not opened
         .load(directory)
         .select(
             F.regexp_replace("path", "^file:/+", "/").alias("file_path"),

@@ -229,6 +229,41 @@ def test_stream_ingests_new_files_once(spark, tmp_path):
     assert index.registry_stats()["indexed_count"] == 2 and index.verify_consistency()
 
 
+def test_stream_of_syncs_sees_edits_and_deletions(spark, tmp_path):
+    import time
+
+    from loomdex.streaming.watch import extension_glob, follow
+
+    assert extension_glob([".md", ".c1"]) == "*{.[mM][dD],.[cC]1}" and extension_glob([]) == "*"
+    docs = str(tmp_path / "docs")
+    index = SearchIndex(spark, str(tmp_path / "i"), HashEmbedder(8))
+    a = write(docs, "a.md", "# One\n\nA first document with enough words.")
+    b = write(docs, "b.md", "# Two\n\nA second document with enough words.")
+    query = follow(index, {"watch_dirs": [docs], "supported_extensions": [".md"]}, str(tmp_path / "ckpt"), interval="1 second")
+
+    def until(want):
+        for _ in range(240):
+            rows = SearchIndex(spark, str(tmp_path / "i"), HashEmbedder(8)).chunks().where("chunk_type = 'L2'").collect()
+            if {r.content for r in rows} == want or query.exception():
+                break
+            time.sleep(0.5)
+        assert query.exception() is None and {r.content for r in rows} == want
+
+    try:
+        until({"A first document with enough words.", "A second document with enough words."})
+        write(docs, "a.md", "# One\n\nAn edited document with enough words.")
+        os.remove(b)
+        write(docs, "c.md", "# Three\n\nA third document with enough words.")
+        until({"An edited document with enough words.", "A third document with enough words."})
+    finally:
+        query.stop()
+    assert {r.file_path for r in index.list_files().collect()} == {a, os.path.join(docs, "c.md")}
+    before = index.store.refresh().max_id
+    index.clear()
+    assert len(index) == 0 and index.list_files().count() == 0 and index.find("document").count() == 0
+    assert index.add_document(a) == before + 1
+
+
 class Flaky:
     """A model service that fails for some texts until it is mended; all calls are counted in a file."""
 
