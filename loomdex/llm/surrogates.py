@@ -7,10 +7,14 @@ from keyed hashes only:
 * mail: letters and digits change in place, the top domain and reserved domains stay, one domain keeps one surrogate;
 * phone, social security and card numbers: digits change in place; country codes, the fictional exchange 555 and the
   issuer digit stay; a card number with a valid check digit gets a valid one;
-* addresses of the Internet Protocol: valid octets; private networks stay private;
-* account numbers: the country stays, digits and letters change in place;
+* addresses of the Internet Protocol: valid octets; private networks stay private; of version 6, digits change in place behind a
+  reserved or local prefix;
+* account numbers: the country stays, digits and letters change in place; valid check digits stay valid;
 * secrets: known prefixes stay, hexadecimal stays hexadecimal;
-* names after a title: a given name of the title's gender and a family name, in the script of the original.
+* names after a title: given and family names each keep one surrogate, whatever the title, in the script of the original. A
+  given name's surrogate has the gender that its titles in the whole table tell, the commoner one if they differ. In the texts
+  in which a name was found, its repeats without title are replaced too: given and family name together anywhere, either alone
+  within a sentence (at its start a capital tells nothing).
 
 All distinct entities of the table are checked together: a surrogate that is itself an entity of the table, or that two
 entities share, is drawn again with the next attempt for all but one of them, until there is none. Then surrogates
@@ -48,12 +52,14 @@ KINDS = {
     rf"|sk-[A-Za-z0-9_-]{{20,}}|(?=[0-9]*[A-Fa-f])[A-Fa-f0-9]{{32,}}{_WORD_AFTER}",
     "EMAIL": r"(?<![._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
     "IP": rf"(?=\d)(?<!\d\.)(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}]|\.\d)",
+    "IP6": r"(?=[0-9A-Fa-f:]{4})(?<![:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
     "PHONE": r"(?=[+(\d])(?:(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)"
-    r"|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![.-])\d{3}[.-]\d{3}[.-]\d{4}(?!\d))",
+    r"|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![.-])\d{3}[.-]\d{3}[.-]\d{4}(?!\d)"
+    r"|(?<![.,/-])0[1-9]\d{1,3}[ /-]\d{3,4}[ -]?\d{3,4}(?!\d|[.,/-]\d))",
     "SSN": r"(?=\d)(?<!-)\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
     "CARD": r"(?=\d)(?:\d{4}(?:[ -]\d{4}){3}|\d{13,19})(?![\p{L}\p{N}])",
     "IBAN": rf"(?=[A-Z])[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?{_WORD_AFTER}",
-    "NAME": rf"(?=[MSHDFPг]){_TITLE}\p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+){{0,2}}",
+    "NAME": rf"(?=[MSHDFPг]){_TITLE}\p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}(?:[\p{{L}}'’-]+|\.?(?= \p{{Lu}}\p{{L}}))){{0,2}}",
 }
 PATTERN = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
 #: What every finding holds: cheap to look for, and few texts have it.
@@ -117,13 +123,12 @@ def _script(text: Column) -> Column:
 def canonical(surface: Column, kind: Column) -> Column:
     """What all spellings of an entity share."""
     digits = _digits(surface)
-    bare = F.regexp_replace(surface, f"^{_TITLE}", "")
     return (
         F.when(kind == "EMAIL", F.lower(surface))
         .when(kind == "PHONE", F.when(digits.rlike("^1[0-9]{10}$"), F.substring(digits, 2, 10)).otherwise(digits))
         .when(kind.isin("SSN", "CARD"), digits)
         .when(kind == "IBAN", F.regexp_replace(surface, " ", ""))
-        .when(kind == "NAME", F.concat_ws("|", _gender(surface), _script(bare), F.lower(bare)))
+        .when(kind == "IP6", F.lower(surface))
         .when(kind == "SECRET", F.regexp_replace(surface, f"^{_SECRET_NAME}", ""))
         .otherwise(surface)
     )
@@ -178,6 +183,7 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
 
     fictional = canon.rlike("^[0-9]{3}555[0-9]{4}$")
     first = F.substring(F.lit("23456789"), _number(seed, 900) % 8 + 1, F.lit(1))
+    first = F.when(canon.startswith("0"), "0").otherwise(first)  # the digit before an area code
     phone = F.concat(first, F.when(fictional, F.concat(F.substring(changed, 2, 2), F.lit("555"), F.substring(changed, 7, 4))).otherwise(F.expr("NULL")))
     phone = F.coalesce(phone, F.concat(first, F.substring(changed, F.lit(2), F.length(canon) - 1)))
 
@@ -207,7 +213,14 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
         .otherwise(_in_place(rest, seed)),
     )
 
-    iban = F.concat(F.substring(canon, 1, 2), F.substring(changed, F.lit(3), F.length(canon)))
+    reserved = F.regexp_extract(canon, "^(?:2001:db8:|fe80:|f[cd][0-9a-f]{2}:)", 0)
+    ip6 = F.concat(reserved, _in_place(F.substring(canon, F.length(reserved) + 1, F.length(canon)), seed, hexadecimal))
+
+    account = F.substring(changed, F.lit(5), F.length(canon))
+    country = F.substring(canon, 1, 2)
+    valid = F.lpad((98 - _modulo_97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
+    own_check = _modulo_97(F.concat(F.substring(canon, F.lit(5), F.length(canon)), F.substring(canon, 1, 4)))
+    iban = F.concat(country, F.when(own_check == 1, valid).otherwise(F.substring(changed, 3, 2)), account)
     return (
         F.when(kind == "EMAIL", mail)
         .when(kind == "PHONE", phone)
@@ -215,7 +228,9 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
         .when(kind == "CARD", card)
         .when(kind == "IP", ip)
         .when(kind == "IBAN", iban)
-        .when(kind == "NAME", _name(canon, seed, attempt))
+        .when(kind == "IP6", ip6)
+        .when(kind == "GIVEN", _given(canon, seed, attempt))
+        .when(kind == "FAMILY", _family(canon, seed, attempt))
         .otherwise(secret)
     )
 
@@ -226,19 +241,39 @@ def _number_public(number: Column) -> Column:
     return F.when(octet.isin(10, 127, 172, 192, 169), octet + 1).otherwise(octet).cast("string")
 
 
-def _name(canon: Column, seed: Column, attempt: Column) -> Column:
-    """``gender|script|name`` of the same gender and script, with a family name of two syllables and more with each attempt."""
+def _modulo_97(text: Column) -> Column:
+    """Remainder of an account number whose letters count from ten on."""
+    return F.aggregate(
+        F.split(text, ""),
+        F.lit(0),
+        lambda rest, c: F.when(c.rlike("^[0-9]$"), (rest * 10 + F.try_to_number(c, F.lit("9")).cast("int")) % 97)
+        .when(c.rlike("^[A-Z]$"), (rest * 100 + F.ascii(c) - 55) % 97)
+        .otherwise(rest),
+    )
+
+
+def _syllables(script: Column, seed: Column, first: int, last: Column) -> Column:
+    """Syllables of the script for the places from ``first`` to ``last``; none if that lies before."""
+    places = F.filter(F.sequence(F.lit(first), F.greatest(last, F.lit(first))), lambda i: i <= last)
+    out = F.lit("")
+    for s, syllables in SYLLABLES.items():
+        out = F.when(script == s, F.array_join(F.transform(places, lambda i: _pick(syllables, _number(seed, i))), "")).otherwise(out)  # noqa: B023
+    return out
+
+
+def _given(canon: Column, seed: Column, attempt: Column) -> Column:
+    """``gender|script|name`` of the same gender and script; longer with each attempt."""
     gender, script = F.split_part(canon, F.lit("|"), F.lit(1)), F.split_part(canon, F.lit("|"), F.lit(2))
-    words = F.size(F.split(F.split_part(canon, F.lit("|"), F.lit(3)), " "))
-    given = family = F.lit("")
+    given = F.lit("")
     for (s, g), names in GIVEN.items():
-        given = F.when((script == s) & (gender == g), _pick(names, _number(seed, 1))).otherwise(given)
-    places = F.sequence(F.lit(2), F.lit(4) + attempt.cast("int"))
-    for s, syllables in SYLLABLES.items():
-        parts = F.transform(places, lambda i: _pick(syllables, _number(seed, i)))  # noqa: B023
-        family = F.when(script == s, F.initcap(F.array_join(parts, ""))).otherwise(family)
-    middle = F.when(words > 2, F.concat(F.lit(" "), F.upper(F.substring(family, 2, 1)))).otherwise(F.lit(""))
-    return F.concat_ws("|", gender, script, F.when(words > 1, F.concat(given, middle, F.lit(" "), family)).otherwise(family))
+        given = F.when((script == s) & (gender == g), _pick([n.lower() for n in names], _number(seed, 1))).otherwise(given)
+    return F.concat_ws("|", gender, script, F.concat(given, _syllables(script, seed, 2, 1 + attempt.cast("int"))))
+
+
+def _family(canon: Column, seed: Column, attempt: Column) -> Column:
+    """``script|name`` of three syllables and more with each attempt."""
+    script = F.split_part(canon, F.lit("|"), F.lit(1))
+    return F.concat_ws("|", script, _syllables(script, seed, 2, 4 + attempt.cast("int")))
 
 
 def render(surface: Column, kind: Column, made: Column) -> Column:
@@ -265,14 +300,14 @@ def render(surface: Column, kind: Column, made: Column) -> Column:
         ),
         "",
     )
-    bare = F.regexp_replace(surface, f"^{_TITLE}", "")
-    name = F.split_part(made, F.lit("|"), F.lit(3))
-    name = F.concat(F.regexp_extract(surface, f"^{_TITLE}", 0), F.when(bare == F.upper(bare), F.upper(name)).otherwise(name))
+    name = F.substring_index(made, "|", -1)
+    loud = (surface == F.upper(surface)) & (F.length(surface) > 1)
+    name = F.when(loud, F.upper(name)).otherwise(F.initcap(name))
     return (
         F.when(kind == "EMAIL", F.when(surface == F.upper(surface), F.upper(made)).otherwise(made))
         .when(kind.isin("PHONE", "SSN", "CARD"), filled)
         .when(kind == "IBAN", spaced)
-        .when(kind == "NAME", name)
+        .when(kind.isin("GIVEN", "FAMILY"), name)
         .when(kind == "SECRET", F.concat(F.regexp_extract(surface, f"^{_SECRET_NAME}", 0), made))
         .otherwise(made)
     )
@@ -301,8 +336,51 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     raise RuntimeError(f"no distinct surrogates after {ATTEMPTS} attempts: a form has too few values for its entities")
 
 
+def _name_parts(spots: DataFrame) -> DataFrame:
+    """Findings as parts: a name gives its words, anything else itself. ``text_key, place, part, title, surface, kind, canon``.
+
+    A given name's canonical form holds the gender that its mentions in the table tell.
+    """
+    is_name = F.col("kind") == "NAME"
+    title = F.when(is_name, F.regexp_extract("surface", f"^{_TITLE}", 0)).otherwise(F.lit(""))
+    words = F.split(F.substring("surface", F.length("title") + 1, F.length("surface")), " ")
+    parts = spots.withColumn("title", title).withColumn("words", F.when(is_name, words).otherwise(F.array("surface")))
+    parts = parts.select(
+        "text_key", "place", "title", "kind", "canon", _gender(F.col("surface")).alias("gender"), F.size("words").alias("n"), F.posexplode("words").alias("part", "surface")
+    )
+    script = _script(F.col("surface"))
+    last = F.col("part") == F.col("n") - 1
+    role = F.when(~is_name, F.col("kind")).when(last, F.lit("FAMILY")).when(F.col("surface").rlike(r"^\p{Lu}\.?$"), F.lit("INITIAL")).otherwise(F.lit("GIVEN"))
+    parts = parts.select("text_key", "place", "part", "title", "surface", role.alias("kind"), "canon", "gender", script.alias("script"))
+    given = F.col("kind") == "GIVEN"
+    lower = F.lower("surface")
+    told = parts.where(given).groupBy("script", lower.alias("word")).agg(F.count_if(F.col("gender") == "m").alias("m"), F.count_if(F.col("gender") == "f").alias("f"))
+    sure = F.when(F.col("m") > F.col("f"), "m").when(F.col("f") > F.col("m"), "f").otherwise("n")
+    told = materialize(told.select("script", "word", sure.alias("told")), "genders")
+    names = parts.where(given).withColumn("word", lower).join(told, ["script", "word"])
+    names = names.withColumn("canon", F.concat_ws("|", "told", "script", "word")).drop("told", "word")
+    rest = parts.where(~given).withColumn("canon", F.when(F.col("kind") == "FAMILY", F.concat_ws("|", "script", lower)).otherwise(F.col("canon")))
+    return names.unionByName(rest).drop("gender", "script")
+
+
+def _repeats(parts: Column) -> Column:
+    """``array<struct<pattern,made>>`` for the repeats of one finding's name: whole names anywhere, words within a sentence."""
+    quoted = lambda word: F.concat(F.lit("\\Q"), word, F.lit("\\E"))
+    ends = F.lit(r"(?![\p{L}\p{N}])")
+    names = F.filter(parts, lambda p: p["kind"].isin("GIVEN", "FAMILY"))
+    joined = lambda field: F.array_join(F.transform(parts, lambda p: p[field]), " ")
+    whole = F.struct(
+        F.concat(F.lit(r"(?<![\p{L}\p{N}])"), quoted(joined("surface")), ends).alias("pattern"), joined("made").alias("made")
+    )
+    single = F.transform(
+        names, lambda p: F.struct(F.concat(F.lit(r"(?<=[\p{Ll},;] )"), quoted(p["surface"]), ends).alias("pattern"), p["made"].alias("made"))
+    )
+    none = F.array().cast("array<struct<pattern:string,made:string>>")
+    return F.when(F.size(names) > 1, F.concat(F.array(whole), single)).when(F.size(names) == 1, single).otherwise(none)
+
+
 def replace(docs: DataFrame, text: str, key: str, count: str | None = None) -> DataFrame:
-    """``docs`` with surrogates in ``text``; ``count`` names a column for the number of replacements."""
+    """``docs`` with surrogates in ``text``; ``count`` names a column for the number of findings (repeats of names apart)."""
     found = F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))
     own = fresh_name(docs, "_text_key")
     has = F.col(text).rlike(HINT) & F.col(text).rlike(PATTERN)
@@ -311,15 +389,38 @@ def replace(docs: DataFrame, text: str, key: str, count: str | None = None) -> D
     texts = hits.select(F.md5(text).alias("text_key"), found.alias("found")).groupBy("text_key").agg(F.first("found").alias("found"))
     spots = texts.select("text_key", F.posexplode("found").alias("place", "surface"))
     spots = spots.withColumn("kind", kind_of(F.col("surface")))
-    spots = materialize(spots.withColumn("canon", canonical(F.col("surface"), F.col("kind"))), "entities")
-    made = assign(spots.select("kind", "canon").distinct(), key)
-    rendered = spots.join(made, ["kind", "canon"]).select(
-        "text_key", F.struct("place", render(F.col("surface"), F.col("kind"), F.col("made")).alias("made")).alias("made")
+    spots = materialize(_name_parts(spots.withColumn("canon", canonical(F.col("surface"), F.col("kind")))), "entities")
+    made = assign(spots.where("kind <> 'INITIAL'").select("kind", "canon").distinct(), key)
+    rendered = spots.join(made, ["kind", "canon"], "left").select(
+        "text_key",
+        "place",
+        "title",
+        F.struct("part", "kind", "surface", F.when(F.col("made").isNotNull(), render(F.col("surface"), F.col("kind"), F.col("made"))).alias("made")).alias("one"),
     )
-    surrogates = rendered.groupBy("text_key").agg(F.sort_array(F.collect_list("made")).alias("_made"))
-    surrogates = materialize(surrogates.select(F.col("text_key").alias(own), F.col("_made.made").alias(own + "_made")), "surrogates")
-
-    pieces = F.split(F.col(text), PATTERN)
+    # at most three words of a name meet here
+    whole = rendered.groupBy("text_key", "place", "title").agg(F.sort_array(F.collect_list("one")).alias("parts"))
+    family = F.element_at("parts", -1)["made"]
+    parts = F.transform(
+        "parts",
+        lambda p: F.struct(
+            p["kind"].alias("kind"), p["surface"].alias("surface"), F.coalesce(p["made"], F.concat(F.upper(F.substring(family, 2, 1)), F.substring(p["surface"], 2, 1))).alias("made")
+        ),
+    )
+    whole = whole.withColumn("parts", parts)
+    shown = F.concat("title", F.array_join(F.transform("parts", lambda p: p["made"]), " "))
+    whole = whole.select("text_key", F.struct("place", shown.alias("made")).alias("made"), _repeats(F.col("parts")).alias("again"))
+    surrogates = whole.groupBy("text_key").agg(
+        F.sort_array(F.collect_list("made")).alias("_made"), F.array_distinct(F.flatten(F.collect_list("again"))).alias("_again")
+    )
+    # whole names come before their words
+    ordered = F.array_sort("_again", lambda x, y: F.length(y["pattern"]) - F.length(x["pattern"]))
+    surrogates = surrogates.select(F.col("text_key").alias(own), F.col("_made.made").alias(own + "_made"), ordered.alias(own + "_again"))
+    surrogates = materialize(surrogates, "surrogates")
+
+    repeats = F.col(own + "_again")
+    renamed = lambda piece: F.aggregate(repeats, piece, lambda t, x: F.regexp_replace(t, x["pattern"], x["made"]))
+    split = F.split(F.col(text), PATTERN)
+    pieces = F.when(F.size(repeats) > 0, F.transform(split, renamed)).otherwise(split)
     joined = F.concat(
         pieces[0],
         F.array_join(
@@ -327,7 +428,7 @@ def replace(docs: DataFrame, text: str, key: str, count: str | None = None) -> D
         ),
     )
     names = {text: joined} | ({count: F.size(own + "_made")} if count else {})
-    changed = hits.withColumn(own, F.md5(text)).join(surrogates, own).withColumns(names).drop(own, own + "_made")
+    changed = hits.withColumn(own, F.md5(text)).join(surrogates, own).withColumns(names).drop(own, own + "_made", own + "_again")
     clean = docs.where(~F.coalesce(has, F.lit(False)))
     clean = clean.withColumn(count, F.lit(0)) if count else clean
     return clean.unionByName(changed.select(*clean.columns))
