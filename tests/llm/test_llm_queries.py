@@ -64,7 +64,7 @@ def check_pieces(pieces, texts, tokenizer):
 
 
 def test_every_operator_has_one_query():
-    assert [n for n in range(1, 11) if sum(k.startswith(f"op{n}_") for k in ENTRIES) != 1] == []
+    assert [n for n in range(1, 14) if sum(k.startswith(f"op{n}_") for k in ENTRIES) != 1] == []
 
 
 def test_quality_statistics(spark, docs):
@@ -103,6 +103,110 @@ def test_surrogates_leave_no_original(spark, docs):
     assert len({next(iter(v)) for v in made.values()}) == len(made)
 
 
+ALPHABETS = [("0123456789", r"[0-9]"), ("abcdefghijklmnopqrstuvwxyz", r"[a-z]"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"[A-Z]")]
+
+
+def sha(*parts):
+    return hashlib.sha256("\x1f".join(parts).encode()).hexdigest()
+
+
+def plain_surrogate(kind, canon, attempt, key):
+    """The surrogate of an entity of the kinds that the given texts hold, in plain Python."""
+    keyed = lambda *parts: sha(key, sha(key, *parts))
+    number = lambda seed, i: int(hashlib.sha256(f"{seed}:{i}".encode()).hexdigest()[:7], 16)
+
+    def in_place(text, seed, alphabets=ALPHABETS):
+        out = ""
+        for i, c in enumerate(text):
+            letters = next((a for a, p in alphabets if re.fullmatch(p, c)), c)
+            out += letters[number(seed, i) % len(letters)]
+        return out
+
+    def luhn(digits):
+        return sum(sum(divmod(int(c) * (i % 2 + 1), 10)) for i, c in enumerate(reversed(digits))) % 10
+
+    seed = keyed(kind, str(attempt), canon)
+    changed = in_place(canon, seed)
+    if kind == "EMAIL":
+        local, domain = canon.split("@", 1)[0], canon.rsplit("@", 1)[1]
+        stays = re.search(r"(?:^|\.)(?:example\.[a-z]+|example|test|invalid|localhost)$|\.[^.]+$", domain)[0]
+        labels = domain[: len(domain) - len(stays)]
+        return f"{in_place(local, seed)}@{in_place(labels, keyed('DOMAIN', labels))}{stays}"
+    if kind == "PHONE":
+        first = "0" if canon[0] == "0" else "23456789"[number(seed, 900) % 8]
+        return first + (changed[1:3] + "555" + changed[6:10] if re.fullmatch(r"\d{3}555\d{4}", canon) else changed[1:])
+    if kind == "SSN":
+        return "9" + changed[1:]
+    if kind == "CARD":
+        body = canon[0] + changed[1:-1]
+        return body + (str((10 - luhn(body + "0")) % 10) if luhn(canon) == 0 else changed[-1])
+    if kind == "IP":
+        octet = lambda i, low, n: str(number(seed, i) % n + low)
+        a, b = map(int, canon.split(".")[:2])
+        if a in (10, 127):
+            return ".".join([str(a), octet(2, 0, 256), octet(3, 0, 256), octet(4, 1, 254)])
+        if (a, b) == (192, 168):
+            return ".".join(["192.168", octet(3, 0, 256), octet(4, 1, 254)])
+        if a == 172 and 16 <= b <= 31:
+            return ".".join(["172", octet(2, 16, 16), octet(3, 0, 256), octet(4, 1, 254)])
+        first = number(seed, 1) % 220 + 3
+        return ".".join([str(first + (first in (10, 127, 172, 192, 169))), octet(2, 0, 256), octet(3, 0, 256), octet(4, 1, 254)])
+    assert kind == "SECRET"
+    prefix = re.match(r"(?:AKIA|ASIA|gh[pousr]_|sk-)?", canon)[0]
+    rest = canon[len(prefix) :]
+    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", rest):
+        return prefix + in_place(rest, seed, [("0123456789", "[0-9]"), ("abcdef", "[a-f]"), ("ABCDEF", "[A-F]")])
+    return prefix + in_place(rest, seed, [("234567", "[0-9]"), ALPHABETS[2]] if prefix in ("AKIA", "ASIA") else ALPHABETS)
+
+
+def plain_replace(texts, key):
+    """All texts with surrogates: found by the same patterns, drawn entity by entity until all differ."""
+    import regex
+
+    from loomdex.llm import surrogates
+
+    every, kinds = regex.compile(surrogates.PATTERN), {k: regex.compile(p) for k, p in surrogates.KINDS.items()}
+    kind_of = lambda x: next((k for k, p in kinds.items() if k != "SECRET" and p.fullmatch(x)), "SECRET")
+    secret_name = regex.compile(surrogates._SECRET_NAME)
+
+    def canonical(x):
+        kind, digits = kind_of(x), re.sub(r"\D", "", x)
+        if kind == "PHONE":
+            return kind, digits[1:] if re.fullmatch(r"1\d{10}", digits) else digits
+        head = (m := secret_name.match(x)) and m[0] or ""
+        return kind, {"EMAIL": x.lower(), "SSN": digits, "CARD": digits, "SECRET": x[len(head) :]}.get(kind, x)
+
+    entities = {canonical(x) for t in texts for x in every.findall(t)}
+    made, pending = {}, {e: 0 for e in entities}
+    while pending:
+        drawn = {e: plain_surrogate(*e, attempt, key) for e, attempt in pending.items()}
+        for (kind, canon), m in sorted(drawn.items()):
+            if (kind, m) not in entities and (kind, m) not in {(k, v) for (k, _), v in made.items()}:
+                made[kind, canon] = m
+        pending = {e: attempt + 1 for e, attempt in pending.items() if e not in made}
+
+    def shown(m):
+        kind, canon = canonical(m[0])
+        new = made[kind, canon]
+        if kind in ("PHONE", "SSN", "CARD"):
+            digits = iter(re.sub(r"\D", "", m[0])[: len(re.sub(r"\D", "", m[0])) - len(new)] + new)
+            return re.sub(r"\d", lambda _: next(digits), m[0])
+        if kind == "SECRET":
+            return m[0][: len(m[0]) - len(canon)] + new
+        return new.upper() if kind == "EMAIL" and m[0] == m[0].upper() else new
+
+    return [every.sub(shown, t) for t in texts]
+
+
+def test_surrogates_equal_a_plain_version(spark, docs):
+    from loomdex.llm.queries import SURROGATE_KEY
+
+    order = sorted(docs)
+    want = dict(zip(order, plain_replace([docs[i].text or "" for i in order], SURROGATE_KEY)))
+    got = {r.doc_id: r.text or "" for r in rows(spark, "op7_surrogates")}
+    assert got == want and sum(want[i] != docs[i].text for i in order) > 5
+
+
 def test_shards(spark, docs):
     got = rows(spark, "op8_label_propagation")
     counts = collections.Counter(r.shard for r in got)
