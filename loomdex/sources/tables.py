@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,12 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables that every executor can reach: ``spark.checkpoint.dir``, else one in the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_loomdex"
+    if configured:
+        return configured
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local") and re.match(r"file:|/", warehouse):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share: the warehouse is local to each machine")
+    return f"{warehouse}/_loomdex"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
