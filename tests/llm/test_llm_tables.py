@@ -9,6 +9,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomdex.llm import mtree, near_dup, quality, sharding, surrogates, warc
 
@@ -437,3 +438,76 @@ def test_labels_settle_on_one_shard(spark):
     rows = final.collect()
     assert sum(r.n for r in rows) == 100 and len(rows) == 50
     assert max(collections.Counter({s: sum(r.n for r in rows if r.shard == s) for s in range(7)}).values()) <= 40
+
+
+def plain_propagation(counts, quota, shards, rounds, tie, chance, part_chance):
+    """Labels after the same rounds, group by group in plain Python; hashes are given."""
+    counts = dict(counts)
+
+    def aims(open_shards, loads, turn):
+        out = {}
+        for g in {g for g, _ in counts}:
+            own = {s: n for (x, s), n in counts.items() if x == g}
+            large = sum(own.values()) > quota * sharding.LARGE
+            if large:
+                roomy = max(((n, -loads[s], s) for s, n in own.items() if s in open_shards), default=None)
+                out[g] = (1, *((roomy[2], roomy[0]) if roomy else (None, None)))
+            else:
+                n, _, s = max((n, tie[g, s, turn], s) for s, n in own.items())
+                out[g] = (0, s, n)
+        return out
+
+    for turn in range(rounds):
+        loads = [sum(n for (_, x), n in counts.items() if x == s) for s in range(shards)]
+        aim = aims({s for s in range(shards) if loads[s] < quota}, loads, turn)
+        wish = {}
+        flows = np.zeros((2, shards, shards))
+        for (g, s), n in counts.items():
+            large, to, to_n = aim[g]
+            if to is not None and to != s and to_n >= n:
+                wish[g, s] = to
+                flows[large, s, to] += n
+        granted = sharding._granted(flows, np.array([quota - x for x in loads], float))
+        if not (granted * flows.sum(axis=1)).any():
+            break
+        moved = collections.Counter()
+        for (g, s), n in counts.items():
+            to = wish.get((g, s))
+            if to is None:
+                go = 0
+            elif aim[g][0]:
+                go = min(math.floor(n * granted[1][to] + part_chance[g, s, turn]), n)
+            else:
+                go = n if chance[g, turn] < granted[0][to] else 0
+            moved[g, s] += n - go
+            if to is not None:
+                moved[g, to] += go
+        counts = {k: n for k, n in moved.items() if n}
+    united = collections.Counter()
+    for (g, s), n in counts.items():
+        large, to, _ = aims(set(), [0] * shards, rounds)[g]
+        united[g, s if large else to] += n
+    return dict(united)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_propagation_equals_a_plain_version(spark, seed):
+    rng, shards = random.Random(seed), 5
+    counts = {}
+    for i in range(40):
+        size = rng.choice([2, 2, 3, 5, 9, 400 if i % 13 == 0 else 4])
+        for _ in range(size):
+            k = (f"group {i}", rng.randrange(shards))
+            counts[k] = counts.get(k, 0) + 1
+    quota = sum(counts.values()) // shards
+    table = spark.createDataFrame([(g, s, n) for (g, s), n in counts.items()], "group string, shard int, n long")
+    every = spark.createDataFrame([(f"group {i}", s) for i in range(40) for s in range(shards)], "group string, shard int")
+    tie, chance, part_chance = {}, {}, {}
+    turns = range(sharding.ROUNDS + 1)
+    columns = [F.xxhash64("group", "shard", F.lit(t)).alias(f"t{t}") for t in turns]
+    columns += [sharding._chance("group", F.lit(t)).alias(f"c{t}") for t in turns] + [sharding._chance("group", "shard", F.lit(t)).alias(f"p{t}") for t in turns]
+    for r in every.select("group", "shard", *columns).collect():
+        for t in turns:
+            tie[r.group, r.shard, t], chance[r.group, t], part_chance[r.group, r.shard, t] = r[f"t{t}"], r[f"c{t}"], r[f"p{t}"]
+    got = {(r.group, r.shard): r.n for r in sharding.propagate(table, quota, shards).collect()}
+    assert got == plain_propagation(counts, quota, shards, sharding.ROUNDS, tie, chance, part_chance)
