@@ -388,7 +388,7 @@ def replace(docs: DataFrame, text: str, key: str, count: str | None = None) -> D
     # equal texts once; the partial aggregation keeps a common text from making a large group
     texts = hits.select(F.md5(text).alias("text_key"), found.alias("found")).groupBy("text_key").agg(F.first("found").alias("found"))
     spots = texts.select("text_key", F.posexplode("found").alias("place", "surface"))
-    spots = spots.withColumn("kind", kind_of(F.col("surface")))
+    spots = materialize(spots.withColumn("kind", kind_of(F.col("surface"))), "findings")  # read more than once below
     spots = materialize(_name_parts(spots.withColumn("canon", canonical(F.col("surface"), F.col("kind")))), "entities")
     made = assign(spots.where("kind <> 'INITIAL'").select("kind", "canon").distinct(), key)
     rendered = spots.join(made, ["kind", "canon"], "left").select(
