@@ -9,11 +9,16 @@ of their whole sets reaches ``percent`` of 100; duplicates are the connected com
    their tokens there. A node that kept ``DENSE`` of its parent's documents is left whole, as its documents are alike and
    branching would go on for ever.
 3. Small nodes are compared exhaustively, by signatures: documents whose estimate reaches ``LEAST_EQUAL`` equal values are
-   candidates. A node gives a spanning star of its candidates, never all pairs. Nodes that stay large are compared block by block.
+   candidates. A node gives a spanning star of its candidates, never all pairs.
 4. Candidates that hang together are brought together with their whole sets. Pairs are confirmed exactly; a pair within a
-   component already confirmed tells nothing new and is skipped. Large groups are again cut into pairs of blocks.
+   component already confirmed tells nothing new and is skipped.
 5. Confirmed links are contracted to components.
 
+Nodes and groups of more than ``2 * BLOCK`` documents are compared with some ``PIVOTS`` of their own, chosen by a hash, first: what a
+pivot connects is one class, and pairs within a class tell nothing new. Up to ``ROUNDS`` times the documents outside the largest class
+choose pivots again; those still outside it are then compared with all, block by block. So a node of near copies costs a number of
+comparisons in proportion to its size, and no pair of different classes is left out.
+
 Recall: documents of similarity 0.8 share a token under one coordinate with probability 0.8 and stay together through a branching
 with 0.96, so that all 8 trees part them with probability below 1e-4 (0.2**8 = 3e-6 where nodes need no branching); the estimate loses
 them with 1e-5. Nothing else is lost, and nothing that is not confirmed is linked.
@@ -26,7 +31,7 @@ own text; ties cannot arise, components take their smallest id (null ids come la
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +52,9 @@ DEPTH = 8
 LEAST_EQUAL = 83
 #: Documents of a block of a node or group that is too large for one comparison.
 BLOCK = 1024
+#: Pivots of a large node or group (about; a hash chooses them row by row), and rounds of them.
+PIVOTS = 16
+ROUNDS = 3
 #: Bytes of texts whose words are hashed together.
 PART_BYTES = 1 << 20
 #: Rows of an Arrow batch.
@@ -177,9 +185,9 @@ def branch(entries: DataFrame) -> DataFrame:
     return entries.select("node", "rid", "rows", "sig").mapInArrow(place, ENTRY)
 
 
-def leaves(reps: DataFrame) -> DataFrame:
-    """``node, rid, rows`` of all nodes that are compared."""
-    entries, found = materialize(first_nodes(reps), "paths-1"), None
+def leaves(reps: DataFrame) -> tuple[DataFrame, bool]:
+    """``node, rid, rows`` of all nodes that are compared, and whether some are large."""
+    entries, found, large = materialize(first_nodes(reps), "paths-1"), None, False
     for depth in range(1, DEPTH + 1):
         sizes = entries.groupBy("node").agg(F.count("*").alias("rows"), F.first("parent_rows").alias("_parent")).where("rows > 1")
         compared = (F.col("rows") <= NODE_ROWS) | (F.col("rows") >= DENSE * F.col("_parent")) & (F.col("_parent") > 0)
@@ -188,35 +196,18 @@ def leaves(reps: DataFrame) -> DataFrame:
         sizes = materialize(sizes.select("node", "rows", compared.alias("compared")), "nodes")
         leaf = entries.join(sizes.where("compared").drop("compared"), "node").select("node", "rid", "rows")
         found = leaf if found is None else found.unionByName(leaf)
+        large = large or not sizes.where("compared").where(F.col("rows") > 2 * BLOCK).isEmpty()
         wide = sizes.where("NOT compared").drop("compared")
         if wide.isEmpty():
             break
         wide = entries.join(wide, "node").select("node", "rid", "rows").join(reps.select("rid", "sig"), "rid")
         entries = materialize(branch(wide), f"paths-{depth + 1}")
-    return found
+    return found, large
 
 
 # Comparison
 
 
-def with_cells(members: DataFrame, group: str, rows: str) -> DataFrame:
-    """``cell, side``: groups of up to ``2 * BLOCK`` rows are one cell, larger ones a cell for each pair of blocks."""
-    blocks = F.when(F.col(rows) <= 2 * BLOCK, 1).otherwise(F.ceil(F.col(rows) / BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("rid", F.lit("block")), blocks).cast("int")
-    return (
-        members.withColumns({"_blocks": blocks, "_own": own})
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        .withColumns(
-            {
-                "cell": F.xxhash64(group, F.least("_own", "_other"), F.greatest("_own", "_other")),
-                # within one block all pairs count, else only pairs across
-                "side": F.when(F.col("_own") == F.col("_other"), 0).when(F.col("_own") < F.col("_other"), 1).otherwise(2),
-            }
-        )
-        .drop("_blocks", "_own", "_other")
-    )
-
-
 def _short(sig: np.ndarray) -> np.ndarray:
     """A byte of each minwise value: equal values stay equal, others agree by chance once in 256 times."""
     return ((sig * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
@@ -243,19 +234,26 @@ def merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def connect(cell: np.ndarray, side: np.ndarray, n: np.ndarray, sig: np.ndarray, confirmed) -> tuple[np.ndarray, list]:
-    """Roots of the rows of each cell (rows are sorted by cell), and the pairs that connected them.
+def connect(
+    cell: np.ndarray, side: np.ndarray, label: np.ndarray, n: np.ndarray, sig: np.ndarray, confirmed
+) -> tuple[np.ndarray, np.ndarray, list]:
+    """Roots of the rows of each cell (rows are sorted by cell), the first rows of its labels, and the pairs that connected them.
 
-    All pairs of a cell are compared by size and signature, and then by ``confirmed(a, b)``, unless what came before
-    has connected them already. Memory goes with the rows, not with the pairs.
+    Pairs of a cell (across its two sides, or all on side 0) are compared by size and signature, and then by ``confirmed(a, b)``,
+    unless their label or what came before has connected them already. Memory goes with the rows, not with the pairs.
     """
-    root, pairs = np.arange(len(cell)), []
+    order = np.lexsort((label, cell))
+    new = np.ones(len(cell), bool)
+    new[1:] = (cell[order][1:] != cell[order][:-1]) | (label[order][1:] != label[order][:-1])
+    heads, root, pairs = order[new], np.empty(len(cell), np.int64), []
+    root[order] = heads[np.cumsum(new) - 1]
     for k in range(1, len(cell)):
-        a = np.nonzero(cell[:-k] == cell[k:])[0]
-        if not len(a):
+        same = cell[:-k] == cell[k:]
+        if not same.any():
             break
+        a = np.nonzero(same & ((side[:-k] == 0) | (side[:-k] != side[k:])))[0]
         b = a + k
-        apart = (root[a] != root[b]) & ((side[a] == 0) | (side[a] != side[b]))
+        apart = root[a] != root[b]
         apart &= 5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])
         a, b = a[apart], b[apart]
         for at in range(0, len(a), 16_384):
@@ -267,7 +265,7 @@ def connect(cell: np.ndarray, side: np.ndarray, n: np.ndarray, sig: np.ndarray,
             sure = confirmed(x, y)
             root = merge(root, x[sure], y[sure])
             pairs.append((x[sure], y[sure]))
-    return root, pairs
+    return root, heads, pairs
 
 
 def whole_cells(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
@@ -289,32 +287,74 @@ def whole_cells(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-def candidates(leaf: DataFrame, reps: DataFrame) -> DataFrame:
-    """``a, b``: stars that span the candidates of every cell."""
+def spanning(members: DataFrame, group: str, large: bool, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``a, b``: edges that connect, within every group, what ``compare`` finds alike.
+
+    ``members``: ``rid, group, rows`` and what ``compare`` reads beside ``cell, side, label``. ``large``: some groups have more than
+    ``2 * BLOCK`` rows. A large group's rows lie in blocks, one cell each, to which copies of the pivots are sent.
+    """
+    small = members.where(F.col("rows") <= 2 * BLOCK)
+    found = compare(small.withColumns({"cell": F.xxhash64(group), "side": F.lit(0), "label": F.col("rid")}))
+    if not large:
+        return found
+    wide = materialize(members.where(F.col("rows") > 2 * BLOCK), "wide")
+    rest = wide.withColumns({"label": F.col("rid"), "outside": F.lit(True), "_others": F.col("rows")})
+    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("rid", F.lit("block")), blocks).cast("int")
+    for k in range(ROUNDS):
+        pivot = F.col("outside") & (F.pmod(F.xxhash64("rid", F.lit(f"pivot {k}")), F.col("_others")) < PIVOTS)
+        pivots = rest.where(pivot).withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("side", F.lit(1))
+        cells = pivots.unionByName(rest.withColumns({"_block": own, "side": F.lit(2)}))
+        rays = materialize(compare(cells.withColumn("cell", F.xxhash64(group, "_block", F.lit(k)))).where("a <> b"), "rays")
+        found = found.unionByName(rays)
+        known = rays if k == 0 else known.unionByName(rays)
+        labelled = wide.join(components(known).withColumnRenamed("id", "rid"), "rid", "left")
+        labelled = labelled.withColumn("label", F.coalesce("label", "rid"))
+        classes = labelled.groupBy(group, "label").agg(F.count("*").alias("_alike")).groupBy(group)
+        classes = classes.agg(
+            F.max_by("label", F.struct("_alike", "label")).alias("_main"), (F.sum("_alike") - F.max("_alike")).alias("_others")
+        )
+        classes = materialize(classes.where("_others > 0"), "classes")
+        if classes.isEmpty():
+            return found
+        rest = labelled.join(classes, group).withColumn("outside", F.col("label") != F.col("_main")).drop("_main")
+    # the exact way for what is left: rows outside the largest class against all rows of the group, in pairs of blocks
+    shares = F.ceil(F.col("_others") / BLOCK).cast("int")
+    outside = rest.where("outside").withColumn("_share", F.pmod(F.xxhash64("rid", F.lit("share")), shares).cast("int"))
+    outside = outside.withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("side", F.lit(1))
+    every = rest.withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1))).withColumns({"_block": own, "side": F.lit(2)})
+    cells = outside.unionByName(every).withColumn("cell", F.xxhash64(group, "_share", "_block", F.lit("rest")))
+    return found.unionByName(compare(cells))
+
+
+def candidates(leaf: DataFrame, large: bool, reps: DataFrame) -> DataFrame:
+    """``a, b``: stars that span the candidates of every node."""
     short = reps.select("rid", "n", short_signature("sig").alias("sig8"))
-    members = with_cells(leaf, "node", "rows").select("cell", "side", "rid").join(short, "rid")
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_cells(batches, 8 << 20):
-            cell, side, rid, n = (table.column(c).to_numpy() for c in ("cell", "side", "rid", "n"))
+            cell, side, label, rid, n = (table.column(c).to_numpy() for c in ("cell", "side", "label", "rid", "n"))
             sig = np.frombuffer(b"".join(table.column("sig8").to_pylist()), np.uint8).reshape(-1, COORDINATES)
-            root, _ = connect(cell, side, n, sig, lambda a, b: np.ones(len(a), bool))
-            spoke = np.nonzero(root != np.arange(len(cell)))[0]
+            root, heads, _ = connect(cell, side, label, n, sig, lambda a, b: np.ones(len(a), bool))
+            spoke = heads[root[heads] != heads]
             yield pa.RecordBatch.from_arrays([pa.array(rid[root[spoke]]), pa.array(rid[spoke])], ["a", "b"])
 
-    found = members.select("cell", "side", "rid", "n", "sig8").repartition("cell").sortWithinPartitions("cell")
-    return found.mapInArrow(stars, "a long, b long").where("a <> b").distinct()
+    def compare(cells: DataFrame) -> DataFrame:
+        chosen = cells.select("cell", "side", "label", "rid", "n", "sig8").repartition("cell").sortWithinPartitions("cell", "side")
+        return chosen.mapInArrow(stars, "a long, b long")
+
+    return spanning(leaf.join(short, "rid"), "node", large, compare).where("a <> b").distinct()
 
 
-def confirm(sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: links confirmed on the whole sets that span each cell's components.
+def confirm(sets: DataFrame, large: bool, percent: int) -> DataFrame:
+    """``a, b``: links confirmed on the whole sets that span each group's components.
 
-    ``sets``: ``cell, side, rid, sig8, hashes`` (sorted 64-bit numbers).
+    ``sets``: ``group, rows, rid, sig8, hashes`` (sorted 64-bit numbers).
     """
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_cells(batches, 16 << 20):
-            cell, side, rid = (table.column(c).to_numpy() for c in ("cell", "side", "rid"))
+            cell, side, label, rid = (table.column(c).to_numpy() for c in ("cell", "side", "label", "rid"))
             hashes = [np.frombuffer(h.as_buffer(), np.uint64) for h in table.column("hashes")]
             sig = np.frombuffer(b"".join(table.column("sig8").to_pylist()), np.uint8).reshape(-1, COORDINATES)
             n = np.array([len(h) for h in hashes])
@@ -324,11 +364,15 @@ def confirm(sets: DataFrame, percent: int) -> DataFrame:
                 both = np.array(both, np.int64)
                 return 100 * both >= percent * (n[a] + n[b] - both)  # noqa: B023
 
-            _, pairs = connect(cell, side, n, sig, confirmed)
+            _, _, pairs = connect(cell, side, label, n, sig, confirmed)
             ends = [np.concatenate([np.empty(0, np.int64), *(rid[p[i]] for p in pairs)]) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()) for e in ends], ["a", "b"])
 
-    return sets.repartition("cell").sortWithinPartitions("cell").mapInArrow(links, "a long, b long")
+    def compare(cells: DataFrame) -> DataFrame:
+        chosen = cells.select("cell", "side", "label", "rid", "sig8", "hashes").repartition("cell").sortWithinPartitions("cell", "side")
+        return chosen.mapInArrow(links, "a long, b long")
+
+    return spanning(sets, "group", large, compare)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -372,11 +416,12 @@ def _near_duplicates(docs: DataFrame, doc_id: str, text: str, size: int, percent
         F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("sig").alias("sig")
     )
     reps = materialize(named.withColumn("rid", F.monotonically_increasing_id()), "representatives")
-    stars = candidates(leaves(reps), reps)
+    stars = candidates(*leaves(reps), reps)
     groups = components(stars).withColumnsRenamed({"id": "rid", "label": "group"})
     sizes = groups.groupBy("group").agg(F.count("*").alias("rows"))
     members = groups.join(sizes, "group").join(reps, "rid").select("rid", "group", "rows", "doc_id", "text_key", "digest", short_signature("sig").alias("sig8"))
     members = materialize(members, "members")
+    large = not members.where(F.col("rows") > 2 * BLOCK).isEmpty()
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["rid", "group", "rows", "sig8"]
@@ -402,7 +447,8 @@ def _near_duplicates(docs: DataFrame, doc_id: str, text: str, size: int, percent
     nameless = members.where("doc_id IS NULL").join(nameless, "text_key").select(columns)
     made = "rid long, group long, rows long, sig8 binary, hashes binary"
     wanted = named.mapInArrow(with_sets, made).unionByName(nameless.mapInArrow(with_sets, made)).dropDuplicates(["rid"])
-    linked = components(confirm(with_cells(wanted, "group", "rows"), percent)).withColumnRenamed("id", "rid")
+    wanted = materialize(wanted, "sets") if large else wanted  # read more than once then
+    linked = components(confirm(wanted, large, percent)).withColumnRenamed("id", "rid")
     of_rep = reps.select("rid", "digest", F.col("doc_id").alias("_first")).join(linked, "rid", "left")
     of_rep = of_rep.withColumn("label", F.coalesce("label", "rid"))
     smallest = of_rep.groupBy("label").agg(F.min("_first").alias("component_id"))

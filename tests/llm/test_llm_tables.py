@@ -152,6 +152,33 @@ def test_texts_without_ids_are_linked(spark):
     assert sorted(x for x in stay if x[0] != "n") == ["c", "x", "y"] and sum(x[0] == "n" for x in stay) == 1
 
 
+def test_large_groups_cost_in_proportion(spark, monkeypatch):
+    """Rows sent to cells grow with the near copies, not with their pairs; far ones of the group are still compared."""
+    monkeypatch.setattr(near_dup, "BLOCK", 64)
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(150)]
+    sent = collections.Counter()
+    plain = near_dup.spanning
+
+    def counted(members, group, large, compare):
+        def compared(cells):
+            sent[len(texts), group] += cells.count()
+            return compare(cells)
+
+        return plain(members, group, large, compared)
+
+    monkeypatch.setattr(near_dup, "spanning", counted)
+    for count in (600, 1200):
+        texts = [" ".join([*base[:k], f"v{i}", *base[k + 1 :]]) for i, k in ((i, rng.randrange(150)) for i in range(count))]
+        # a chain that leaves the pivots: each link is near the one before, its end far from the first
+        texts += [" ".join([*base[5 * k :], *(f"x{i}" for i in range(5 * k))]) for k in range(12)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        found = near_dup.near_duplicates(docs, "doc_id", "text", size=2).collect()
+        assert {r.component_id for r in found} == {0} and len(found) == len(texts)
+    for group in ("node", "group"):
+        assert sent[1212, group] <= 2.6 * sent[612, group] and sent[1212, group] > 0
+
+
 def test_component_contraction(spark):
     rng = random.Random(4)
     chain = [(i, i + 1) for i in range(60)]
