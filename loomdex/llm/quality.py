@@ -10,18 +10,21 @@ is one aggregation: moments are summed per stratum and distance bin, so the near
 hundred summed rows, a stratum with a third of all rows is pre-aggregated like any other, and no quantile is sampled.
 Values are rounded to multiples of 1/256; their sums are exact, so results do not depend on the order of rows.
 
-Languages are never judged together. Strata under ``SMALL`` rows share the scatter of their language's small strata (of all
-its strata, if those are under ``SMALL`` rows too); each is centred by its own medians from ``FEWEST`` rows on, else by
-those of the strata under ``FEWEST`` rows, or of the language.
-
-Cases: a null text has no words and fails the base rules; null languages and sources are strata of their own; in a
-language below ``FEWEST`` rows nothing is rejected; repeated rows are judged alike; an empty table gives no rows. The input's columns come back in a
+Strata of any size are judged by one rule. Beside every stratum's estimate there is one for its language, over the rows of all its
+sources less their centres. A stratum of n rows has its own centre with the weight n / (n + ``CENTRE_ROWS``), its own scatter with
+n / (n + ``SCATTER_ROWS``), and its language's with the rest. A language's own estimate is less sure the fewer rows it has: the cutoff
+is stretched by 1 + ``WIDEN_ROWS`` / m for a language of m rows, at least by ``SLACK``. Languages are never judged together.
+
+Cases: a null text has no words and fails the base rules; null languages and sources are strata of their own; a language of one
+row keeps it; rows of strata without a row that passes the base rules have no distance; repeated rows are judged alike; an empty
+table gives no rows. The input's columns come back in a
 struct of their own, so their names clash with nothing.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,12 +46,16 @@ MAX_REPEAT_PERCENT = 30
 COVERED = 0.75
 STEPS = 12
 SETTLED = 1e-6
-#: Rows under which a stratum shares its scatter, and under which there are no medians and no estimate.
-SMALL = 200
-FEWEST = 40
+#: Rows at which a stratum's own centre and its own scatter (three times as many numbers) weigh as much as its language's.
+CENTRE_ROWS = 40
+SCATTER_ROWS = 200
+#: By this the factor is near that of the F distribution's limit to the chi-square one, for as many values as ``VECTOR`` has.
+WIDEN_ROWS = 25
+#: Name of the stratum of all sources of a language; names of sources begin otherwise.
+WHOLE = "*"
 #: Bins of the logarithm of the squared distance, per unit.
 BINS = 16
-#: Probability that a clean document of normal statistics lies within the cutoff; the cutoff is stretched by ``SLACK``.
+#: Probability that a clean document of normal statistics lies within the cutoff; the cutoff is stretched by ``SLACK`` at least.
 INSIDE = 0.9999
 SLACK = 1.25
 #: Transformed statistics and the least spread that counts: many strata have no symbols or repetition at all.
@@ -141,48 +148,28 @@ def with_vector(df: DataFrame) -> DataFrame:
     )
 
 
+def _weight(rows: Column, equal: int) -> Column:
+    return rows / (rows + equal)
+
+
 def with_stratum(df: DataFrame, lang: str, source: str) -> DataFrame:
-    """``s_lang, s_source``: own stratum, or ``-`` as source for the small strata of a language (``=`` marks a value).
+    """``s_lang, s_source``: the names of a row's stratum (``=`` marks a value)."""
+    name = {n: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null")) for n, c in (("s_lang", lang), ("s_source", source))}
+    return df.withColumns(name)
 
-    Vectors of small strata are centred. ``lent`` has the centred vector of a large stratum whose language's small ones
-    are too few for a scatter.
-    """
-    named = df.withColumns(
-        {
-            "s_lang": F.coalesce(F.concat(F.lit("="), F.col(lang)), F.lit("null")),
-            "s_source": F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null")),
-        }
-    )
-    sizes = named.groupBy("s_lang", "s_source").agg(F.count_if(~F.col("base_failed")).alias("rows"))
-    per_lang = Window.partitionBy("s_lang")  # windows over a row per stratum
-    small = F.col("rows") < SMALL
-    place = sizes.withColumns(
-        {
-            "p_source": F.when(small, "-").otherwise(F.col("s_source")),
-            "centre_of": F.when(F.col("rows") < FEWEST, "-").otherwise(F.col("s_source")),
-            "_pool": F.sum(F.when(small, F.col("rows")).otherwise(0)).over(per_lang),
-        }
-    )
-    place = place.withColumn("_like", F.sum("rows").over(Window.partitionBy("s_lang", "centre_of")))
-    place = place.withColumns(
-        {
-            "lends": ~small & (F.col("_pool") > 0) & (F.col("_pool") < SMALL),
-            "centre_of": F.when(F.col("_like") < FEWEST, "*").otherwise(F.col("centre_of")),
-        }
-    )
-    place = place.withColumn("_whole", F.max(F.col("centre_of") == "*").over(per_lang)).drop("rows", "_pool", "_like")
-    place = materialize(place, "strata")  # a row per stratum: the planner sees its size before it moves any text
-    placed = named.join(place, ["s_lang", "s_source"])
-    good = placed.where("NOT base_failed")
-    needed = good.where("p_source = '-' OR lends").where("centre_of <> '*'").select("s_lang", "centre_of", *VECTOR)
-    needed = needed.unionByName(good.where("_whole").select("s_lang", F.lit("*").alias("centre_of"), *VECTOR))
-    medians = needed.groupBy("s_lang", "centre_of").agg(*(F.percentile(v, F.lit(0.5)).alias(f"_m{i}") for i, v in enumerate(VECTOR)))
-    placed = placed.join(materialize(medians, "centres"), ["s_lang", "centre_of"], "left")
-    centred = [F.col(v) - F.col(f"_m{i}") for i, v in enumerate(VECTOR)]
-    placed = placed.withColumn("lent", F.when(F.col("lends"), F.struct(*(c.alias(v) for c, v in zip(centred, VECTOR)))))
-    placed = placed.withColumns({v: F.when(F.col("p_source") == "-", c).otherwise(F.col(v)) for c, v in zip(centred, VECTOR)})
-    placed = placed.drop("s_source", "centre_of", "lends", "_whole", *(f"_m{i}" for i in range(len(VECTOR))))
-    return placed.withColumnRenamed("p_source", "s_source")
+
+def strata(good: DataFrame) -> DataFrame:
+    """A row per stratum: ``s_lang, s_source, rows, lang_rows, middle`` (its medians mixed with those of its language)."""
+
+    def medians(names: list[str], rows: str, mark: str) -> DataFrame:  # rounded values have few distinct ones
+        found = [F.percentile(v, F.lit(0.5)).alias(f"{mark}{i}") for i, v in enumerate(VECTOR)]
+        return good.groupBy(*names).agg(F.count("*").alias(rows), *found)
+
+    both = medians(["s_lang", "s_source"], "rows", "own").join(medians(["s_lang"], "lang_rows", "all"), "s_lang")
+    weight = _weight(F.col("rows"), CENTRE_ROWS)
+    middle = [_rounded(weight * F.col(f"own{i}") + (1 - weight) * F.col(f"all{i}")) for i in range(len(VECTOR))]
+    # stored: the planner sees its size before it moves any rows
+    return materialize(both.select("s_lang", "s_source", "rows", "lang_rows", F.array(*middle).alias("middle")), "strata")
 
 
 # Estimates
@@ -210,7 +197,7 @@ def chi2_quantile(p: float, d: int) -> float:
 
 #: Scatter of the nearest ``COVERED`` share of normal rows, made good for the share left out.
 CONSISTENT = COVERED / chi2_cdf(chi2_quantile(COVERED, len(VECTOR)), len(VECTOR) + 2)
-CUTOFF = SLACK * chi2_quantile(INSIDE, len(VECTOR))
+CUTOFF = chi2_quantile(INSIDE, len(VECTOR))
 
 ESTIMATE = "s_lang string, s_source string, rows long, logdet double, centre array<double>, inverse array<double>"
 
@@ -293,10 +280,8 @@ def _concentrate(vectors: DataFrame, estimate: DataFrame) -> DataFrame:
 
 
 def fit(vectors: DataFrame) -> DataFrame:
-    """Estimates of all strata with enough rows, as a written table."""
-    enough = vectors.groupBy("s_lang", "s_source").count().where(F.col("count") >= FEWEST).drop("count")
-    enough = materialize(enough, "judged-strata")
-    estimate = materialize(_start(vectors.join(enough, ["s_lang", "s_source"])), "mcd-start")
+    """Estimates of all strata, as a written table; a warning tells the last change of those that have not settled."""
+    estimate = materialize(_start(vectors), "mcd-start")
     for _ in range(STEPS):
         following = materialize(_concentrate(vectors, estimate), "mcd-step")
         change = (
@@ -307,9 +292,40 @@ def fit(vectors: DataFrame) -> DataFrame:
         estimate = following
         if change is None or change < SETTLED:
             break
+    else:
+        warnings.warn(f"robust estimates changed by {change:.2g} in the last of {STEPS} steps", stacklevel=2)
     return estimate
 
 
+def mixed(estimate: DataFrame, places: DataFrame) -> DataFrame:
+    """``s_lang, s_source, centre, inverse, cutoff`` of every stratum, its own estimate mixed with that of its language."""
+    d = len(VECTOR)
+    whole = estimate.where(F.col("s_source") == WHOLE)
+    whole = whole.select("s_lang", F.col("centre").alias("off"), F.col("inverse").alias("whole"))
+    own = estimate.select("s_lang", "s_source", "centre", "inverse")
+    joined = places.join(own, ["s_lang", "s_source"]).join(whole, "s_lang")
+    joined = joined.withColumns(
+        {
+            "near": _weight(F.col("rows"), CENTRE_ROWS),
+            "wide": _weight(F.col("rows"), SCATTER_ROWS),
+            "cutoff": CUTOFF * F.greatest(F.lit(SLACK), 1 + WIDEN_ROWS / F.col("lang_rows")),
+        }
+    )
+
+    def mix(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False):
+                centre = row.near * row.centre + (1 - row.near) * (row.middle + row.off)
+                own, whole = (np.linalg.inv(x.reshape(d, d)) for x in (row.inverse, row.whole))
+                inverse = np.linalg.inv(row.wide * own + (1 - row.wide) * whole)
+                out.append((row.s_lang, row.s_source, list(centre), list(inverse.ravel()), row.cutoff))
+            yield pd.DataFrame(out, columns=["s_lang", "s_source", "centre", "inverse", "cutoff"])
+
+    made = "s_lang string, s_source string, centre array<double>, inverse array<double>, cutoff double"
+    return materialize(joined.mapInPandas(mix, made), "mixed")
+
+
 def judge(docs: DataFrame, text: str, lang: str, source: str, keep: list[str] | None = None) -> DataFrame:
     """``row`` (a struct of the columns ``keep``, all by default), the statistics, ``base_failed``, ``distance``, ``kept``."""
     row = F.struct(*(F.col(f"`{c}`") for c in (keep or docs.columns)))
@@ -320,12 +336,13 @@ def judge(docs: DataFrame, text: str, lang: str, source: str, keep: list[str] |
     with batch_rows(docs.sparkSession, 1_000):
         stored = materialize(with_vector(found.withColumn("base_failed", base)), "statistics")
     placed = with_stratum(stored, "_lang", "_source")
-    good = placed.where("NOT base_failed")
-    lent = good.where("lent IS NOT NULL").select("s_lang", F.lit("-").alias("s_source"), "lent.*")
-    vectors = materialize(good.select("s_lang", "s_source", *VECTOR).unionByName(lent), "vectors")
-    estimate = fit(vectors).select("s_lang", "s_source", "centre", "inverse")
+    good = placed.where("NOT base_failed").select("s_lang", "s_source", *VECTOR)
+    places = strata(good)
+    off = [(F.col(v) - F.col("middle")[i]).alias(v) for i, v in enumerate(VECTOR)]
+    whole = good.join(places, ["s_lang", "s_source"]).select("s_lang", F.lit(WHOLE).alias("s_source"), *off)
+    estimate = mixed(fit(materialize(good.unionByName(whole), "vectors")), places)
     judged = placed.join(estimate, ["s_lang", "s_source"], "left").withColumn("distance", _distance())
-    outlier = F.coalesce(F.col("distance") > CUTOFF, F.lit(False))
+    outlier = F.coalesce(F.col("distance") > F.col("cutoff"), F.lit(False))
     return judged.withColumn("kept", ~F.col("base_failed") & ~outlier).select(
         "row", *STATISTICS.fieldNames(), "base_failed", "distance", "kept"
     )

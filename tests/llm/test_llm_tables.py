@@ -229,7 +229,7 @@ def test_outliers_are_rejected_and_prose_is_kept(spark):
     assert [got[i].base_failed for i in (3000, 3001, 3002, 3003)] == [True, True, False, True]
     assert quality.judge(docs.where("false"), "text", "lang", "source").count() == 0
     few = quality.judge(docs.where("doc_id < 20"), "text", "lang", "source", keep=["doc_id"]).collect()
-    assert all(r.kept and r.distance is None for r in few)
+    assert all(r.kept and r.distance is not None for r in few)
 
 
 def test_small_strata_are_judged_by_their_own_centre(spark):
@@ -245,7 +245,23 @@ def test_small_strata_are_judged_by_their_own_centre(spark):
     assert len(got) == len(rows + junk)
     assert all(got[i].kept for i, *_ in rows)
     assert not any(got[i].kept for i, *_ in junk)
-    assert all((r.distance is None) == (8000 <= i < 9000) for i, r in got.items())
+    assert all(r.distance is not None for r in got.values())  # strata of every size are judged
+
+
+def test_estimates_are_mixed_by_size(spark):
+    """A stratum's estimate goes over into its language's as its rows get fewer; centres follow the stratum all the same."""
+    d = len(quality.VECTOR)
+    eye = [float(i == j) for i in range(d) for j in range(d)]
+    own = [("=en", f"={n}", [1.0] * d, eye) for n in (0, 1, 10**9)] + [("=en", quality.WHOLE, [0.5] * d, [x / 4 for x in eye])]
+    estimate = spark.createDataFrame(own, "s_lang string, s_source string, centre array<double>, inverse array<double>")
+    places = [("=en", f"={n}", n, 50, [3.0] * d) for n in (0, 1, 10**9)]
+    places = spark.createDataFrame(places, "s_lang string, s_source string, rows long, lang_rows long, middle array<double>")
+    got = {r.s_source: r for r in quality.mixed(estimate, places).collect()}
+    for n in (0, 1, 10**9):
+        w, u = n / (n + quality.CENTRE_ROWS), n / (n + quality.SCATTER_ROWS)
+        assert np.allclose(got[f"={n}"].centre, w * 1 + (1 - w) * 3.5)
+        assert np.allclose(np.array(got[f"={n}"].inverse).reshape(d, d), np.eye(d) / (u + 4 * (1 - u)))
+        assert got[f"={n}"].cutoff == pytest.approx(quality.CUTOFF * (1 + quality.WIDEN_ROWS / 50))
 
 
 def test_concentration_steps_equal_plain_ones(spark):
