@@ -36,7 +36,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -234,18 +234,21 @@ def merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def connect(
-    cell: np.ndarray, side: np.ndarray, label: np.ndarray, n: np.ndarray, sig: np.ndarray, confirmed
-) -> tuple[np.ndarray, np.ndarray, list]:
-    """Roots of the rows of each cell (rows are sorted by cell), the first rows of its labels, and the pairs that connected them.
+RAY = "place long, a long, b long, pivot boolean"
 
-    Pairs of a cell (across its two sides, or all on side 0) are compared by size and signature, and then by ``confirmed(a, b)``,
+
+def connect(table: pa.Table, n: np.ndarray, confirmed: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> pa.RecordBatch:
+    """``RAY`` rows: in every cell (rows are sorted by cell and side) a star for each class of labels that pairs have connected.
+
+    ``a``: the label of the class's first row, a pivot's if the cell has pivots; ``b``: its other labels; ``pivot``: ``b`` is one's, too. Pairs of a cell (across its two sides, or all on side 0) are compared by size and signature, and then by ``confirmed(a, b)``,
     unless their label or what came before has connected them already. Memory goes with the rows, not with the pairs.
     """
+    cell, side, label, place = (table.column(c).to_numpy() for c in ("cell", "side", "label", "place"))
+    sig = np.frombuffer(b"".join(table.column("sig8").to_pylist()), np.uint8).reshape(-1, COORDINATES)
     order = np.lexsort((label, cell))
     new = np.ones(len(cell), bool)
     new[1:] = (cell[order][1:] != cell[order][:-1]) | (label[order][1:] != label[order][:-1])
-    heads, root, pairs = order[new], np.empty(len(cell), np.int64), []
+    heads, root = order[new], np.empty(len(cell), np.int64)
     root[order] = heads[np.cumsum(new) - 1]
     for k in range(1, len(cell)):
         same = cell[:-k] == cell[k:]
@@ -264,8 +267,9 @@ def connect(
                 continue
             sure = confirmed(x, y)
             root = merge(root, x[sure], y[sure])
-            pairs.append((x[sure], y[sure]))
-    return root, heads, pairs
+    spoke = heads[root[heads] != heads]
+    columns = [place[spoke], label[root[spoke]], label[spoke], side[spoke] == 1]
+    return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["place", "a", "b", "pivot"])
 
 
 def whole_cells(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
@@ -287,44 +291,72 @@ def whole_cells(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
+def _united(pairs: Column) -> Column:
+    """``array<struct<label,to>>``: labels of a large group's pivots with the smallest ones they are connected with by ``near, end`` pairs."""
+    labels = F.array_distinct(F.concat(F.transform(pairs, lambda p: p["near"]), F.transform(pairs, lambda p: p["end"])))
+    alone = F.transform(labels, lambda x: F.struct(x.alias("label"), x.alias("to")))
+
+    def unite(rows: Column, pair: Column) -> Column:
+        met = F.filter(rows, lambda x: (x["label"] == pair["near"]) | (x["label"] == pair["end"]))
+        met = F.transform(met, lambda x: x["to"])
+        to = lambda x: F.when(F.array_contains(met, x["to"]), F.array_min(met)).otherwise(x["to"])
+        return F.transform(rows, lambda x: F.struct(x["label"].alias("label"), to(x).alias("to")))
+
+    return F.aggregate(pairs, alone, unite)
+
+
+def relabelled(rest: DataFrame, rays: DataFrame) -> DataFrame:
+    """``rest`` (``place, label`` and more) with the labels after its groups' ``rays``.
+
+    Rays start at labels of pivots. So only these have to be united, some ``PIVOTS`` of a group, and every other label takes that of a
+    pivot that reaches it.
+    """
+    reached = rays.groupBy("place", "b", "pivot").agg(F.min("a").alias("near"), F.collect_set("a").alias("ends"))
+    ends = F.explode(F.when(F.col("pivot"), F.array_append("ends", F.col("b"))).otherwise(F.col("ends")))
+    pairs = reached.select("place", "near", ends.alias("end")).distinct()  # of labels of pivots
+    united = pairs.groupBy("place").agg(_united(F.collect_list(F.struct("near", "end"))).alias("u")).select("place", F.inline("u"))
+    others = reached.where("NOT pivot").join(united.withColumnRenamed("label", "near"), ["place", "near"])
+    moved = united.unionByName(others.select("place", F.col("b").alias("label"), "to"))
+    return rest.join(moved, ["place", "label"], "left").withColumn("label", F.coalesce("to", "label")).drop("to")
+
+
 def spanning(members: DataFrame, group: str, large: bool, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``a, b``: edges that connect, within every group, what ``compare`` finds alike.
 
-    ``members``: ``rid, group, rows`` and what ``compare`` reads beside ``cell, side, label``. ``large``: some groups have more than
+    ``members``: ``rid, group, rows`` and what ``compare`` reads beside ``place, cell, side, label``. ``large``: some groups have more than
     ``2 * BLOCK`` rows. A large group's rows lie in blocks, one cell each, to which copies of the pivots are sent.
     """
+    members = members.withColumnRenamed(group, "place").withColumn("label", F.col("rid"))
     small = members.where(F.col("rows") <= 2 * BLOCK)
-    found = compare(small.withColumns({"cell": F.xxhash64(group), "side": F.lit(0), "label": F.col("rid")}))
+    found = compare(small.withColumns({"cell": F.xxhash64("place"), "side": F.lit(0)})).select("a", "b")
     if not large:
         return found
-    wide = materialize(members.where(F.col("rows") > 2 * BLOCK), "wide")
-    rest = wide.withColumns({"label": F.col("rid"), "outside": F.lit(True), "_others": F.col("rows")})
+    wide = members.where(F.col("rows") > 2 * BLOCK)
+    rest = materialize(wide.withColumns({"outside": F.lit(True), "_others": F.col("rows")}), "wide")
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rid", F.lit("block")), blocks).cast("int")
     for k in range(ROUNDS):
         pivot = F.col("outside") & (F.pmod(F.xxhash64("rid", F.lit(f"pivot {k}")), F.col("_others")) < PIVOTS)
         pivots = rest.where(pivot).withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("side", F.lit(1))
         cells = pivots.unionByName(rest.withColumns({"_block": own, "side": F.lit(2)}))
-        rays = materialize(compare(cells.withColumn("cell", F.xxhash64(group, "_block", F.lit(k)))).where("a <> b"), "rays")
-        found = found.unionByName(rays)
-        known = rays if k == 0 else known.unionByName(rays)
-        labelled = wide.join(components(known).withColumnRenamed("id", "rid"), "rid", "left")
-        labelled = labelled.withColumn("label", F.coalesce("label", "rid"))
-        classes = labelled.groupBy(group, "label").agg(F.count("*").alias("_alike")).groupBy(group)
+        rays = materialize(compare(cells.withColumn("cell", F.xxhash64("place", "_block", F.lit(k)))), "rays")
+        found = found.unionByName(rays.select("a", "b"))
+        labelled = materialize(relabelled(rest.drop("outside", "_others"), rays), "labelled")
+        classes = labelled.groupBy("place", "label").agg(F.count("*").alias("_alike")).groupBy("place")
         classes = classes.agg(
             F.max_by("label", F.struct("_alike", "label")).alias("_main"), (F.sum("_alike") - F.max("_alike")).alias("_others")
         )
         classes = materialize(classes.where("_others > 0"), "classes")
         if classes.isEmpty():
             return found
-        rest = labelled.join(classes, group).withColumn("outside", F.col("label") != F.col("_main")).drop("_main")
+        rest = labelled.join(classes, "place").withColumn("outside", F.col("label") != F.col("_main")).drop("_main")
     # the exact way for what is left: rows outside the largest class against all rows of the group, in pairs of blocks
     shares = F.ceil(F.col("_others") / BLOCK).cast("int")
     outside = rest.where("outside").withColumn("_share", F.pmod(F.xxhash64("rid", F.lit("share")), shares).cast("int"))
     outside = outside.withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("side", F.lit(1))
     every = rest.withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1))).withColumns({"_block": own, "side": F.lit(2)})
-    cells = outside.unionByName(every).withColumn("cell", F.xxhash64(group, "_share", "_block", F.lit("rest")))
-    return found.unionByName(compare(cells))
+    cells = outside.unionByName(every).withColumn("cell", F.xxhash64("place", "_share", "_block", F.lit("rest")))
+    return found.unionByName(compare(cells).select("a", "b"))
 
 
 def candidates(leaf: DataFrame, large: bool, reps: DataFrame) -> DataFrame:
@@ -333,17 +365,13 @@ def candidates(leaf: DataFrame, large: bool, reps: DataFrame) -> DataFrame:
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_cells(batches, 8 << 20):
-            cell, side, label, rid, n = (table.column(c).to_numpy() for c in ("cell", "side", "label", "rid", "n"))
-            sig = np.frombuffer(b"".join(table.column("sig8").to_pylist()), np.uint8).reshape(-1, COORDINATES)
-            root, heads, _ = connect(cell, side, label, n, sig, lambda a, b: np.ones(len(a), bool))
-            spoke = heads[root[heads] != heads]
-            yield pa.RecordBatch.from_arrays([pa.array(rid[root[spoke]]), pa.array(rid[spoke])], ["a", "b"])
+            yield connect(table, table.column("n").to_numpy(), lambda a, b: np.ones(len(a), bool))
 
     def compare(cells: DataFrame) -> DataFrame:
-        chosen = cells.select("cell", "side", "label", "rid", "n", "sig8").repartition("cell").sortWithinPartitions("cell", "side")
-        return chosen.mapInArrow(stars, "a long, b long")
+        chosen = cells.select("place", "cell", "side", "label", "n", "sig8").repartition("cell").sortWithinPartitions("cell", "side")
+        return chosen.mapInArrow(stars, RAY)
 
-    return spanning(leaf.join(short, "rid"), "node", large, compare).where("a <> b").distinct()
+    return spanning(leaf.join(short, "rid"), "node", large, compare).distinct()
 
 
 def confirm(sets: DataFrame, large: bool, percent: int) -> DataFrame:
@@ -354,9 +382,7 @@ def confirm(sets: DataFrame, large: bool, percent: int) -> DataFrame:
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_cells(batches, 16 << 20):
-            cell, side, label, rid = (table.column(c).to_numpy() for c in ("cell", "side", "label", "rid"))
             hashes = [np.frombuffer(h.as_buffer(), np.uint64) for h in table.column("hashes")]
-            sig = np.frombuffer(b"".join(table.column("sig8").to_pylist()), np.uint8).reshape(-1, COORDINATES)
             n = np.array([len(h) for h in hashes])
 
             def confirmed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -364,13 +390,11 @@ def confirm(sets: DataFrame, large: bool, percent: int) -> DataFrame:
                 both = np.array(both, np.int64)
                 return 100 * both >= percent * (n[a] + n[b] - both)  # noqa: B023
 
-            _, _, pairs = connect(cell, side, label, n, sig, confirmed)
-            ends = [np.concatenate([np.empty(0, np.int64), *(rid[p[i]] for p in pairs)]) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()) for e in ends], ["a", "b"])
+            yield connect(table, n, confirmed)
 
     def compare(cells: DataFrame) -> DataFrame:
-        chosen = cells.select("cell", "side", "label", "rid", "sig8", "hashes").repartition("cell").sortWithinPartitions("cell", "side")
-        return chosen.mapInArrow(links, "a long, b long")
+        chosen = cells.select("place", "cell", "side", "label", "sig8", "hashes").repartition("cell").sortWithinPartitions("cell", "side")
+        return chosen.mapInArrow(links, RAY)
 
     return spanning(sets, "group", large, compare)
 
@@ -386,7 +410,6 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("label"), F.least("a", "b").alias("to"))
-        near = materialize(near, "nearest")
         step = near.select(F.col("label").alias("to"), F.col("to").alias("_next"))
         near = materialize(near.join(step, "to", "left").select("label", F.coalesce("_next", "to").alias("to")), "nearest")
         labels = materialize(

@@ -179,6 +179,29 @@ def test_large_groups_cost_in_proportion(spark, monkeypatch):
         assert sent[1212, group] <= 2.6 * sent[612, group] and sent[1212, group] > 0
 
 
+def test_labels_after_rays(spark):
+    """Labels of pivots that share a row, or reach each other through others, become one; groups stay apart."""
+    rays = [(1, 10, 11, True), (1, 10, 5, False), (1, 11, 6, False), (1, 12, 6, False), (1, 13, 7, False), (2, 10, 5, False)]
+    rays = spark.createDataFrame(rays, near_dup.RAY)
+    rest = spark.createDataFrame([(g, r, r) for g in (1, 2) for r in (5, 6, 7, 8, 10, 11, 12, 13)], "place long, rid long, label long")
+    got = {(r["place"], r["rid"]): r["label"] for r in near_dup.relabelled(rest, rays).collect()}
+    assert got == {(1, 5): 10, (1, 6): 10, (1, 7): 13, (1, 8): 8, (1, 10): 10, (1, 11): 10, (1, 12): 10, (1, 13): 13,
+                   **{(2, r): 10 if r == 5 else r for r in (5, 6, 7, 8, 10, 11, 12, 13)}}
+
+
+def test_rounds_of_large_groups_contract_no_graph(spark, monkeypatch):
+    """Only the candidates and the confirmed links go through the general contraction, however many rounds of pivots there are."""
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    calls = []
+    plain = near_dup.components
+    monkeypatch.setattr(near_dup, "components", lambda edges: calls.append(1) or plain(edges))
+    texts = copies(random.Random(5), 40, 60, 3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = near_dup.near_duplicates(docs, "doc_id", "text", size=2).collect()
+    want, _ = plain_components(texts, 2)
+    assert [r.component_id for r in sorted(found, key=lambda r: r.doc_id)] == want and len(calls) == 2
+
+
 def test_component_contraction(spark):
     rng = random.Random(4)
     chain = [(i, i + 1) for i in range(60)]
