@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomdex.functions.arrays import let, scan_left
+from loomdex.functions.text import term_counts
+from loomdex.sources.tables import materialize
 
 HAN_RUN = r"\p{IsHan}+"
 #: Cost of a character that is no word; more than any word should cost.
@@ -56,28 +58,42 @@ def _cuts(lengths: Column) -> Column:
 
 def segment_runs(runs: DataFrame, dictionary: DataFrame, longest: int = LONGEST) -> DataFrame:
     """``run`` (distinct) -> ``run, words``: its words in order."""
-    places = runs.select("run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("place"))
-    pieces = places.select("run", "place", F.explode(F.sequence(F.lit(1), F.least("place", F.lit(longest)))).alias("size"))
+    pairs = runs.select("run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("place"))
+    pieces = pairs.select("run", "place", F.explode(F.sequence(F.lit(1), F.least("place", F.lit(longest)))).alias("size"))
     pieces = pieces.withColumn("word", F.expr("substring(run, place - size + 1, size)"))
     known = dictionary.select("word", F.col("cost").cast("bigint").alias("cost"))
     found = pieces.join(known, "word", "left").where(F.col("cost").isNotNull() | (F.col("size") == 1))
     cost = F.coalesce("cost", F.lit(UNKNOWN).cast("bigint"))
-    # at most ``longest`` words end at a place
-    ends = found.groupBy("run", "place").agg(F.collect_list(F.struct("size", cost.alias("cost"))).alias("words"))
-    paths = ends.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("place", "words"))).alias("ends"))
+    # one grouping by run, which a small dictionary leaves where its rows are; at most ``longest`` words end at a place
+    grouped = found.groupBy("run").agg(F.collect_list(F.struct("place", "size", cost.alias("cost"))).alias("__all"))
+
+    def by_place(rows: Column) -> Column:
+        # sorted by place: the words of a place stand in a row from its word of one character on, which every place has
+        starts = F.filter(F.transform(rows, lambda r, i: F.when(r["size"] == 1, i)), lambda i: i.isNotNull())
+
+        def cut(starts: Column) -> Column:
+            end = lambda k: F.coalesce(F.get(starts, k + F.lit(1)), F.size(rows))
+            own = lambda at, k: F.slice(rows, at + F.lit(1), end(k) - at)
+            return F.transform(starts, lambda at, k: F.transform(own(at, k), lambda r: F.struct(r["size"], r["cost"])))
+
+        return let(starts, cut)
+
+    paths = grouped.select("run", let(F.sort_array("__all"), by_place).alias("ends"))
 
     def words(sizes: Column) -> Column:
         cut = F.transform(sizes, lambda size, i: F.when(size > 0, F.substring("run", i + F.lit(2) - size, size)))
         return F.filter(cut, lambda w: w.isNotNull())
 
-    lengths = _best_lengths(F.col("ends")["words"], longest)
+    lengths = _best_lengths(F.col("ends"), longest)
     return paths.select("run", let(_cuts(lengths), words).alias("words"))
 
 
 def han_words(df: DataFrame, dictionary: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", longest: int = LONGEST) -> DataFrame:
     """``id_col, word, tf``: words of the Han runs of every text, counted."""
-    runs = df.select(id_col, F.explode(F.regexp_extract_all(text_col, F.lit(HAN_RUN), F.lit(0))).alias("run"))
-    runs = runs.groupBy(id_col, "run").agg(F.count("*").alias("times"))
-    cut = segment_runs(runs.select("run").distinct(), dictionary, longest)
+    # equal runs of a text are counted inside its row
+    counted = term_counts(F.regexp_extract_all(text_col, F.lit(HAN_RUN), F.lit(0)))
+    runs = df.select(id_col, F.inline_outer(counted)).where("term IS NOT NULL").withColumnsRenamed({"term": "run", "tf": "times"})
+    # stored: its size is known then, and small tables are sent to the texts
+    cut = materialize(segment_runs(runs.select("run").distinct(), dictionary, longest), "runs")
     words = runs.join(cut, "run").select(id_col, "times", F.explode("words").alias("word"))
     return words.groupBy(id_col, "word").agg(F.sum("times").alias("tf"))

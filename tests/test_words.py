@@ -51,3 +51,13 @@ def test_cheaper_paths_and_ties(spark):
     assert got == {"研究生命起源": ["研究", "生命", "起源"], "的的": ["的的"]}  # of equal sums the longer last word
     none = spark.createDataFrame([], "word string, cost long")
     assert words.segment_runs(runs, none).where("run = '的的'").first().words == ["的", "的"]
+
+
+def test_a_small_stored_dictionary_moves_no_pieces(spark, tmp_path):
+    """Runs are grouped by one exchange; places and pieces of them are not dealt again."""
+    spark.createDataFrame([("的", 5), ("一", 5), ("的一", 7)], "word string, cost long").write.parquet(str(tmp_path / "words"))
+    spark.createDataFrame([("的一的",), ("一一",)], "run string").write.parquet(str(tmp_path / "runs"))
+    cut = words.segment_runs(spark.read.parquet(str(tmp_path / "runs")), spark.read.parquet(str(tmp_path / "words")), 3)
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert {r["run"]: list(r["words"]) for r in cut.collect()} == {"的一的": ["的一", "的"], "一一": ["一", "一"]}
