@@ -180,7 +180,8 @@ CAST(g.page AS BIGINT) - 1 AS page FROM m WHERE g.num <> ''"""
 )
 def toc_parse(spark, sf):
     docs = documents(spark, sf, "doc_id", "text")
-    entries = docs.select("doc_id", F.posexplode(F.transform(F.split("text", "\n"), lambda t, i: ol.toc_entry(_toc_line(t, i)))).alias("i", "e"))
+    # the outer form keeps Spark from adding a filter that reads every line once more
+    entries = docs.select("doc_id", F.posexplode_outer(F.transform(F.split("text", "\n"), lambda t, i: ol.toc_entry(_toc_line(t, i)))).alias("i", "e"))
     return entries.where("e IS NOT NULL").select(
         "doc_id",
         (F.col("i") + 1).cast("bigint").alias("line_no"),
