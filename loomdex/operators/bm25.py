@@ -8,12 +8,12 @@ from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomdex.functions.clauses import Clause
 from loomdex.functions.text import query_terms, term_counts, tokenize
+from loomdex.functions.tokens import classes, cut, order_of, parts
 
 # BM25 parameters.
 K1 = 1.2
@@ -22,6 +22,8 @@ MAX_CANDIDATES = 100
 SCORE_DIGITS = 9
 #: Terms that are sorted together.
 PART_TERMS = 1 << 18
+#: Bytes of text that a term takes at least, its gap included, in most texts.
+TERM_BYTES = 4
 
 
 def candidate_budget(k: int, budget: int | None = None) -> int:
@@ -39,38 +41,45 @@ def doc_lengths(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def _counted(df: DataFrame, id_col: str, text_col: str, positions: bool) -> DataFrame:
     """``id_col, dl, term, tf`` and with ``positions`` the places of every term of every text.
 
-    Spark cuts the texts into terms; an Arrow node sorts the numbers of some texts' terms at once. A batch is worked on in parts of
+    An Arrow node cuts whole texts into terms and sorts the numbers of some texts' terms at once. A batch is worked on in parts of
     about ``PART_TERMS`` terms.
     """
+    kinds, size = classes(), PART_TERMS * TERM_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = kinds.table()
         for batch in batches:
-            ids, lists = batch.columns
-            total = np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-            at = 0
-            while at < len(lists):
-                end = int(np.searchsorted(total, (total[at - 1] if at else 0) + PART_TERMS)) + 1
-                part = lists.slice(at, end - at)
-                dl = pc.list_value_length(part).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                coded = part.flatten().dictionary_encode()
+            ids, texts = batch.columns
+            for at, end in parts(texts, size):
+                found = cut(texts.slice(at, end - at), table)
+                dl = found.n_words + found.n_pairs
+                coded = pa.concat_arrays([found.words, found.pairs]).dictionary_encode()
                 codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                row = np.repeat(np.arange(len(dl)), dl)
+                row = np.concatenate([np.repeat(np.arange(len(dl)), n) for n in (found.n_words, found.n_pairs)])
                 key = row * max(1, len(coded.dictionary)) + codes
-                order = np.argsort(key, kind="stable")  # stable: positions ascend
-                first = np.flatnonzero(np.diff(key[order], prepend=-1))
-                ends = np.append(first, len(key))
-                heads = order[first]
-                columns = [ids.slice(at, end - at).take(pa.array(row[heads])), pa.array(dl[row[heads]])]
-                columns += [coded.dictionary.take(pa.array(codes[heads])), pa.array(np.diff(ends).astype(np.int64))]
-                if positions:
-                    place = np.arange(len(key)) - np.repeat(np.cumsum(dl) - dl, dl)
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[order], pa.int32())))
+                n_keys = len(dl) * max(1, len(coded.dictionary))
+                if not positions and n_keys <= 4 * len(key):  # few terms, each of them often: counted without a sort
+                    tf = np.bincount(key, minlength=n_keys)
+                    keys = np.flatnonzero(tf)
+                    tf = tf[keys]
+                else:
+                    order = order_of(key)  # equal keys keep their order: positions ascend
+                    in_order = key[order]
+                    first = np.flatnonzero(np.diff(in_order, prepend=-1))
+                    ends = np.append(first, len(key))
+                    keys, tf = in_order[first], np.diff(ends)
+                row, codes = np.divmod(keys, max(1, len(coded.dictionary)))
+                columns = [ids.slice(at, end - at).take(pa.array(row)), pa.array(dl[row])]
+                columns += [coded.dictionary.take(pa.array(codes)), pa.array(tf.astype(np.int64))]
+                if positions:  # pairs are counted behind all words of their text
+                    opens = (np.cumsum(n) - n for n in (found.n_words, found.n_pairs))
+                    place = [np.arange(n.sum()) - np.repeat(o - d, n) for n, o, d in zip((found.n_words, found.n_pairs), opens, (0, found.n_words))]
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(place)[order], pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, [id_col, "dl", "term", "tf", "positions"][: len(columns)])
-                at = end
 
     kind = df.schema[id_col].dataType.simpleString()
     made = f"`{id_col}` {kind}, dl bigint, term string, tf bigint" + (", positions array<int>" if positions else "")
-    return df.select(id_col, tokenize(F.col(text_col)).alias("__t")).mapInArrow(run, made)
+    return df.select(id_col, F.col(text_col).alias("__t")).mapInArrow(run, made)
 
 
 def postings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: Sequence[str] | None = None) -> DataFrame:
