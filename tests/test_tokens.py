@@ -75,3 +75,13 @@ def test_order_of_numbers():
         key = np.random.default_rng(1).integers(0, top, 500) // 7 * 7
         assert list(tokens.order_of(key)) == list(np.argsort(key, kind="stable"))
     assert list(tokens.order_of(np.empty(0, np.int64))) == []
+
+
+def test_lengths_without_terms(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate(TEXTS)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    made = bm25.doc_lengths(df)
+    assert "regexp_extract_all" not in made._jdf.queryExecution().executedPlan().toString()
+    want = {r.doc_id: r.n for r in df.select("doc_id", F.size(tokenize(F.col("text"))).alias("n")).collect()}
+    assert {r.doc_id: r.dl for r in made.collect()} == want and want[1] is None
