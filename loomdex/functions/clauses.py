@@ -92,6 +92,10 @@ class Clause:
         """What every term of a prefix or wildcard begins with."""
         return self.words[0] if self.kind == "prefix" else re.split(r"[*?]", self.words[0], maxsplit=1)[0]
 
+    def end(self) -> str:
+        """What every term of a wildcard ends with."""
+        return re.split(r"[*?]", self.words[0])[-1]
+
 
 def term(word: str) -> Clause:
     return Clause("term", (word,))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
@@ -15,17 +16,35 @@ from loomdex.store import term_bucket
 FIELDS = ("title", "content")
 
 
-def expand(dictionary: DataFrame, leaf: Clause, field: str) -> DataFrame:
-    """``field, term, bucket`` of the terms a prefix or wildcard stands for: a range scan of the sorted dictionary."""
-    start = leaf.start()
-    found = dictionary.where(F.col("field") == field)
-    if start:
-        found = found.where((F.col("term") >= start) & F.startswith("term", F.lit(start)))
-        if ord(start[-1]) < 0x10FFFF:  # the first text behind all that begin so
-            found = found.where(F.col("term") < start[:-1] + chr(_next_code_point(ord(start[-1]))))
+def expand(dictionary: DataFrame, leaves: Sequence[tuple[Clause, str]]) -> DataFrame:
+    """``field, term, bucket, leaves`` of the terms that prefixes or wildcards of a field stand for; ``leaves`` has the places of theirs.
+
+    One range scan of the sorted dictionary for all of them.
+    """
+    ranges = [(F.col("field") == field) & _between(leaf.start()) for leaf, field in leaves]
+    tests = [near & _test(leaf) for (leaf, _), near in zip(leaves, ranges)]
+    # the ranges stand alone too: beside a regular expression no scan could use them
+    found = dictionary.where(reduce(or_, ranges)).where(reduce(or_, tests)).select("field", "bucket", "term").distinct()
+    places = F.array(*[F.when(test, F.lit(i)) for i, test in enumerate(tests)])
+    return found.withColumn("leaves", F.array_compact(places))
+
+
+def _between(start: str) -> Column:
+    """Whether a term begins with ``start``, as a range."""
+    if not start:
+        return F.col("term").isNotNull()
+    inside = F.col("term") >= start
+    if ord(start[-1]) < 0x10FFFF:  # the first text behind all that begin so
+        inside = inside & (F.col("term") < start[:-1] + chr(_next_code_point(ord(start[-1]))))
+    return inside
+
+
+def _test(leaf: Clause) -> Column:
+    """The whole condition on a term; most terms are ruled out by their beginning and end, before the regular expression."""
+    test = F.startswith("term", F.lit(leaf.start()))
     if leaf.kind == "wildcard":
-        found = found.where(F.rlike("term", F.lit(leaf.regex())))
-    return found.distinct()
+        test = test & F.endswith("term", F.lit(leaf.end())) & F.rlike("term", F.lit(leaf.regex()))
+    return test
 
 
 def _next_code_point(code: int) -> int:
@@ -69,31 +88,35 @@ def rank_clause_postings(
 
     is_slot = [(F.col("field") == f) & (F.col("term") == w) for f, w in exact]
     slot = reduce(lambda c, i: c.when(is_slot[i], i), range(1, len(exact)), F.when(is_slot[0], 0)) if exact else None
-    rows = []
+    at = lambda i, value: F.max(F.when(F.col("slot") == i, value))
+    of_field = [i for i, (f, _) in enumerate(exact) if f == field]
+    tf_names = [f"__tf{i}" for i in range(len(exact) + len(patterns))]
+    at_names = [f"__at{exact.index(p)}" for p in sorted(placed)]
     if exact:
         wanted = post.where(F.col("bucket").isin([term_bucket(F.lit(w)) for _, w in exact]) & reduce(or_, is_slot))
         positions = F.when(reduce(or_, [is_slot[exact.index(p)] for p in sorted(placed)]), F.col("positions")) if placed else F.lit(None).cast("array<int>")
-        rows.append(wanted.select("doc_id", slot.alias("slot"), "tf", "dl", positions.alias("positions")))
-    for j, leaf in enumerate(patterns):
+        rows = wanted.select("doc_id", slot.alias("slot"), "tf", "dl", positions.alias("positions"))
+        dl = F.max(F.when(F.col("slot").isin(of_field), F.col("dl"))) if of_field else F.lit(None).cast("bigint")
+        columns = [F.coalesce(at(i, F.col("tf")), F.lit(0)).alias(f"__tf{i}") for i in range(len(exact))]
+        counted = rows.groupBy("doc_id").agg(dl.alias("__dl"), *columns, *[at(exact.index(p), F.col("positions")).alias(c) for p, c in zip(sorted(placed), at_names)])
+    else:
+        counted = post.select("doc_id", F.lit(None).cast("bigint").alias("__dl")).where(F.lit(False))
+    every = counted
+    if patterns:
         # the few buckets of the terms are read only: the dictionary's side prunes the partitions of the postings
-        hits = post.select("field", "bucket", "term", "doc_id").join(expand(dictionary, leaf, own(leaf)), ["field", "bucket", "term"])
-        none = {"tf": "bigint", "dl": "bigint", "positions": "array<int>"}
-        rows.append(hits.select("doc_id", F.lit(len(exact) + j).alias("slot"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()]))
-    slots = len(exact) + len(patterns)
-    if not rows:
-        rows.append(post.select("doc_id", F.lit(0).alias("slot"), "tf", "dl", "positions").where(F.lit(False)))
-    at = lambda i, value: F.max(F.when(F.col("slot") == i, value))
-    of_field = [i for i, (f, _) in enumerate(exact) if f == field]
-    dl = F.max(F.when(F.col("slot").isin(of_field), F.col("dl"))) if of_field else F.lit(None).cast("bigint")
-    columns = [F.coalesce(at(i, F.col("tf") if i < len(exact) else F.lit(1)), F.lit(0)).alias(f"__tf{i}") for i in range(slots)]
-    columns += [at(exact.index(p), F.col("positions")).alias(f"__at{exact.index(p)}") for p in sorted(placed)]
-    every = reduce(DataFrame.unionByName, rows).groupBy("doc_id").agg(dl.alias("__dl"), *columns)
+        hits = post.select("field", "bucket", "term", "doc_id").join(expand(dictionary, [(x, own(x)) for x in patterns]), ["field", "bucket", "term"])
+        hits = hits.select("doc_id", F.explode("leaves").alias("slot"))
+        matched = hits.groupBy("doc_id").agg(*[F.coalesce(at(j, F.lit(1)), F.lit(0)).cast("bigint").alias(c) for j, c in enumerate(tf_names[len(exact) :])])
+        both = counted.unionByName(matched, allowMissingColumns=True).groupBy("doc_id")
+        every = both.agg(F.max("__dl").alias("__dl"), *[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in tf_names], *[F.max(c).alias(c) for c in at_names])
 
     scored = [exact.index((field, t)) for t in clause.terms]
     freq = None
     if scored:
         counts = [F.count_if(F.col(f"__tf{i}") > 0).cast("double").alias(f"df{i}") for i in scored]
-        freq = every.agg(F.struct(*counts, F.count("*")).alias("s")).scalar()
+        # every column is named, so that the grouped rows are made once for the frequencies and the ranking; patterns count no document
+        whole = [F.max(c) for c in counted.columns if c.startswith(("__dl", "__tf"))] + [F.count(c) for c in at_names]
+        freq = counted.agg(F.struct(*counts, *whole).alias("s")).scalar()
 
     def leaf_test(leaf: Clause) -> Column:
         if leaf.kind == "range" or own(leaf) not in FIELDS:
@@ -107,7 +130,7 @@ def rank_clause_postings(
     found = every
     if holds_without_terms(clause, set(posted)):
         ids = lengths.where(F.col("field") == field).select("doc_id")
-        found = ids.join(every, "doc_id", "left").fillna(0, [f"__tf{i}" for i in range(slots)])
+        found = ids.join(every, "doc_id", "left").fillna(0, tf_names)
     named = sorted({own(x) for x in leaves if x not in posted})
     if named:
         if meta is None:
