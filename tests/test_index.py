@@ -2,6 +2,7 @@
 
 import os
 import sys
+from datetime import datetime
 
 import pytest
 from pyspark import cloudpickle
@@ -352,3 +353,33 @@ def test_office_settings_of_sync(spark, tmp_path):
     config |= {"auto_convert_office": True, "converted_md_dir": str(out)}
     assert index.sync_from_config(config)["added"] == 1
     assert sorted(os.listdir(out / "a")) == ["Head.md", "_index.md"] and index.get_by_filepath(doc).count() > 2
+
+
+def test_sync_sorts_postings_by_portions(spark, tmp_path, monkeypatch):
+    """A sync stores packed tables, sorts the postings of a few chunk files at a time and keeps no stage of texts beside the chunks."""
+    from loomdex import store as storing
+    from loomdex.plans import sync as syncing
+    from loomdex.store import Store
+
+    rows = [(f"/docs/a_{i}.md", datetime(2024, 1, 1), 9, f"# head {i}\n\nshared words and rain{i} in a paragraph".encode()) for i in range(40)]
+    files = spark.createDataFrame(rows, "file_path string, modified_at timestamp, length long, content binary")
+    whole = Store(spark, str(tmp_path / "whole"))
+    syncing.ingest(whole, files, HashEmbedder(8))
+    seen = []
+    write = Store.write
+
+    def watched(self, table, version, df, *args, **kw):
+        if table == "postings" and version:
+            seen.append(set(p.name for p in (tmp_path / "parted" / "stage").iterdir() if list(p.glob(f"v={version}"))))
+        return write(self, table, version, df, *args, **kw)
+
+    monkeypatch.setattr(Store, "write", watched)
+    monkeypatch.setattr(syncing, "FILE_BYTES", 200)
+    monkeypatch.setattr(storing, "PORTION_BYTES", 1)
+    monkeypatch.setattr(storing, "MAX_PORTIONS", 3)
+    parted = Store(spark, str(tmp_path / "parted"))
+    syncing.ingest(parted, files, HashEmbedder(8))
+    assert 1 < len(seen) <= 3 and not set.union(*seen) & {"docs", "digests", "embedded"}
+    for layer in ("postings", "lengths", "chunks"):
+        assert sorted(map(str, whole.layer(layer).collect())) == sorted(map(str, parted.layer(layer).collect()))
+    assert all(".zstd." in f.name for t in ("chunks", "postings", "vectors") for f in (tmp_path / "parted" / t / "v=1").rglob("*.parquet"))
