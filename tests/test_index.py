@@ -366,14 +366,13 @@ def test_sync_sorts_postings_by_portions(spark, tmp_path, monkeypatch):
     whole = Store(spark, str(tmp_path / "whole"))
     syncing.ingest(whole, files, HashEmbedder(8))
     seen = []
-    write = Store.write
+    write = Store.write_sorted
 
-    def watched(self, table, version, df, *args, **kw):
-        if table == "postings" and version:
-            seen.append(set(p.name for p in (tmp_path / "parted" / "stage").iterdir() if list(p.glob(f"v={version}"))))
-        return write(self, table, version, df, *args, **kw)
+    def watched(self, table, version, df, mode):
+        seen.append({p.name for p in (tmp_path / "parted" / "stage").iterdir() if list(p.glob(f"v={version}"))})
+        return write(self, table, version, df, mode)
 
-    monkeypatch.setattr(Store, "write", watched)
+    monkeypatch.setattr(Store, "write_sorted", watched)
     monkeypatch.setattr(syncing, "FILE_BYTES", 200)
     monkeypatch.setattr(storing, "PORTION_BYTES", 1)
     monkeypatch.setattr(storing, "MAX_PORTIONS", 3)
